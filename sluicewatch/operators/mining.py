@@ -17,6 +17,7 @@ from .quantiles import percentiles
 
 # Quality gates.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_OBSERVATIONS = 0.1, 0.7, 50
+QUARTILES = (25, 50, 75)
 
 
 def state_support(df: DataFrame, min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
@@ -28,12 +29,12 @@ def state_support(df: DataFrame, min_observations: int = MIN_OBSERVATIONS) -> Da
 def bin_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One array of (feature, bin, value) per row; bins are the state's quartiles."""
     cuts = percentiles(df, ["state"], {f: number(F.col(f)) for f in features}, {
-        f"_{f}_{q}": (f, q) for f in features for q in (25.0, 50.0, 75.0)})
+        f"_{f}_{q}": (f, float(q)) for f in features for q in QUARTILES})
     joined = df.select("state", *features).join(cuts, "state")
     items = []
     for f in features:
         v = number(F.col(f))
-        b = sum(((v > F.col(f"_{f}_{q}")).cast("int") for q in (25.0, 50.0, 75.0)), F.lit(0))
+        b = sum(((v > F.col(f"_{f}_{q}")).cast("int") for q in QUARTILES), F.lit(0))
         items.append(F.when(v.isNotNull(), F.struct(
             F.lit(f).alias("f"), b.alias("b"), v.alias("v"))))
     return joined.select("state", F.filter(F.array(*items), lambda x: x.isNotNull()).alias("bins"))

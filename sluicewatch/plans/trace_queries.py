@@ -292,11 +292,13 @@ def mass_balance_ols(spark, d):
 def mb_eps(spark, d):
     df = cal_rows(spark, d, "l_t1", "f_pu1")
     steps = cal.with_steps(df, ["scenario"], ["l_t1"])
-    fit = cal.mass_balance_fit(steps, "l_t1", ["f_pu1"])
-    resid = cal.with_residual(steps, "l_t1", ["f_pu1"], fit)
-    p = cal.percentiles(resid, [], {"r": F.abs(F.col("resid"))}, {"p": ("r", PROFILE.mb_percentile)})
+    fit = cal.mass_balance_fits(steps, {"l_t1": ["f_pu1"]})
+    resid = cal.residual("l_t1", ["f_pu1"])
+    p = cal.percentiles(steps.crossJoin(F.broadcast(fit)), [], {"r": F.abs(resid)},  # one row
+                        {"p": ("r", PROFILE.mb_percentile)})
     return fit.crossJoin(F.broadcast(p)).select(  # one row each
-        r6("alpha", "alpha"), r6("offset", "o"), r6(F.col("p") * PROFILE.mb_safety + 0.005, "eps"))
+        r6("alpha_l_t1", "alpha"), r6("offset_l_t1", "o"),
+        r6(F.col("p") * PROFILE.mb_safety + 0.005, "eps"))
 
 
 ROLLED = ", ".join(
@@ -308,13 +310,14 @@ ROLLED = ", ".join(
 
 @query("mb_window_eps", f"""{FIT} SELECT {ROLLED}""")
 def mb_window_eps(spark, d):
-    b = cal.mass_balance_limits(cal_rows(spark, d, "l_t1", "f_pu1"), ["scenario"], "l_t1", ["f_pu1"], PROFILE)
-    return b.select(*[r6(f"eps_w{k}", f"eps_w{k}") for k in PROFILE.mb_windows])
+    b = cal.mass_balance_limits(cal_rows(spark, d, "l_t1", "f_pu1"), ["scenario"], {"l_t1": ["f_pu1"]}, PROFILE)
+    return b.select(*[r6(f"eps_l_t1_w{k}", f"eps_w{k}") for k in PROFILE.mb_windows])
 
 
 @query("mb_pooled", f"""{FIT} SELECT round(alpha, 6) AS alpha, round(o, 6) AS o, round(r2, 6) AS r2, n,
   (SELECT round(quantile_cont(abs(resid), 0.99) * 1.1 + 0.005, 6) FROM rs) AS eps, {ROLLED} FROM fit WHERE n >= 100""")
 def mb_pooled(spark, d):
-    b = cal.mass_balance_limits(cal_rows(spark, d, "l_t1", "f_pu1"), ["scenario"], "l_t1", ["f_pu1"], PROFILE)
-    return b.select(r6("alpha", "alpha"), r6("offset", "o"), r6("r2", "r2"), "n", r6("eps", "eps"),
-                    *[r6(f"eps_w{k}", f"eps_w{k}") for k in PROFILE.mb_windows])
+    b = cal.mass_balance_limits(cal_rows(spark, d, "l_t1", "f_pu1"), ["scenario"], {"l_t1": ["f_pu1"]}, PROFILE)
+    return b.select(r6("alpha_l_t1", "alpha"), r6("offset_l_t1", "o"), r6("r2_l_t1", "r2"),
+                    F.col("n_l_t1").alias("n"), r6("eps_l_t1", "eps"),
+                    *[r6(f"eps_l_t1_w{k}", f"eps_w{k}") for k in PROFILE.mb_windows])
