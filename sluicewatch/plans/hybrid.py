@@ -52,6 +52,7 @@ def fit(clean: DataFrame, profile: Profile, features: Sequence[str], frame: str,
         unordered: DataFrame | None = None, automaton: tuple[DataFrame, DataFrame] | None = None,
         fp_budget: float = FP_BUDGET) -> Fitted:
     """Learn limits, rules and (without a given automaton) the moves clean rows show."""
+    clean = cut_lineage(clean)  # read by several passes below
     rows = clean if unordered is None else unordered
     params = calibrate(clean, profile, frame, frame_segment, rows)
     known, allowed = automaton or (
