@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trace_queries", "state_queries", "monitor_queries", "graph_queries")
+MODULES = ("trace_queries", "state_queries", "monitor_queries", "graph_queries", "program_queries")
 
 
 def load_queries() -> tuple[dict, dict]:
