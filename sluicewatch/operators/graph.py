@@ -34,6 +34,11 @@ def dangling(states: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFr
     return ends.join(states.select(*keys, "node"), [*keys, "node"], "left_anti")
 
 
+def _attach(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on the graph keys; without keys both sides are one row."""
+    return a.join(b, list(keys), "left") if keys else a.crossJoin(F.broadcast(b))
+
+
 def _fallback(states: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Per graph the first of ``names`` it has, else its first-seen state."""
     rank = F.lit(len(names))
@@ -47,7 +52,7 @@ def initial_state(states: DataFrame, edges: DataFrame, keys: Sequence[str],
     """First state without incoming edges, else a named one, else the first seen."""
     free = no_incoming(states, edges, keys).groupBy(*keys).agg(
         F.min_by("node", "ord").alias("free"))
-    both = _fallback(states, keys, names).join(free, list(keys), "left")
+    both = _attach(_fallback(states, keys, names), free, keys)
     return both.select(*keys, F.coalesce("free", "node").alias("node"))
 
 
@@ -55,6 +60,8 @@ def start_states(states: DataFrame, edges: DataFrame, keys: Sequence[str],
                  names: Sequence[str] = ("100",)) -> DataFrame:
     """All states without incoming edges; where there is none, the fallback state."""
     free = no_incoming(states, edges, keys).select(*keys, "node")
+    if not keys:
+        return free if not free.isEmpty() else _fallback(states, keys, names)
     rest = _fallback(states, keys, names).join(free.select(*keys), list(keys), "left_anti")
     return free.unionByName(rest)
 
@@ -154,7 +161,7 @@ def statistics(states: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Data
     m = out.groupBy(*keys).agg(F.sum("deg").alias("total_transitions"),
                                F.max("deg").alias("max_transitions_from_state"))
     dead = dead_states(states, edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("dead"))
-    j = n.join(m, list(keys), "left").join(dead, list(keys), "left")
+    j = _attach(_attach(n, m, keys), dead, keys)
     zero = F.lit(0)
     return j.select(
         *keys, "total_states", F.coalesce("total_transitions", zero).alias("total_transitions"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import format_g, iec_ident
+from ..session import cut_lineage
 from .segments import carry_values
 
 # The one control form that is understood, and the section header form.
@@ -114,7 +115,7 @@ def program_lines(plcs: DataFrame, actuators: DataFrame, owners: DataFrame, c: D
     actuator), ``owners`` (sensor, owner), ``c`` (link, ord, target, sensor, comparator,
     threshold). Ambiguous controls must have been ruled out.
     """
-    use = control_use(actuators, c)
+    use = cut_lineage(control_use(actuators, c))  # every part of the text reads it
     acts = use.select("plc", "act_ord", "actuator").distinct()
     zero = F.lit(0).cast("long")
 

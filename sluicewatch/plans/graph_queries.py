@@ -8,6 +8,7 @@ from ..functions import guards
 from ..operators import graph, product
 from ..operators.detectors import previous_state
 from ..operators.segments import halo_windows
+from ..session import cut_lineage
 from .registry import query
 from .trace import KEYS, SQL, trace
 
@@ -34,14 +35,14 @@ def modes(spark, d):
 
 def graphs(spark, d):
     """(states, edges) of all scenarios, edges with how often and when first seen."""
-    m = modes(spark, d)
+    m = cut_lineage(modes(spark, d))
     states = m.groupBy("scenario", "node").agg(F.min("rn").alias("ord"))
     linked = halo_windows(m, KEYS, lambda w: [{
         "frm": F.lag("node").over(w), "pl": F.lag("l_t1").over(w)}], before=1)
     moves = linked.filter((F.col("frm") != F.col("node")) & (F.col("l_t1") < 60) & (F.col("pl") < 60))
     edges = moves.groupBy("scenario", "frm", F.col("node").alias("to")).agg(
         F.count(F.lit(1)).alias("n"), F.min("rn").alias("ord"))
-    return states, edges
+    return cut_lineage(states), cut_lineage(edges)
 
 
 @query("initial_state", f"""{STATES}, {FREE} SELECT s.scenario, coalesce(any_value(f.node), arg_min(s.node, s.ord)) AS node
@@ -128,10 +129,12 @@ def path_signatures(spark, d):
     t = trace(spark, d, "eval", "l_t1", "s_pu1", "s_pu2")
     t = t.withColumn("node", F.concat(F.lit("P.A:"), F.col("s_pu1").cast("string"), F.lit("|P.B:"),
                                       F.col("s_pu2").cast("string")))
+    t = cut_lineage(t)
     starts = t.filter("rn = 0").select("scenario", "node")
     moves = previous_state(t, KEYS, "node", "frm").filter(F.col("frm") != F.col("node"))
     edges = moves.groupBy("scenario", "frm", F.col("node").alias("to")).agg(
         F.min("rn").alias("ord"), F.concat(F.lit("l_t1 <= "), F.max("l_t1").cast("string")).alias("cond"))
+    edges = cut_lineage(edges)
     paths = graph.simple_paths(edges, starts, G)
     # Conditions of a path: its edges' guards, sorted without repeats.
     conds = (paths.withColumn("pid", F.array_join("path", ">")).select(
@@ -188,7 +191,7 @@ def local_automata(spark, d):
     t = trace(spark, d, "eval", "l_t1", "s_pu1", "s_pu2", "f_pu1")
     parts = F.array(*[F.struct(F.lit(i).alias("comp"), c.cast("string").alias("node")) for i, c in enumerate((
         F.col("s_pu1"), F.col("s_pu2"), F.floor(F.col("f_pu1") / 25)))])
-    t = t.withColumn("parts", parts)
+    t = cut_lineage(t.withColumn("parts", parts))
     linked = halo_windows(t, KEYS, lambda w: [{"prev": F.lag("parts").over(w)}], before=1)
     states = t.select("scenario", F.inline("parts")).distinct()
     both = linked.select("scenario", "l_t1", F.inline(F.arrays_zip("parts", "prev")))

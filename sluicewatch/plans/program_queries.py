@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import guards, naming
 from ..operators import network, programs
 from ..operators.segments import with_positions
+from ..session import cut_lineage
 from .registry import query
 from .trace import SQL, table, trace
 
@@ -222,7 +223,7 @@ def fsm_extract(spark, d):
 
 @query("def_use_edges", f"""WITH {CT} SELECT CAST(c AS VARCHAR) AS file, '1' AS state, 'lvl' AS var, v.k AS reader FROM ct, (VALUES ('if'), ('elsif')) v(k)""")
 def def_use_edges(spark, d):
-    dep = programs.dependence_nodes(nodes(spark, d))
+    dep = cut_lineage(programs.dependence_nodes(nodes(spark, d)))
     e = programs.data_edges(dep)
     kinds = dep.select("file", "program", "case_var", "state", F.col("node").alias("to"), F.col("kind").alias("reader"))
     return e.join(kinds, ["file", "program", "case_var", "state", "to"]).select("file", "state", "var", "reader")
@@ -230,7 +231,7 @@ def def_use_edges(spark, d):
 
 def found_templates(spark, d):
     n = nodes(spark, d)
-    dep, var = programs.dependence_nodes(n), programs.variables(n)
+    dep, var = cut_lineage(programs.dependence_nodes(n)), programs.variables(n)
     acts = dep.filter("kind = 'assign' AND writes IN ('PU', 'Alarm')")
     return programs.templates(dep, var, programs.influences(dep, acts))
 
