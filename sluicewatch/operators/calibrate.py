@@ -142,18 +142,13 @@ def residual(tank: str, feeders: Sequence[str]) -> Column:
     return F.col(f"d{tank}") - F.col(f"alpha_{tank}") * total(feeders) - F.col(f"offset_{tank}")
 
 
-def mass_balance_limits(df: DataFrame, frame: Sequence[str], feeder_map: dict[str, Sequence[str]],
-                        profile: Profile, pooled: bool = True) -> DataFrame:
-    """One row: alpha, offset, r2, n, eps and eps_w<k> per tank, suffixed with the tank.
+def residual_rows(steps: DataFrame, frame: Sequence[str], feeder_map: dict[str, Sequence[str]],
+                  windows: Sequence[int]) -> DataFrame:
+    """Add resid_<tank> and roll_<tank>_w<k>; ``steps`` carries the fit's columns.
 
-    Pooled over frames, a tank needs 100 steps and a window length 100 full windows; a first
-    row counts as residual 0 inside the windows.
+    Inside the rolling sums a frame's first row counts as residual 0.
     """
-    windows = profile.mb_windows
-    steps = with_steps(df, frame, list(feeder_map))
-    fit = mass_balance_fits(steps, feeder_map)
-    rows = steps.crossJoin(F.broadcast(fit))  # one row of parameters
-    rows = rows.select("*", *[residual(t, f).alias(f"resid_{t}") for t, f in feeder_map.items()])
+    rows = steps.select("*", *[residual(t, f).alias(f"resid_{t}") for t, f in feeder_map.items()])
 
     def rolls(w):
         start = {t: F.when(F.col("rn") == 0, 0.0).otherwise(F.col(f"resid_{t}"))
@@ -161,25 +156,41 @@ def mass_balance_limits(df: DataFrame, frame: Sequence[str], feeder_map: dict[st
         return [{f"roll_{t}_w{k}": rolling_sum(x, w, k, full_only=True)
                  for t, x in start.items() for k in windows}] if windows else []
 
-    rows = halo_windows(rows, frame, rolls, before=max(windows, default=1))
+    return halo_windows(rows, frame, rolls, before=max(windows, default=1))
+
+
+def residual_metrics(tanks: Sequence[str], profile: Profile):
+    """(metrics, targets) of the residual percentiles."""
     metrics, targets = {}, {}
-    for t in feeder_map:
+    for t in tanks:
         metrics[f"r_{t}"] = F.abs(F.col(f"resid_{t}"))
         targets[f"p_{t}"] = (f"r_{t}", profile.mb_percentile)
-        for k in windows:
+        for k in profile.mb_windows:
             metrics[f"{t}_w{k}"] = F.abs(F.col(f"roll_{t}_w{k}"))
             targets[f"p_{t}_w{k}"] = (f"{t}_w{k}", profile.mb_window_percentile)
-    both = fit.crossJoin(F.broadcast(percentiles(rows, [], metrics, targets)))
+    return metrics, targets
+
+
+MIN_POOL = 100  # steps a tank needs, and full windows a window length needs
+
+
+def mass_balance_limits(df: DataFrame, frame: Sequence[str], feeder_map: dict[str, Sequence[str]],
+                        profile: Profile) -> DataFrame:
+    """One row: alpha, offset, r2, n, eps and eps_w<k> per tank, suffixed with the tank."""
+    steps = with_steps(df, frame, list(feeder_map))
+    fit = mass_balance_fits(steps, feeder_map)
+    rows = residual_rows(steps.crossJoin(F.broadcast(fit)), frame, feeder_map,  # one row
+                         profile.mb_windows)
+    both = fit.crossJoin(F.broadcast(percentiles(rows, [], *residual_metrics(list(feeder_map), profile))))
     out = []
     for t in feeder_map:
-        enough = F.col(f"n_{t}") >= (100 if pooled else 0)
-        need = 100 if pooled else 101
+        enough = F.col(f"n_{t}") >= MIN_POOL
         out += [F.when(enough, F.col(f"{c}_{t}")).alias(f"{c}_{t}") for c in ("alpha", "offset", "r2")]
         out += [F.col(f"n_{t}"), F.when(enough, F.col(f"p_{t}") * profile.mb_safety + 0.005)
                 .alias(f"eps_{t}")]
-        out += [F.when(enough & (F.col(f"n_{t}_w{k}") >= need),
+        out += [F.when(enough & (F.col(f"n_{t}_w{k}") >= MIN_POOL),
                        F.col(f"p_{t}_w{k}") * profile.mb_window_safety + 0.01).alias(f"eps_{t}_w{k}")
-                for k in windows]
+                for k in profile.mb_windows]
     return both.select(*out)
 
 
@@ -195,25 +206,24 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
         "mb", "mb_window", "tank", "pump", "valve", "head", "pressure", "pslew", "symmetry")}
     feeders = {t: [f for f in fs if f in have] for t, fs in profile.feeder_map.items() if t in have}
     feeders = {t: fs for t, fs in feeders.items() if fs}
+    more, targets, fit = [], {}, None
     if feeders:
-        row = mass_balance_limits(df, [frame], feeders, profile).first()
-        for t, fs in feeders.items():
-            if row[f"alpha_{t}"] is not None:
-                out["mb"][t] = {**{k: row[f"{k}_{t}"] for k in ("alpha", "offset", "eps", "r2")},
-                                "feeders": fs}
-                out["mb_window"][t] = {f"w{k}": {"eps": row[f"eps_{t}_w{k}"]}
-                                       for k in profile.mb_windows
-                                       if row[f"eps_{t}_w{k}"] is not None}
+        steps = with_steps(df, [frame], list(feeders))
+        fit = mass_balance_fits(steps, feeders).first()
+        fitted = steps.select("*", *[F.lit(fit[f"{c}_{t}"]).cast("double").alias(f"{c}_{t}")
+                                     for t in feeders for c in ("alpha", "offset")])
+        metrics, targets = residual_metrics(list(feeders), profile)
+        more.append((residual_rows(fitted, [frame], feeders, profile.mb_windows), metrics))
     tanks = [t for t in profile.tanks if t in have]
     joints = [j for j in profile.junctions if j in have]
     if tanks or joints:
         steps = chained_steps(df, frame, [*tanks, *joints], frame_segment)
-        slews = percentiles(steps, [], {c: F.abs(F.col(f"d{c}")) for c in [*tanks, *joints]}, {
-            **{f"p_{t}": (t, profile.slew_percentile) for t in tanks},
-            **{f"p_{j}": (j, profile.pslew_percentile) for j in joints}}).first()
+        more.append((steps, {f"d_{c}": F.abs(F.col(f"d{c}")) for c in [*tanks, *joints]}))
+        targets |= {f"step_{t}": (f"d_{t}", profile.slew_percentile) for t in tanks}
+        targets |= {f"step_{j}": (f"d_{j}", profile.pslew_percentile) for j in joints}
 
-    # Everything that does not depend on row order: one aggregate and one percentile pass.
-    aggs, values, targets = [], {}, {}
+    # Everything that does not depend on row order: one aggregate; all percentiles share passes.
+    aggs, values = [], {}
     pct = profile.pump_percentile
     for t in tanks:
         aggs += [F.min(number(F.col(t))).alias(f"min_{t}"), F.max(number(F.col(t))).alias(f"max_{t}")]
@@ -255,13 +265,22 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
         targets[f"gap_{a}_{b}"] = (f"gap_{a}_{b}", profile.symmetry_percentile)
     rows = df if unordered is None else unordered
     a = rows.agg(*aggs).first() if aggs else None
-    p = percentiles(rows, [], values, targets).first() if values else None
-
+    if values:
+        more.insert(0, (rows, values))
+    p = percentiles(more[0][0], [], more[0][1], targets, more=more[1:]).first() if more else None
+
+    for t, fs in feeders.items():
+        if fit[f"n_{t}"] >= MIN_POOL:
+            out["mb"][t] = {**{c: fit[f"{c}_{t}"] for c in ("alpha", "offset", "r2")},
+                            "eps": p[f"p_{t}"] * profile.mb_safety + 0.005, "feeders": fs}
+            out["mb_window"][t] = {
+                f"w{k}": {"eps": p[f"p_{t}_w{k}"] * profile.mb_window_safety + 0.01}
+                for k in profile.mb_windows if p[f"n_{t}_w{k}"] >= MIN_POOL}
     for t in tanks:
         phys = profile.tank_physical.get(t, {"min": -1e9, "max": 1e9})
         out["tank"][t] = {"h_min": max(phys["min"], a[f"min_{t}"] - profile.margin),
                           "h_max": min(phys["max"], a[f"max_{t}"] + profile.margin),
-                          "slew_max": slews[f"p_{t}"] * profile.slew_safety + 0.02}
+                          "slew_max": p[f"step_{t}"] * profile.slew_safety + 0.02}
     for (kind, i), (status, flow) in flows.items():
         name = f"{kind}_{i}"
         frac = a[f"frac_{name}"]
@@ -284,7 +303,7 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
             out["head"][pid] = {"h_min": p[f"head_{pid}_lo"] - 2.0, "h_max": p[f"head_{pid}_hi"] + 2.0}
     for j in joints:
         out["pressure"][j] = {"p_min": p[f"at_{j}_lo"] - 1.0, "p_max": p[f"at_{j}_hi"] + 1.0}
-        out["pslew"][j] = {"slew_max": slews[f"p_{j}"] * profile.pslew_safety + 0.5}
+        out["pslew"][j] = {"slew_max": p[f"step_{j}"] * profile.pslew_safety + 0.5}
     for c1, c2 in pairs:
         if p[f"n_gap_{c1}_{c2}"] >= 100:
             out["symmetry"][f"{c1}_{c2}"] = {

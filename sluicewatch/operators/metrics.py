@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .segments import running_sums
 
 
@@ -14,10 +15,12 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
-def confusion(df: DataFrame, keys: Sequence[str], y: str = "y_true",
-              pred: str = "y_pred") -> DataFrame:
+def confusion(df: DataFrame, keys: Sequence[str], y: str = "y_true", pred: str = "y_pred",
+              weight: Column | None = None) -> DataFrame:
+    one = F.lit(1).cast("long") if weight is None else weight
+
     def n(t: int, p: int) -> Column:
-        return F.sum(((F.col(y) == t) & (F.col(pred) == p)).cast("long"))
+        return F.sum(F.when((F.col(y) == t) & (F.col(pred) == p), one).otherwise(0))
 
     return df.groupBy(*keys).agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"),
                                  n(0, 0).alias("tn"), n(1, 0).alias("fn"))
@@ -39,16 +42,16 @@ def rates(c: DataFrame) -> DataFrame:
 
 
 def ranking(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: str = "score",
-            resolution: int = 1000) -> DataFrame:
+            weight: Column | None = None, resolution: int = 1000) -> DataFrame:
     """Average precision and ROC AUC per key; NULL when only one class occurs.
 
     Rows are counted per distinct score first, so ties are exact and the ordered part only
     sees distinct scores, split over score ranges of 1/``resolution``.
     """
-    s = F.col(score)
+    s, one = F.col(score), F.lit(1).cast("long") if weight is None else weight
     per = df.groupBy(*keys, score).agg(
-        F.sum((F.col(y) == 1).cast("long")).alias("pos"),
-        F.sum((F.col(y) == 0).cast("long")).alias("neg"))
+        F.sum(F.when(F.col(y) == 1, one).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col(y) == 0, one).otherwise(0)).alias("neg"))
     cum = running_sums(per, keys, [F.desc(score)], F.floor(-s * resolution),
                        {"cp": F.col("pos"), "cn": F.col("neg")})
     tp, fp = F.col("cp").cast("double"), F.col("cn").cast("double")
@@ -63,7 +66,10 @@ def ranking(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: str =
 
 def detection_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true",
                       pred: str = "y_pred", score: str = "score") -> DataFrame:
-    c, r = rates(confusion(df, keys, y, pred)), ranking(df, keys, y, score)
+    """All metrics per key from one pass: rows are first counted per (label, flag, score)."""
+    cells = cut_lineage(df.groupBy(*keys, F.col(y).alias("y"), F.col(pred).alias("p"),
+                                   F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("w")))
+    c, r = rates(confusion(cells, keys, "y", "p", F.col("w"))), ranking(cells, keys, "y", "s", F.col("w"))
     if not keys:  # one row each
         return c.crossJoin(F.broadcast(r))
     return c.join(r, list(keys))

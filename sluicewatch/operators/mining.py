@@ -45,17 +45,16 @@ def mine_pairs(df: DataFrame, features: Sequence[str], min_support: float = MIN_
                min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
     """Rules ``f1 in bin => f2 in bin`` per state, with the observed range of each bin."""
     support = state_support(df, min_observations)
-    binned = bin_rows(df, features)
-    single = cut_lineage(
-        binned.select("state", F.explode("bins").alias("x"))
-        .groupBy("state", F.col("x.f").alias("f"), F.col("x.b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")))
-    pairs = (
-        binned.select("state", F.explode(F.flatten(F.transform("bins", lambda x: F.transform(
-            F.filter("bins", lambda y: y["f"] != x["f"]),
-            lambda y: F.struct(x["f"].alias("f1"), x["b"].alias("b1"),
-                               y["f"].alias("f2"), y["b"].alias("b2")))))).alias("p"))
-        .groupBy("state", "p.f1", "p.b1", "p.f2", "p.b2").agg(F.count(F.lit(1)).alias("both")))
+    # Each bin is also paired with itself, so single and joint counts come from one pass.
+    counted = cut_lineage(
+        bin_rows(df, features).select("state", F.explode(F.flatten(F.transform("bins", lambda x: F.transform(
+            "bins", lambda y: F.struct(x["f"].alias("f1"), x["b"].alias("b1"), y["f"].alias("f2"),
+                                       y["b"].alias("b2"), x["v"].alias("v")))))).alias("p"))
+        .groupBy("state", "p.f1", "p.b1", "p.f2", "p.b2")
+        .agg(F.count(F.lit(1)).alias("both"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")))
+    single = counted.filter("f1 = f2").select("state", F.col("f1").alias("f"), F.col("b1").alias("b"),
+                                              F.col("both").alias("n"), "lo", "hi")
+    pairs = counted.filter("f1 <> f2").drop("lo", "hi")
 
     def side(i: int) -> DataFrame:
         return single.select("state", F.col("f").alias(f"f{i}"), F.col("b").alias(f"b{i}"),

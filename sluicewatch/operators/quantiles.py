@@ -21,17 +21,27 @@ SORTABLE = 1_000_000
 MAX_LEVELS = 4
 
 
+def metric_values(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) -> DataFrame:
+    """(keys, metric, v): one row per row and metric."""
+    return df.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), c.cast("double").alias("v"))
+        for m, c in metrics.items()])))
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column],
-                targets: dict[str, tuple[str, float]], sortable: int = SORTABLE) -> DataFrame:
+                targets: dict[str, tuple[str, float]], sortable: int = SORTABLE,
+                more: Sequence[tuple[DataFrame, dict[str, Column]]] = ()) -> DataFrame:
     """One row per ``keys`` with a column per target; several metrics share each pass.
 
     ``metrics`` maps a metric to its value (NULL and NaN are left out), ``targets`` maps an
-    output column to (metric, percentile 0..100). Also adds ``n_<metric>`` counts.
+    output column to (metric, percentile 0..100). Also adds ``n_<metric>`` counts. ``more``
+    brings metrics of other frames into the same passes.
     """
     group = [*keys, "metric"]
-    values = df.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), c.cast("double").alias("v"))
-        for m, c in metrics.items()])))
+    values = metric_values(df, keys, metrics)
+    for other, its in more:
+        values = values.unionByName(metric_values(other, keys, its))
+        metrics = {**metrics, **its}
     values = cut_lineage(
         values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c")))

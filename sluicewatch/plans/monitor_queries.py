@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.formulas import synthesize
 from ..operators.calibrate import calibrate
 from ..operators.signals import stl_flags
+from ..session import cut_lineage
 from . import hybrid
 from .registry import query
 from .state_queries import CONF, FEATURES, MINED_FROM, RANK, RATE_COLS, RATES, VIOLATIONS
@@ -87,8 +88,8 @@ def predictions(spark, d, fusion="intersection"):
 
 @query("stl_detector", f"{STL} SELECT scenario, rn, fires, y_stl AS y_pred_stl, score FROM stl")
 def stl_detector(spark, d):
-    params = calibrate(trace(spark, d, "cal", *COLUMNS), PROFILE, "scenario", frame_segment(),
-                       rows(spark, d, "cal"))
+    clean = cut_lineage(trace(spark, d, "cal", *COLUMNS))  # read by several passes
+    params = calibrate(clean, PROFILE, "scenario", frame_segment(), rows(spark, d, "cal"))
     f = stl_flags(trace(spark, d, "eval", *COLUMNS), KEYS, PROFILE, params, synthesize(PROFILE, params))
     return f.select("scenario", "rn", "fires", "y_pred_stl", "score")
 

@@ -13,7 +13,6 @@ from ..functions.formulas import synthesize
 from ..functions.naming import composite_state
 from ..operators import mining, network, programs
 from ..operators.calibrate import calibrate
-from ..operators.detectors import violation_threshold
 from ..operators.metrics import detection_metrics
 from ..operators.signals import stl_flags
 from ..profiles import get_profile
@@ -26,10 +25,15 @@ KEYS = ["scenario"]
 
 
 def rows_as_dicts(df: DataFrame) -> list[dict[str, Any]]:
-    """Small result frames (one row per scenario or arm) for a manifest."""
+    """Frames with one row per ablation arm or topology, for a manifest."""
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def save(df: DataFrame, out: str, name: str) -> str:
+    df.write.mode("overwrite").json(os.path.join(out, name))
+    return name
+
+
 def ingest(spark: SparkSession, topology: str, raw_root: str, data_root: str) -> str:
     if topology == "ctown":
         base = os.path.join(raw_root, "BATADAL")
@@ -70,9 +74,9 @@ def generate(spark: SparkSession, topology: str, inp: str, plcs_file: str, out:
     use = network.sensors_used(network.control_use(acts, c)).join(owners, "sensor", "left")
     man = writers.stage_manifest("st_gen/v1", topology, inp=os.path.basename(inp),
                                  plcs_yaml=os.path.basename(plcs_file),
-                                 fsms=rows_as_dicts(fsms.orderBy("plc", "act_ord")),
-                                 sensors=rows_as_dicts(use.orderBy("plc", "first").select(
-                                     "plc", "sensor", F.coalesce("owner", F.lit("")).alias("owner_plc"))))
+                                 fsms=save(fsms, out, "fsms"), sensors=save(use.select(
+                                     "plc", "sensor", "first", F.coalesce("owner", F.lit("")).alias("owner_plc")),
+                                     out, "sensors"))
     writers.write_json(os.path.join(out, f"{topology}_manifest.json"), man)
     return man
 
@@ -166,7 +170,7 @@ def monitor_stl(spark: SparkSession, ds: telemetry.Dataset, out: str) -> dict[st
                     .withColumn("y_pred", F.col("y_pred_stl")).withColumn("anomaly_score", F.col("score")))
     writers.write_predictions(p, os.path.join(out, "predictions"), "y_pred", "anomaly_score")
     man = writers.stage_manifest("stl/v1", ds.topology, n_formulas=len(specs), all_ok=True,
-                                 scenarios=rows_as_dicts(detection_metrics(p, KEYS, "label")))
+                                 scenarios=save(detection_metrics(p, KEYS, "label"), out, "evaluation"))
     writers.write_json(os.path.join(out, f"{ds.topology}_stl_manifest.json"), man)
     return man
 
@@ -190,7 +194,7 @@ def monitor(spark: SparkSession, ds: telemetry.Dataset, components: list[tuple[s
                               "y_pred_invariants", "y_pred")
     man = writers.stage_manifest(
         "monitor/v1", ds.topology, detectors=["stl", "gfsm", "invariants"], fusion=fusion, all_ok=True,
-        scenarios=rows_as_dicts(hybrid.score(p, KEYS)), arms=rows_as_dicts(hybrid.ablation(p)))
+        scenarios=save(hybrid.score(p, KEYS), out, "evaluation"), arms=rows_as_dicts(hybrid.ablation(p)))
     writers.write_json(os.path.join(out, f"{ds.topology}_monitor_manifest.json"), man)
     return man
 
