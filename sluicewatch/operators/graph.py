@@ -112,35 +112,35 @@ def _spread(marks: DataFrame, edges: DataFrame, keys: Sequence[str], mark: str)
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Strongly connected components as (keys, node, scc), by repeated colouring.
+    """Strongly connected components as (keys, node, scc), named by their largest node.
 
-    The largest node name reaching a node colours it; the nodes that reach their colour's
-    root without leaving the colour form one component and are taken out.
+    Each round finds, for every node, the largest node that reaches it and the largest one it
+    reaches. Where both agree the node belongs to that node's component and is taken out;
+    edges whose ends differ in either cannot lie inside a component and are dropped.
     """
     on = [*keys, "node"]
     left_edges = cut_lineage(edges.select(*keys, "frm", "to").filter(
         F.col("frm") != F.col("to")).distinct())
     left = cut_lineage(nodes.select(*on).distinct())
     done: DataFrame | None = None
+    both_ways = F.explode(F.array(F.lit(0), F.lit(1)))
     while not left.isEmpty():
-        color = _spread(left.withColumn("color", F.col("node")), left_edges, keys, "color")
-        # One component has one colour: edges between colours can never be inside one.
-        frm = color.select(*keys, F.col("node").alias("frm"), F.col("color").alias("c1"))
-        to = color.select(*keys, F.col("node").alias("to"), F.col("color").alias("c2"))
-        back = cut_lineage(
-            left_edges.join(frm, [*keys, "frm"]).join(to, [*keys, "to"])
-            .filter(F.col("c1") == F.col("c2"))
-            .select(*keys, F.col("to").alias("frm"), F.col("frm").alias("to")))
-        roots = color.select(*on, F.struct(
-            (F.col("color") == F.col("node")).cast("int").alias("hit"), "color").alias("m"))
-        marked = _spread(roots, back, keys, "m")
-        found = marked.filter("m.hit = 1").select(*on, F.col("m.color").alias("scc"))
-        left = marked.filter("m.hit = 0").select(*on)
+        ways = F.inline(F.array(
+            F.struct(F.lit(0).alias("dir"), "frm", "to"),
+            F.struct(F.lit(1).alias("dir"), F.col("to").alias("frm"), F.col("frm").alias("to"))))
+        marks = _spread(left.select(*on, both_ways.alias("dir"), F.col("node").alias("top")),
+                        left_edges.select(*keys, ways), [*keys, "dir"], "top")
+        tops = cut_lineage(marks.groupBy(*on).agg(
+            F.max(F.when(F.col("dir") == 0, F.col("top"))).alias("before"),
+            F.max(F.when(F.col("dir") == 1, F.col("top"))).alias("after")))
+        found = tops.filter(F.col("before") == F.col("after")).select(*on, F.col("before").alias("scc"))
         done = found if done is None else done.unionByName(found)
+        open_ = tops.filter(F.col("before") != F.col("after"))
+        left = open_.select(*on)
+        same = [*keys, "before", "after"]
         left_edges = cut_lineage(
-            back.select(*keys, F.col("to").alias("frm"), F.col("frm").alias("to"))
-            .join(left.withColumnRenamed("node", "frm"), [*keys, "frm"], "left_semi")
-            .join(left.withColumnRenamed("node", "to"), [*keys, "to"], "left_semi"))
+            left_edges.join(open_.withColumnRenamed("node", "frm"), [*keys, "frm"])
+            .join(open_.withColumnRenamed("node", "to"), [*same, "to"]).select(*keys, "frm", "to"))
     return done if done is not None else nodes.select(*on).withColumn("scc", F.col("node"))
 
 

@@ -56,6 +56,15 @@ def programs_of(spark: SparkSession, root: str, topology: str):
         lambda x: x["value"]), "").alias("text"))
 
 
+def listed_fsms(spark: SparkSession, made: str):
+    """FSMs per program that st-gen wrote, when it ran."""
+    path = os.path.join(made, "st", "fsms")
+    if not os.path.isdir(path):
+        return None
+    return spark.read.schema("plc string, actuator string").json(path).groupBy("plc").agg(
+        F.count(F.lit(1)).alias("n_listed"))
+
+
 def run(spark: SparkSession, a: argparse.Namespace, topology: str) -> bool:
     root = a.data_root
     made = os.path.join(root, "generated", topology)
@@ -72,7 +81,8 @@ def run(spark: SparkSession, a: argparse.Namespace, topology: str) -> bool:
     if a.stage == "st-analyze":
         return pipeline.analyze(spark, programs_of(spark, root, topology), out("analysis"), topology)["all_ok"]
     if a.stage == "gfsm-build":
-        return pipeline.build(spark, programs_of(spark, root, topology), out("gfsm"), topology, a.max_states)[1]["all_ok"]
+        return pipeline.build(spark, programs_of(spark, root, topology), out("gfsm"), topology, a.max_states,
+                              listed_fsms(spark, made))[1]["all_ok"]
     ds = dataset.load_dataset(spark, root, topology)
     if a.stage == "stl-monitor":
         return pipeline.monitor_stl(spark, ds, out("stl"))["all_ok"]

@@ -91,7 +91,11 @@ def analyze(spark: SparkSession, sources: DataFrame, out: str, topology: str) ->
         programs.data_edges(dep).withColumn("edge", F.lit("data")), allowMissingColumns=True)
     for name, df in (("ast", nodes), ("pdg_nodes", dep), ("pdg_edges", edges), ("variables", var),
                      ("templates", found)):
-        df.write.mode("overwrite").json(os.path.join(out, name))
+        save(df, out, name)
+    writers.write_dot(
+        dep.select(F.concat_ws(":", "file", "node").alias("node")),
+        edges.select(F.concat_ws(":", "file", "frm").alias("frm"), F.concat_ws(":", "file", "to").alias("to"),
+                     F.coalesce("var", "edge").alias("guard")), os.path.join(out, "pdg_dot"), topology)
     counts = found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     status = sources.select("file").join(
         nodes.filter("kind = 'program'").select("file").distinct().withColumn("ok", F.lit(True)), "file", "left")
@@ -102,18 +106,29 @@ def analyze(spark: SparkSession, sources: DataFrame, out: str, topology: str) ->
     return man
 
 
-def build(spark: SparkSession, sources: DataFrame, out: str, topology: str,
-          max_states: int = 100_000) -> tuple[automaton.Automaton, dict[str, Any]]:
-    """Program sources to the global automaton, its drawing and its analysis."""
+def build(spark: SparkSession, sources: DataFrame, out: str, topology: str, max_states: int = 100_000,
+          listed: DataFrame | None = None) -> tuple[automaton.Automaton, dict[str, Any]]:
+    """Program sources to the global automaton, its drawing and its analysis.
+
+    ``listed`` (plc, n_listed) are the FSMs each program should have; a program that lacks
+    them makes the run not ok, one without any is skipped.
+    """
     a = automaton.compose(*automaton.extract(sources), max_states)
     writers.write_automaton(a.states, a.edges, os.path.join(out, "gfsm"), f"{topology} (composed)")
     found = automaton.analysis(a)
     for name, df in found.items():
         df.write.mode("overwrite").json(os.path.join(out, "analysis", name))
+    blocks = a.local_states.select("program", "case_var").distinct().groupBy(
+        F.col("program").alias("plc")).agg(F.count(F.lit(1)).alias("n_blocks"))
+    if listed is None:
+        listed = blocks.withColumnRenamed("n_blocks", "n_listed")
+    status = automaton.plc_status(listed, blocks)
+    save(status, out, "plcs")
     stats = found["statistics"].first()
     man = writers.stage_manifest(
         "gfsm/v1", topology, initial=a.initial, components=[list(c) for c in a.components],
-        states=stats["total_states"], transitions=stats["total_transitions"], all_ok=True)
+        states=stats["total_states"], transitions=stats["total_transitions"],
+        all_ok=status.filter("status = 'error'").isEmpty())
     writers.write_json(os.path.join(out, f"{topology}_gfsm_manifest.json"), man)
     return a, man
 
@@ -192,9 +207,11 @@ def monitor(spark: SparkSession, ds: telemetry.Dataset, components: list[tuple[s
     p = cut_lineage(hybrid.predict(ds.evaluation.withColumn("state", state), KEYS, m, fusion))
     writers.write_predictions(p, os.path.join(out, "predictions"), "y_pred_stl", "y_pred_gfsm",
                               "y_pred_invariants", "y_pred")
+    arms = rows_as_dicts(hybrid.ablation(p))
+    writers.write_ablation(p, arms, out, ds.topology)
     man = writers.stage_manifest(
         "monitor/v1", ds.topology, detectors=["stl", "gfsm", "invariants"], fusion=fusion, all_ok=True,
-        scenarios=save(hybrid.score(p, KEYS), out, "evaluation"), arms=rows_as_dicts(hybrid.ablation(p)))
+        scenarios=save(hybrid.score(p, KEYS), out, "evaluation"), arms=arms)
     writers.write_json(os.path.join(out, f"{ds.topology}_monitor_manifest.json"), man)
     return man
 

@@ -84,5 +84,28 @@ def write_automaton(states: DataFrame, edges: DataFrame, path: str, name: str) -
     states.write.mode("overwrite").json(f"{path}/states")
     edges.repartitionByRange("frm", "to", "guard").sortWithinPartitions("frm", "to", "guard").write.mode(
         "overwrite").json(f"{path}/transitions")
+    write_dot(states, edges, f"{path}/dot", name)
+
+
+def write_dot(states: DataFrame, edges: DataFrame, path: str, name: str) -> None:
     dot = dot_lines(states, edges, name).repartitionByRange("part", "key").sortWithinPartitions("part", "key")
-    dot.select("text").write.mode("overwrite").text(f"{path}/dot")
+    dot.select("text").write.mode("overwrite").text(path)
+
+
+# Columns of the ablation table.
+ARM_COLUMNS = ("topology", "arm", "n", "attack_rows", "mcc", "balanced_accuracy", "auprc", "precision",
+               "recall", "f1", "tp", "fp", "fn", "tn")
+
+
+def write_ablation(predictions: DataFrame, arms: list[dict[str, Any]], out: str, topology: str) -> None:
+    """agreement/ per row (gfsm next to stl), and one line per arm under a note."""
+    g = F.greatest("y_pred_gfsm", "y_pred_invariants").alias("gfsm")
+    rows = predictions.select("scenario", F.col("rn").alias("row"), F.col("label").alias("y_true"), g,
+                              F.col("y_pred_stl").alias("stl"))
+    rows.repartitionByRange("scenario", "row").sortWithinPartitions("scenario", "row").write.mode(
+        "overwrite").csv(os.path.join(out, "agreement"), header=True)
+    with open(os.path.join(out, f"{topology}_ablation.csv"), "w", encoding="utf-8") as fh:
+        fh.write("# arms score their 0/1 decision, so auprc is coarse\n" + ",".join(ARM_COLUMNS) + "\n")
+        for a in sorted(arms, key=lambda a: a["arm"]):
+            row = {**a, "topology": topology, "auprc": a["aucpr"]}
+            fh.write(",".join(str(row[c]) for c in ARM_COLUMNS) + "\n")

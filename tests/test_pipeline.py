@@ -186,6 +186,9 @@ def test_whole_pipeline(spark, root):
     fused = spark.read.json(f"{made}/monitor/{man['scenarios']}").first()
     assert fused["tp"] + fused["fn"] == 70
     assert spark.read.json(f"{made}/stl/evaluation").first()["recall"] == 1.0
+    assert spark.read.json(f"{made}/gfsm/plcs").first()["status"] == "ok"
+    with open(f"{made}/monitor/ctown_ablation.csv") as f:
+        assert len(f.read().splitlines()) == 5
     pred = spark.read.csv(f"{made}/monitor/predictions", header=True)
     assert pred.columns == ["scenario", "row", "y_true", "y_pred_stl", "y_pred_gfsm", "y_pred_invariants", "y_pred"]
     assert pred.count() == 120
