@@ -105,7 +105,7 @@ def _spread(marks: DataFrame, edges: DataFrame, keys: Sequence[str], mark: str)
                      .groupBy(*on).agg(F.max(mark).alias(mark),
                                        F.max(F.when(F.col("own"), F.col(mark))).alias("before")))
         marks = cut_lineage(marks)
-        still = marks.filter(F.col(mark) == F.col("before")).count() == marks.count()
+        still = marks.filter(~F.col(mark).eqNullSafe(F.col("before"))).isEmpty()
         marks = marks.select(*on, mark)
         if still:  # the last hop moved nothing
             return marks
@@ -114,9 +114,10 @@ def _spread(marks: DataFrame, edges: DataFrame, keys: Sequence[str], mark: str)
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Strongly connected components as (keys, node, scc), named by their largest node.
 
-    Each round finds, for every node, the largest node that reaches it and the largest one it
-    reaches. Where both agree the node belongs to that node's component and is taken out;
-    edges whose ends differ in either cannot lie inside a component and are dropped.
+    Nodes without a way in or out stand alone. For the others each round finds the largest
+    node that reaches them and the largest one they reach. Where both agree the node belongs
+    to that node's component and is taken out; edges whose ends differ in either cannot lie
+    inside a component and are dropped.
     """
     on = [*keys, "node"]
     left_edges = cut_lineage(edges.select(*keys, "frm", "to").filter(
@@ -125,6 +126,17 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
     done: DataFrame | None = None
     both_ways = F.explode(F.array(F.lit(0), F.lit(1)))
     while not left.isEmpty():
+        core = cut_lineage(
+            left_edges.select(*keys, F.col("frm").alias("node")).distinct()
+            .join(left_edges.select(*keys, F.col("to").alias("node")), on, "left_semi"))
+        alone = left.join(core, on, "left_anti").withColumn("scc", F.col("node"))
+        done = alone if done is None else done.unionByName(alone)
+        left = core
+        if left.isEmpty():
+            break
+        left_edges = left_edges.join(
+            core.withColumnRenamed("node", "frm"), [*keys, "frm"], "left_semi").join(
+            core.withColumnRenamed("node", "to"), [*keys, "to"], "left_semi")
         ways = F.inline(F.array(
             F.struct(F.lit(0).alias("dir"), "frm", "to"),
             F.struct(F.lit(1).alias("dir"), F.col("to").alias("frm"), F.col("frm").alias("to"))))
@@ -134,7 +146,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
             F.max(F.when(F.col("dir") == 0, F.col("top"))).alias("before"),
             F.max(F.when(F.col("dir") == 1, F.col("top"))).alias("after")))
         found = tops.filter(F.col("before") == F.col("after")).select(*on, F.col("before").alias("scc"))
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         open_ = tops.filter(F.col("before") != F.col("after"))
         left = open_.select(*on)
         same = [*keys, "before", "after"]
