@@ -61,7 +61,8 @@ def violation_count(rules: list[dict[str, Any]], columns: Iterable[str]) -> Colu
 
 def values_map(columns: Iterable[str]) -> Column:
     """map<column, value> of a row, for rules that arrive as data."""
-    return F.create_map(*[x for c in columns for x in (F.lit(c), number(F.col(c)))])
+    pairs = [x for c in columns for x in (F.lit(c), number(F.col(c)))]
+    return F.create_map(*pairs).cast("map<string,double>")
 
 
 def violation_count_data(rules: Column, values: Column) -> Column:

@@ -39,7 +39,9 @@ def step(frontier: DataFrame, options: DataFrame, keys: Sequence[str], n: int) -
     Component by component, so a contradiction prunes before the next join. (keys, locals,
     nxt, guard, tids, ords).
     """
-    f = frontier.select(
+    # A row fans out into every joint choice: spread the few rows over all tasks first.
+    n_tasks = int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = frontier.repartition(n_tasks, *keys, "locals").select(
         *keys, "locals", F.array().cast("array<string>").alias("nxt"),
         F.array(F.array()).cast(DNF_TYPE).alias("dnf"),
         F.array().cast("array<string>").alias("tids"), F.array().cast("array<bigint>").alias("ords"))
@@ -68,7 +70,7 @@ def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
     """
     options = cut_lineage(options)
     seen = cut_lineage(initial.select(*keys, "locals"))
-    frontier, moves = seen, None
+    frontier, moves, total = seen, None, 0
     while True:
         found = step(frontier, options, keys, n).groupBy(*keys, "locals", "nxt", "guard").agg(
             F.min_by("tids", "ords").alias("tids"))
@@ -77,9 +79,12 @@ def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
         fresh = found.select(*keys, F.col("nxt").alias("locals")).distinct().join(
             seen, [*keys, "locals"], "left_anti")
         frontier = cut_lineage(fresh)
-        if frontier.isEmpty():
+        new = frontier.count()
+        if new == 0:
             return seen, moves
-        seen = seen.unionByName(frontier)
-        over = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_states)
-        if not over.isEmpty():
-            raise ValueError(f"global FSM exceeds --max-states={max_states} (state explosion)")
+        seen, total = seen.unionByName(frontier), total + new
+        if total >= max_states:  # all graphs together; now look at each
+            sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            if not sizes.filter(F.col("n") > max_states).isEmpty():
+                raise ValueError(
+                    f"global FSM exceeds --max-states={max_states} (state explosion)")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import synthesize
+from ..functions.rules import RULES_TYPE
 from ..operators import detectors, metrics, mining
 from ..operators.calibrate import calibrate
 from ..operators.signals import stl_flags
@@ -40,6 +41,8 @@ def mine(clean: DataFrame, features: Sequence[str], fp_budget: float = FP_BUDGET
          min_observations: int = mining.MIN_OBSERVATIONS) -> tuple[DataFrame, int, str | None]:
     """Rule sets per state of clean rows (with a ``state`` column) and the threshold K."""
     support = mining.state_support(clean, min_observations)
+    if not features:  # nothing to state rules about
+        return cut_lineage(support.withColumn("rules", F.array().cast(RULES_TYPE))), 1, None
     phi = cut_lineage(mining.rule_sets(
         mining.mine_pairs(clean, features, min_observations=min_observations), support))
     chosen = detectors.violation_threshold(

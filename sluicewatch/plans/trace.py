@@ -55,8 +55,10 @@ def rows(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFram
         (k >= 90).cast("int").alias("label"))
 
 
-def segment() -> Column:
-    return F.floor(F.unix_timestamp("ts") / SEGMENT_SECONDS)
+def segment(spark: SparkSession) -> Column:
+    """Time slot of a row; set ``sluicewatch.segment.seconds`` lower for denser series."""
+    seconds = int(spark.conf.get("sluicewatch.segment.seconds", str(SEGMENT_SECONDS)))
+    return F.floor(F.unix_timestamp("ts") / seconds)
 
 
 def trace(spark: SparkSession, sf_dir: str, split: str | None = None,
@@ -64,7 +66,7 @@ def trace(spark: SparkSession, sf_dir: str, split: str | None = None,
     """Positioned rows with only the wanted columns carried through the shuffle."""
     keep = dict.fromkeys([*KEYS, "ts", "event_id", *columns])
     df = rows(spark, sf_dir, split).select(*keep)
-    return with_positions(df, KEYS, ["ts", "event_id"], segment())
+    return with_positions(df, KEYS, ["ts", "event_id"], segment(spark))
 
 
 def frame_segment() -> Column:

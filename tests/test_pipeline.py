@@ -201,3 +201,41 @@ def test_whole_pipeline(spark, root):
 def test_missing_dataset(spark, tmp_path):
     with pytest.raises(telemetry.DataError, match="dataio-ingest"):
         dataset.load_dataset(spark, str(tmp_path), "ctown")
+
+
+def test_anytown_runs(spark, tmp_path):
+    def run(name, rows):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "scada_values.csv").write_text("iteration, timestamp , T41,P78\n" + "".join(
+            f"{i},2020-01-01 00:{i % 60:02d},{'' if level is None else level},{p}\n" for i, level, p in rows))
+        return d
+
+    clean = run("clean", [(0, 9, 9), (1, None, 0), (2, 2.5, 0), (3, None, 1), (700, 3.0, 1)])
+    attack = run("attack", [(1, 1.0, 0), (649, "bad", 1), (793, 4.0, 1), (794, 5.0, 0)])
+    (attack / "ground_truth.csv").write_text("iteration\n1\n649\n793\n794\n")
+    cal, ev, names = telemetry.anytown(spark, [str(clean / "scada_values.csv")], [
+        (str(attack / "scada_values.csv"), str(attack / "ground_truth.csv"), 649, 794, "mitm")])
+    assert [(r["rn"], r["t41"]) for r in cal.orderBy("rn").collect()] == [(0, 2.5), (1, 2.5), (2, 2.5)]
+    assert [(r["scenario"], r["rn"], r["t41"], r["label"]) for r in ev.orderBy("rn").collect()] == [
+        ("mitm", 0, 1.0, 0), ("mitm", 1, 1.0, 1), ("mitm", 2, 4.0, 1), ("mitm", 3, 5.0, 0)]
+    assert names["T41"] == "t41"
+
+
+def test_stored_artifacts(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({
+        "initial": "P.S:0", "states": {"P.S:0": ["0"], "P.S:1": ["1"]},
+        "transitions": [{"from": "P.S:0", "to": "P.S:1"}, {"from_state": "P.S:1", "to_state": "P.S:0"}]}))
+    states, moves = network_files.read_automaton(spark, str(tmp_path / "g.json"))
+    assert states.count() == 2
+    assert sorted((r["prev"], r["state"]) for r in moves.collect()) == [("P.S:0", "P.S:1"), ("P.S:1", "P.S:0")]
+    rule = {"id": "r0", "antecedent": [{"col": "x", "op": ">", "val": 1.5}],
+            "consequent": [{"col": "y", "op": "in", "val": [0, 5]}], "support": 1, "confidence": 1, "lift": 1}
+    (tmp_path / "p.json").write_text(json.dumps({"violation_threshold": 2, "states": {"P.S:0": {"status": "ok", "rules": [rule]}}}))
+    phi, k = network_files.read_rules(spark, str(tmp_path / "p.json"))
+    r = phi.first()["rules"][0]
+    assert k == 2 and r["antecedent"][0]["lo"] == 1.5 and (r["consequent"][0]["lo"], r["consequent"][0]["hi"]) == (0.0, 5.0)
+    rule["consequent"][0]["val"] = [1]
+    (tmp_path / "bad.json").write_text(json.dumps({"states": {"s": {"rules": [rule]}}}))
+    with pytest.raises(Exception, match="2-element"):
+        network_files.read_rules(spark, str(tmp_path / "bad.json"))[0].collect()
