@@ -143,6 +143,7 @@ def path_signatures(spark, d):
     sigs = conds.groupBy("scenario", "node", "pid").agg(  # a path has at most one edge per state
         F.array_join(F.array_sort(F.collect_set("cond")), " AND ").alias("s"))
     sigs = sigs.withColumn("s", F.when(F.col("s") == "", "[initial]").otherwise(F.col("s")))
+    # Four states allow at most 16 paths, so a state gathers a handful of signatures.
     per = sigs.groupBy("scenario", "node").agg(F.count(F.lit(1)).alias("paths"),
                                                F.array_sort(F.collect_set("s")).alias("ss"))
     return per.select("scenario", "node", "paths", F.when(F.size("ss") == 1, F.col("ss")[0]).otherwise(
