@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "mixing", "kdtree", "token_files")
+MODULES = ("substrings", "warc", "tiling", "licences", "toxicity", "mixing", "quality", "kdtree", "jaccard",
+           "token_files")
 
 
 def load_queries() -> tuple[dict, dict]:

@@ -96,3 +96,18 @@ def components(links: DataFrame) -> DataFrame:
         before = after
     inner = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return inner.unionByName(inner.select(F.col("component").alias("node"), "component").distinct())
+
+
+def keyed(docs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """(key, doc_id, text, *also): a number of its own for every row, in doc_id order, NULL ids last.
+
+    Where the ids are all there and all different, the key is the id. Otherwise rows are numbered
+    by doc_id and a hash of the text, and written once; equal rows take their numbers in no given order.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
+    twice = docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1")
+    if twice.isEmpty():
+        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text", *also)
+    rows = docs.withColumns({"one": F.lit(1), "none": F.col("doc_id").isNull(), "text_hash": F.xxhash64("text")})
+    numbered = running_sums(rows, [], ["none", "doc_id", "text_hash"], ["one"], ["text", *also])
+    return cut_lineage(numbered.select(F.col("before_one").cast("long").alias("key"), "doc_id", "text", *also))
