@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings.
 
 A word is the bag of its character n-grams, each with an embedding; a document is the average
-of its words; a linear softmax on that average gives the label. Embeddings and softmax are
+of its distinct words, very common ones weighing less; a linear softmax on that average gives the label. Embeddings and softmax are
 trained together in numpy, so misspellings that were never seen are scored by the n-grams they
 share with known words.
 """
@@ -25,9 +25,17 @@ WIDTH = 8
 SHORTEST, LONGEST = 3, 6
 #: At most so many labelled rows of each class are trained on.
 SAMPLE_PER_CLASS = 3_000
-EPOCHS = 150
-RATE = 0.05
+EPOCHS = 120
+RATE, MOMENTUM, DECAY = 1.0, 0.9, 1e-5
+#: Words are trained on if they stand in this share of the sample's documents, two at least.
+COMMON = 0.004
+#: A word of this share of all words counts half in an average, rarer ones more.
+HALF = 1e-3
 REMEMBERED = 400_000
+#: So many words that say nothing stand in every average, or a word would decide a short text alone.
+PADDING = 20
+#: Averages are small where few words matter.
+SCALE = 100
 THRESHOLD = 0.7
 
 
@@ -56,14 +64,19 @@ def grams(word: str, buckets: int = BUCKETS) -> list[int]:
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in found})
 
 
+def known_labels(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
+    """(doc_id, label) of the rows that may be learnt from; an id with several labels takes the largest."""
+    return (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
+            .groupBy("doc_id").agg(F.max(label).alias("label")))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int) -> DataFrame:
     """(doc_id, text, label): at most ``per_class`` rows of each class in the order of a hash of the id.
 
-    Rows with a NULL id or label are left out; an id with several labels takes the largest. The
-    ids are bounded by the parameter, so they are broadcast and the documents are not shuffled.
+    Rows with a NULL id or label are left out. The ids are bounded by the parameter, so they are
+    broadcast and the documents are not shuffled.
     """
-    known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
-             .groupBy("doc_id").agg(F.max(label).alias("label")))
+    known = known_labels(labels, label, held_out)
     picked = None
     for value in (0, 1):
         some = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -72,11 +85,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, p
 
 
 def bags(sample: DataFrame) -> DataFrame:
-    """Each document as its distinct words and their counts."""
+    """Each document as its distinct words and in how many forms, with which signs around, each stands."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [Counter(map(bare, (t or "").lower().split())) for t in batch["text"]]
+            counts = [Counter(map(bare, set((t or "").lower().split()))) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"],
                                 "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
 
@@ -100,27 +113,29 @@ class _Sums:
 
 
 def train(words: list[list[str]], counts: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS,
-          rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(embeddings, softmax with its bias in the last row), by full-batch Adam on the log loss.
+          seed: int = 7) -> tuple[np.ndarray, float, dict[str, float]]:
+    """(score of each bucket, bias, weight of each common word), by gradient descent with momentum.
 
-    Classes weigh alike. With no rows, or rows of one class, the softmax is left at the bias.
+    Embeddings and softmax move together on the log loss, classes weighing alike; plain steps, so
+    that what many documents share is learnt before what one document has. With two classes the
+    trained pair comes down to one number a bucket. With rows of less than two classes all are 0.
     """
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-    soft = np.zeros((WIDTH + 1, 2), np.float32)
-    soft[:WIDTH, 1] = rng.normal(0, 0.5, WIDTH)
-    soft[:WIDTH, 0] = -soft[:WIDTH, 1]
     share = np.bincount(labels, minlength=2)[:2]
     if len(labels) == 0 or share.min() == 0:
-        soft[:] = 0
-        soft[WIDTH] = np.log((share + 1) / (share.sum() + 2))
-        return table, soft
-    seen = Counter(w for ws in words for w in ws)
-    index = {w: i for i, w in enumerate(w for w, n in seen.items() if n > 1)}
-    pairs = [(d, index[w], c / max(1, sum(cs))) for d, (ws, cs) in enumerate(zip(words, counts, strict=True))
+        return np.zeros(BUCKETS), 0.0, {}
+    seen, used = Counter(), Counter()
+    for ws, cs in zip(words, counts, strict=True):
+        seen.update(ws)
+        used.update(dict(zip(ws, cs, strict=True)))
+    total = sum(used.values())
+    weights = {w: HALF / (HALF + n / total) for w, n in used.items()}
+    least = max(2, round(COMMON * len(labels)))
+    index = {w: i for i, w in enumerate(w for w, n in seen.items() if n >= least)}
+    pairs = [(d, index[w], c / (PADDING + sum(cs)) * weights[w]) for d, (ws, cs) in enumerate(zip(words, counts, strict=True))
              for w, c in zip(ws, cs, strict=True) if w in index]
     if not pairs:
-        return table, np.zeros_like(soft)
+        return np.zeros(BUCKETS), 0.0, {}
     doc, word, part = (np.array(x) for x in zip(*pairs, strict=True))
     bag = [grams(w) for w in index]
     gram = np.concatenate([np.array(g) for g in bag])
@@ -128,71 +143,88 @@ def train(words: list[list[str]], counts: list[list[int]], labels: np.ndarray, e
     mean = 1 / np.array([len(g) for g in bag])[of_word]
     to_words, to_grams = _Sums(gram, of_word, mean, len(bag)), _Sums(of_word, gram, mean, BUCKETS)
     to_docs, from_docs = _Sums(word, doc, part, len(words)), _Sums(doc, word, part, len(bag))
+    table = rng.normal(0, 0.03, (BUCKETS, WIDTH)).astype(np.float32)
+    soft = np.zeros((WIDTH + 1, 2), np.float32)
+    soft[:WIDTH, 1] = rng.normal(0, 0.5, WIDTH)
+    soft[:WIDTH, 0] = -soft[:WIDTH, 1]
     want = np.eye(2, dtype=np.float32)[labels]
     weight = (len(labels) / (2 * share))[labels][:, None].astype(np.float32) / len(labels)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft)]
-    for step in range(1, epochs + 1):
-        vectors = to_docs(to_words(table)) * 100  # averages are small where few words matter
+    speed = [np.zeros_like(table), np.zeros_like(soft)]
+    for _ in range(epochs):
+        vectors = to_docs(to_words(table)) * SCALE
         logits = vectors @ soft[:WIDTH] + soft[WIDTH]
         odds = np.exp(logits - logits.max(1, keepdims=True))
         wrong = (odds / odds.sum(1, keepdims=True) - want) * weight
         grad_soft = np.concatenate([vectors.T @ wrong, wrong.sum(0, keepdims=True)])
-        grad_table = to_grams(from_docs(wrong @ soft[:WIDTH].T * 100))
-        for p, g, (m, v) in zip((table, soft), (grad_table, grad_soft), state, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return table, soft
-
-
-def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Trains in one task on the bounded sample and hands back the model, whose size is fixed."""
+        grad_table = to_grams(from_docs(wrong @ soft[:WIDTH].T * SCALE)) + DECAY * table
+        for p, g, v, rate in ((table, grad_table, speed[0], RATE), (soft, grad_soft, speed[1], RATE / 10)):
+            v *= MOMENTUM
+            v += g
+            p -= rate * v
+    trained = np.zeros(BUCKETS, bool)
+    trained[gram] = True
+    table[~trained] = 0
+    each = (table @ (soft[:WIDTH, 1] - soft[:WIDTH, 0])).astype(np.float64) * SCALE
+    return each, float(soft[WIDTH, 1] - soft[WIDTH, 0]), {w: weights[w] for w in index}
+
+
+def fit(sample: DataFrame, shares: tuple[int, int]) -> tuple[np.ndarray, float, dict[str, float]]:
+    """Trains in one task on the bounded sample and hands back the model, bounded like it.
+
+    ``shares`` are the rows of each class that there are to learn from: the bias is moved from
+    equal classes to these.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "label": [], "words": [], "counts": []}), *batches])
         rows = rows.sort_values("doc_id", kind="stable")
-        table, soft = train(list(rows["words"]), list(rows["counts"]), rows["label"].to_numpy().astype(np.int64))
-        yield pd.DataFrame({"embeddings": [table.tobytes()], "softmax": [soft.tobytes()]})
+        each, bias, weights = train(list(rows["words"]), list(rows["counts"]), rows["label"].to_numpy().astype(np.int64))
+        yield pd.DataFrame({"each": [each.tobytes()], "bias": [bias], "words": [list(weights)],
+                            "weights": [list(weights.values())]})
 
-    row = bags(sample).repartition(1).mapInPandas(run, "embeddings binary, softmax binary").first()
-    return (np.frombuffer(row[0], np.float32).reshape(BUCKETS, WIDTH).copy(),
-            np.frombuffer(row[1], np.float32).reshape(WIDTH + 1, 2).copy())
+    row = bags(sample).repartition(1).mapInPandas(
+        run, "each binary, bias double, words array<string>, weights array<double>").first()
+    odds = float(np.log((shares[1] + 0.5) / (shares[0] + 0.5)))
+    return np.frombuffer(row[0], np.float64), row[1] + odds, dict(zip(row[2], row[3], strict=True))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float, dict[str, float]]) -> DataFrame:
     """(doc_id, score) for every row: the probability of label 1 for its whole text.
 
-    A text without words (empty, NULL, blanks) has the average 0 and so the softmax's bias alone.
+    A text without words (empty, NULL, blanks) has the average 0 and so the bias alone.
     """
-    spark = docs.sparkSession
-    table, soft = model
-    each = ((table @ (soft[:WIDTH, 1] - soft[:WIDTH, 0])) * 100).astype(np.float64)
-    sent = spark.sparkContext.broadcast((each, float(soft[WIDTH, 1] - soft[WIDTH, 0])))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each, bias = sent.value
+        each, bias, weights = sent.value
         known: dict[str, float] = {}
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                chunks = (text or "").lower().split()
+                chunks = set((text or "").lower().split())
                 if len(known) > REMEMBERED:
                     known.clear()
-                for c in set(chunks).difference(known):
-                    known[c] = float(each[grams(bare(c))].mean())
-                out.append(bias + sum(map(known.__getitem__, chunks)) / max(1, len(chunks)))
+                for c in chunks.difference(known):
+                    word = bare(c)
+                    known[c] = float(each[grams(word)].mean()) * weights.get(word, 1.0)
+                out.append(bias + sum(map(known.__getitem__, chunks)) / (PADDING + len(chunks)))
             odds = 1 / (1 + np.exp(-np.clip(np.array(out, float), -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(odds)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(doc_id, score) of every row of ``docs``, learnt from the labelled rows that are not held out."""
+    counts = {r[0]: r[1] for r in known_labels(labels, "toxic", held_out).groupBy("label").count().collect()}
+    model = fit(labelled(docs, labels, "toxic", held_out, per_class), (counts.get(0, 0), counts.get(1, 0)))
+    return score(docs, model)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    model = fit(labelled(docs, labels, "toxic", fold(F.col("doc_id"), 3) == 1, SAMPLE_PER_CLASS))
-    return score(docs, model).select(
-        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    held_out = fold(F.col("doc_id"), 3) == 1
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op5_toxicity": op5_toxicity}
