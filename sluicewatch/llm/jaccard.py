@@ -239,7 +239,8 @@ def links(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
         order = Window.partitionBy("token", "row").orderBy("lot", "key")
         dealt = members.withColumns({"lot": lot, "row": row})
         near = F.array(*[F.lead(F.struct("key", "n", "pos"), k).over(order) for k in range(1, NEAR + 1)])
-        found = dealt.select(F.struct("key", "n", "pos").alias("x"), F.explode(near).alias("y")).filter("y IS NOT NULL")
+        found = dealt.withColumn("near", near).select(
+            F.struct("key", "n", "pos").alias("x"), F.explode("near").alias("y")).filter("y IS NOT NULL")
         return found.filter(possible("x", "y", percent)).select(
             F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
