@@ -8,8 +8,8 @@ with Python's own expression grammar; anything it cannot express is inert (robus
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterable
-from typing import Any
+from collections.abc import Iterable, Iterator
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,63 +84,65 @@ def min_robustness(specs: dict[str, str], columns: Iterable[str]) -> Column:
                      for n, f in sorted(specs.items())])
 
 
+class Family(NamedTuple):
+    """A kind of formula: its rule's name and its text, both filled from one unit's values."""
+
+    name: str
+    formula: str
+    mode: str | None = None
+
+
+_SLEW = "abs(d{unit}) <= {slew_max:.4f}"
+_FLOW_BAND = "{flow} >= {f_on_min:.4f} and {flow} <= {f_on_max:.4f}"
+_FLOW_WHEN_ON = "({status} <= 0.5) or (" + _FLOW_BAND + ")"
+_FLOW_WHEN_OFF = "({status} > 0.5) or (abs({flow}) <= {f_off_max:.4f})"
+
+# Name and text of every formula, by the section of the parameters that fills them.
+FAMILIES = {
+    "mb": [Family("MB_{unit}", "abs(MB_RESID_{unit}) <= {eps:.6f}")],
+    "mb_window": [Family("MBW_{unit}", "abs(MB_ROLL_{unit}) <= {eps:.6f}")],
+    "tank": [Family("PHYS_{unit}", "{unit} >= {low:.4f} and {unit} <= {top:.4f}"),
+             Family("RANGE_{unit}", "{unit} >= {h_min:.4f} and {unit} <= {h_max:.4f}"),
+             Family("SLEW_{unit}", _SLEW)],
+    "pump": [Family("PUMP_BINARY_{unit}", "({status} >= -0.1) and ({status} <= 1.1)", "status_only"),
+             Family("PUMP_DORMANT_{unit}", "{status} <= 0.5 and abs({flow}) <= {f_off_max:.4f}", "always_off"),
+             Family("PUMP_ACTIVE_{unit}", "{status} > 0.5 and " + _FLOW_BAND, "always_on"),
+             Family("PUMP_ON_{unit}", _FLOW_WHEN_ON, "varying"),
+             Family("PUMP_OFF_{unit}", _FLOW_WHEN_OFF, "varying")],
+    "valve": [Family("VALVE_ON_{unit}", _FLOW_WHEN_ON), Family("VALVE_OFF_{unit}", _FLOW_WHEN_OFF)],
+    "control": [Family("CTRL_HI_{unit}", "({tank} <= {high:.4f}) or ({status} <= 0.5)"),
+                Family("CTRL_LO_{unit}", "({tank} >= {low:.4f}) or ({status} > 0.5)")],
+    "symmetry": [Family("SYMM_{unit}", "abs({col1} - {col2}) <= {threshold:.4f}")],
+    "head": [Family("HEAD_PU{unit}", "({status} <= 0.5) or (HEAD_PU{unit} >= {h_min:.4f} and HEAD_PU{unit} <= {h_max:.4f})")],
+    "pressure": [Family("PRESSURE_{unit}", "{unit} >= {p_min:.4f} and {unit} <= {p_max:.4f}")],
+    "pslew": [Family("PSLEW_{unit}", _SLEW)],
+}
+MODES = ("status_only", "always_off", "always_on")
+
+
+def units(profile: Any, params: dict[str, Any]) -> Iterator[tuple[str, dict[str, Any]]]:
+    """The calibrated parameters as a flat table: (section, values of one unit)."""
+    derived = dict(params)
+    derived["mb_window"] = {f"{tank}_{w}": v for tank, by in params["mb_window"].items() for w, v in by.items()}
+    derived["control"] = {f"{status}_{tank}": {"status": status, "tank": tank, "low": low - profile.margin,
+                                               "high": high + profile.margin}
+                          for status, tank, low, high in profile.control_rules}
+    for section in FAMILIES:
+        for unit, fitted in derived[section].items():
+            values = {"unit": unit, **fitted}
+            if section == "tank":
+                bounds = profile.tank_physical.get(unit, {})
+                values |= {"low": bounds.get("min", -1e9), "top": bounds.get("max", 1e9)}
+            if section in ("pump", "head"):
+                values["status"] = profile.pump_status_fmt.format(pid=unit)
+                values["flow"] = profile.pump_flow_fmt.format(pid=unit)
+            if section == "pump" and values["mode"] not in MODES:
+                values["mode"] = "varying"
+            yield section, values
+
+
 def synthesize(profile: Any, p: dict[str, Any]) -> dict[str, str]:
-    """Formula text per rule name from the calibrated parameters of ``calibrate.collect``."""
-    specs: dict[str, str] = {}
-
-    def between(x: str, lo: float, hi: float) -> str:
-        return f"{x} >= {lo:.4f} and {x} <= {hi:.4f}"
-
-    for tank, mb in p["mb"].items():
-        specs[f"MB_{tank}"] = f"abs(MB_RESID_{tank}) <= {mb['eps']:.6f}"
-    for tank, windows in p["mb_window"].items():
-        for w, info in windows.items():
-            specs[f"MBW_{tank}_{w}"] = f"abs(MB_ROLL_{tank}_{w}) <= {info['eps']:.6f}"
-    for tank, t in p["tank"].items():
-        phys = profile.tank_physical.get(tank, {"min": -1e9, "max": 1e9})
-        specs[f"PHYS_{tank}"] = between(tank, phys["min"], phys["max"])
-        specs[f"RANGE_{tank}"] = between(tank, t["h_min"], t["h_max"])
-        specs[f"SLEW_{tank}"] = f"abs(d{tank}) <= {t['slew_max']:.4f}"
-    for pid, info in p["pump"].items():
-        status = profile.pump_status_fmt.format(pid=pid)
-        flow = profile.pump_flow_fmt.format(pid=pid)
-        if info["mode"] == "status_only":
-            specs[f"PUMP_BINARY_{pid}"] = f"({status} >= -0.1) and ({status} <= 1.1)"
-        elif info["mode"] == "always_off":
-            specs[f"PUMP_DORMANT_{pid}"] = (
-                f"{status} <= 0.5 and abs({flow}) <= {info['f_off_max']:.4f}")
-        elif info["mode"] == "always_on":
-            specs[f"PUMP_ACTIVE_{pid}"] = (
-                f"{status} > 0.5 and " + between(flow, info["f_on_min"], info["f_on_max"]))
-        else:
-            specs[f"PUMP_ON_{pid}"] = _when_on(
-                status, between(flow, info["f_on_min"], info["f_on_max"]))
-            specs[f"PUMP_OFF_{pid}"] = _when_off(status, flow, info["f_off_max"])
-    for vid, info in p["valve"].items():
-        specs[f"VALVE_ON_{vid}"] = _when_on(
-            info["status"], between(info["flow"], info["f_on_min"], info["f_on_max"]))
-        specs[f"VALVE_OFF_{vid}"] = _when_off(info["status"], info["flow"], info["f_off_max"])
-    for status, tank, low, high in profile.control_rules:
-        specs[f"CTRL_HI_{status}_{tank}"] = (
-            f"({tank} <= {high + profile.margin:.4f}) or ({status} <= 0.5)")
-        specs[f"CTRL_LO_{status}_{tank}"] = (
-            f"({tank} >= {low - profile.margin:.4f}) or ({status} > 0.5)")
-    for key, info in p["symmetry"].items():
-        specs[f"SYMM_{key}"] = f"abs({info['col1']} - {info['col2']}) <= {info['threshold']:.4f}"
-    for pid, info in p["head"].items():
-        specs[f"HEAD_PU{pid}"] = _when_on(
-            profile.pump_status_fmt.format(pid=pid),
-            between(f"HEAD_PU{pid}", info["h_min"], info["h_max"]))
-    for j, info in p["pressure"].items():
-        specs[f"PRESSURE_{j}"] = between(j, info["p_min"], info["p_max"])
-    for j, info in p["pslew"].items():
-        specs[f"PSLEW_{j}"] = f"abs(d{j}) <= {info['slew_max']:.4f}"
-    return specs
-
-
-def _when_on(status: str, then: str) -> str:
-    return f"({status} <= 0.5) or ({then})"
-
-
-def _when_off(status: str, flow: str, limit: float) -> str:
-    return f"({status} > 0.5) or (abs({flow}) <= {limit:.4f})"
+    """Formula text per rule name: every family of a section filled with each of its units."""
+    return {f.name.format(**values): f.formula.format(**values)
+            for section, values in units(profile, p) for f in FAMILIES[section]
+            if f.mode in (None, values.get("mode"))}

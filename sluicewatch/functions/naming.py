@@ -20,29 +20,26 @@ def canonical_name(raw: Column) -> Column:
     return F.regexp_replace(text, "^_+|_+$", "")
 
 
-def is_tank(c: Column) -> Column:
-    return (c.startswith("t") | c.startswith("l_t")) & ~c.contains("_pu")
+# Name beginnings per role of a signal, and what a tank's name may not hold.
+ROLE_PREFIXES = {
+    "tank": ("t", "l_t"),
+    "pump_status": ("s_pu", "pump_", "p7", "p8"),
+    "pump_flow": ("f_p",),
+    "junction": ("p_j", "n"),
+}
+NO_TANK = "_pu"
 
 
-def is_pump_status(c: Column) -> Column:
-    hit = c.startswith("s_pu") | c.startswith("pump_") | c.startswith("p7") | c.startswith("p8")
-    return hit & ~c.startswith("p_j")
-
-
-def is_pump_flow(c: Column) -> Column:
-    return c.startswith("f_p")
-
-
-def is_junction(c: Column) -> Column:
-    return c.startswith("p_j") | c.startswith("n")
+def role_pattern(role: str) -> str:
+    """The role's prefixes as one regular expression, for columns and for header names alike."""
+    tail = rf"(?!.*{NO_TANK})" if role == "tank" else ""
+    return f"^{tail}(?:{'|'.join(ROLE_PREFIXES[role])})"
 
 
 def roles(name: Column) -> Column:
     """Array of the roles a canonical column name carries; roles may overlap."""
-    return F.filter(F.array(
-        F.when(is_tank(name), "tank"), F.when(is_pump_status(name), "pump_status"),
-        F.when(is_pump_flow(name), "pump_flow"), F.when(is_junction(name), "junction")),
-        lambda r: r.isNotNull())
+    return F.filter(F.array(*[F.when(name.rlike(role_pattern(r)), r) for r in ROLE_PREFIXES]),
+                    lambda r: r.isNotNull())
 
 
 def iec_ident(name: Column) -> Column:

@@ -98,11 +98,9 @@ def violation_threshold(counts: DataFrame, budget: float) -> DataFrame:
         F.max("top").alias("top"), F.min("rate").alias("floor"))
     return both.select(
         F.coalesce("met", F.col("top") + 1, F.lit(1)).cast("int").alias("k"),
-        F.when(F.col("met").isNull() & F.col("top").isNotNull(), F.concat(
-            F.lit("budget unmet: clean flag-rate "), F.format_string("%.4f", "floor"),
-            F.lit(f" > budget {budget} even at K="), (F.col("top") + 1).cast("string"),
-            F.lit(" (state-absent rate alone exceeds budget; rule-flagging effectively "
-                  "disabled, state-absent still flags)"))).alias("note"))
+        F.when(F.col("met").isNull() & F.col("top").isNotNull(), F.format_string(
+            "no threshold keeps clean rows within %s: rows without a known state already flag %.4f of them, "
+            "so rules are set to flag nothing", F.lit(str(budget)), "floor")).alias("note"))
 
 
 def _any(flags: Sequence[Column]) -> Column:

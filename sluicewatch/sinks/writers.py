@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -27,17 +28,16 @@ def write_predictions(df: DataFrame, path: str, *flags: str) -> None:
 
 def formula_report(specs: dict[str, str]) -> str:
     """Formulas grouped by family; a formula belongs to the first family it starts with."""
-    groups: dict[str, list[tuple[str, str]]] = {f: [] for f in FAMILIES}
-    for name, formula in specs.items():
-        family = next((f for f in FAMILIES if name.startswith(f)), None)
-        if family:
-            groups[family].append((name, formula))
-    text = f"STL Specifications ({len(specs)} total)\n{'=' * 80}\n\n"
-    for family, items in groups.items():
-        if items:
-            text += f"-- {family.rstrip('_')} ({len(items)})\n"
-            text += "".join(f"{n}\n  always[ {f} ]\n\n" for n, f in items)
-    return text
+    def rank(name: str) -> int:
+        return next((i for i, f in enumerate(FAMILIES) if name.startswith(f)), len(FAMILIES))
+
+    known = sorted((n for n in specs if rank(n) < len(FAMILIES)), key=rank)
+    head = f"STL Specifications ({len(specs)} total)", "=" * 80, "", ""
+    sections = ["\n".join(head)]
+    for i, names in groupby(known, key=rank):
+        bodies = [f"{n}\n  always[ {specs[n]} ]\n\n" for n in names]
+        sections += [f"-- {FAMILIES[i].rstrip('_')} ({len(bodies)})\n", *bodies]
+    return "".join(sections)
 
 
 def write_json(path: str, value: Any) -> None:
