@@ -128,6 +128,8 @@ def fit(sample: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
              pa.array([np.array(labels, np.int8)[order].tobytes()])], names=["basis", "vectors", "labels"])
 
     row = sample.repartition(1).mapInArrow(run, "basis binary, vectors binary, labels binary").first()
+    if row is None:  # nothing to learn from
+        return np.zeros((TERMS, WIDTH), np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int8)
     return (np.frombuffer(row[0], np.float32).reshape(TERMS, WIDTH), np.frombuffer(row[1], np.float32).reshape(-1, WIDTH),
             np.frombuffer(row[2], np.int8))
 

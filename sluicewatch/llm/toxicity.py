@@ -184,6 +184,8 @@ def fit(sample: DataFrame, shares: tuple[int, int]) -> tuple[np.ndarray, float,
 
     row = bags(sample).repartition(1).mapInPandas(
         run, "each binary, bias double, words array<string>, weights array<double>").first()
+    if row is None:  # nothing to learn from
+        return np.zeros(BUCKETS), 0.0, {}
     odds = float(np.log((shares[1] + 0.5) / (shares[0] + 0.5)))
     return np.frombuffer(row[0], np.float64), row[1] + odds, dict(zip(row[2], row[3], strict=True))
 
