@@ -6,8 +6,8 @@ UDF; everything after that is built-in higher-order functions.
 
 from __future__ import annotations
 
-import ast
 import re
+from itertools import product
 import sys
 
 import pandas as pd
@@ -45,53 +45,86 @@ def negated(op: Column) -> Column:
     return F.coalesce(F.try_element_at(table, op), F.lit("="))
 
 
-def _terms(node: ast.AST, src: str, neg: bool) -> list[list[tuple[str, str, str]]]:
-    """DNF of a parsed condition, negation pushed to the leaves."""
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-        return _terms(node.operand, src, not neg)
-    if isinstance(node, ast.BoolOp):
-        parts = [_terms(v, src, neg) for v in node.values]
-        if isinstance(node.op, ast.And) == neg:
-            return [t for p in parts for t in p]
-        out: list[list[tuple[str, str, str]]] = [[]]
-        for p in parts:
-            out = [a + b for a in out for b in p]
-        return out
-    if isinstance(node, ast.Compare) and len(node.ops) == 1:
-        names = {ast.Eq: "=", ast.NotEq: "<>", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">",
-                 ast.GtE: ">="}
-        op = names.get(type(node.ops[0]))
-        if op:
-            left, right = (ast.get_source_segment(src, x)
-                           for x in (node.left, node.comparators[0]))
-            return [[(left, NEGATED[op] if neg else op, right)]]
-    raise ValueError("not a comparison")
-
-
-def _split_only(text: str) -> list[list[tuple[str, str, str]]]:
-    """What is left when a guard cannot be read: its comparisons between `` AND ``."""
-    found = []
-    for part in text.split(" AND "):
-        for op in OPERATORS:
-            if op in part:
-                var, val = part.split(op, 1)
-                found.append((var.strip(" ()"), op, val.strip(" ()")))
-                break
-    return [found]
+# What a guard is made of; based numbers and time literals are one number.
+_TOKEN = re.compile(
+    r"\s*(?:(?P<number>\d+#\w+|(?:TIME_OF_DAY|TOD|DATE_AND_TIME|DT|DATE|D|TIME|T)#[\w.:+-]+|\d+\.?\d*(?:E[+-]?\d+)?)"
+    r"|(?P<name>[A-Z_%][\w.%^]*(?:\[[^\]]*\])?)|(?P<string>'[^']*')|(?P<sign><=|>=|<>|\*\*|[-+*/&=<>(),]))", re.I)
+
+
+class Unreadable(ValueError):
+    """A guard whose structure is not that of a Boolean expression."""
+
+
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """(word in upper case, start, stop) of every token of a guard."""
+    out, at = [], 0
+    while text[at:].strip():
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise Unreadable(text)
+        out.append((m.group(m.lastgroup).upper(), m.start(m.lastgroup), m.end()))
+        at = m.end()
+    return out
+
+
+def _dnf(text: str, tokens: list[tuple[str, int, int]], neg: bool) -> list[list[tuple[str, str, str]]]:
+    """Terms of a token run: it is split at its loosest connective outside brackets, a negation is
+    carried down, and what is left is a comparison, a truth value or a Boolean variable."""
+    depth, depths = 0, []
+    for word, _, _ in tokens:
+        depth -= word == ")"
+        depths.append(depth)
+        depth += word == "("
+        if depth < 0:
+            raise Unreadable(text)
+    if depth or not tokens:
+        raise Unreadable(text)
+    top = [i for i, d in enumerate(depths) if d == 0]
+
+    def split(words: tuple[str, ...]) -> list[list[tuple[str, int, int]]]:
+        cuts = [-1, *(i for i in top if tokens[i][0] in words), len(tokens)]
+        return [tokens[x + 1:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    for words, any_of in ((("OR",), True), (("XOR",), None), (("AND", "&"), False)):
+        parts = split(words)
+        if len(parts) == 1:
+            continue
+        if any_of is None:  # a XOR b: one of them without the other
+            first, rest = parts[0], tokens[len(parts[0]) + 1:]
+            ways = [(False, not neg), (True, neg)]
+            return [x + y for p, q in ways for x in _dnf(text, first, p) for y in _dnf(text, rest, q)]
+        each = [_dnf(text, p, neg) for p in parts]
+        if any_of != neg:
+            return [term for p in each for term in p]
+        return [sum(terms, []) for terms in product(*each)]
+    if tokens[0][0] == "NOT":
+        return _dnf(text, tokens[1:], not neg)
+    signs = [i for i in top if tokens[i][0] in NEGATED]
+    if len(signs) == 1 and 0 < signs[0] < len(tokens) - 1:
+        i = signs[0]
+        left, right = (text[t[0][1]:t[-1][2]] for t in (tokens[:i], tokens[i + 1:]))
+        op = tokens[i][0]
+        return [[(left, NEGATED[op] if neg else op, right)]]
+    if not signs and tokens[0][0] == "(" and top == [0, len(tokens) - 1]:
+        return _dnf(text, tokens[1:-1], neg)
+    if len(tokens) == 1 and tokens[0][0] in ("TRUE", "FALSE"):
+        return [[]] if (tokens[0][0] == "TRUE") != neg else []
+    if not signs and (tokens[0][0][0].isalpha() or tokens[0][0][0] in "_%"):
+        return [[(text[tokens[0][1]:tokens[-1][2]], "=", "FALSE" if neg else "TRUE")]]
+    raise Unreadable(text)
 
 
 def guard_terms(text: str | None) -> list[list[dict[str, str]]]:
+    """Disjunctive form of a guard. A guard that cannot be read is one Boolean condition named by its
+    whole text, so nothing is dropped and nothing is concluded from it."""
     if not text or not text.strip() or text == "No Check":
         return [[]]
-    src = re.sub(r"<>", "!=", text)
-    src = re.sub(r"(?<![<>=!:])=(?!=)", "==", src)
-    src = re.sub(r"\b(AND|OR|NOT)\b", lambda m: m.group(1).lower(), src)
     try:
-        terms = _terms(ast.parse(src.strip(), mode="eval").body, src.strip(), False)
-    except (SyntaxError, ValueError):
-        terms = _split_only(text)
-    return [[dict(zip(("var", "op", "val"), c, strict=True)) for c in dict.fromkeys(t)]
-            for t in terms]
+        terms = _dnf(text, _tokens(text), False)
+    except Unreadable:
+        terms = [[(text.strip(), "=", "TRUE")]]
+    kept = dict.fromkeys(tuple(dict.fromkeys(t)) for t in terms)
+    return [[dict(zip(("var", "op", "val"), c, strict=True)) for c in t] for t in kept]
 
 
 _COND = T.StructType([T.StructField(f, T.StringType()) for f in ("var", "op", "val")])
@@ -99,7 +132,8 @@ _COND = T.StructType([T.StructField(f, T.StringType()) for f in ("var", "op", "v
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(_COND)))
 def guard_to_dnf(text: pd.Series) -> pd.Series:
-    return text.map(guard_terms)
+    read = {t: guard_terms(t) for t in text.unique()}  # guards repeat
+    return text.map(read.get)
 
 
 def conjoin(a: Column, b: Column) -> Column:

@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.naming import classify_variable
 from ..session import cut_lineage
 
-# Statement forms, in the order they are tried.
-STATEMENTS = (
-    r"\b(?:PROGRAM|FUNCTION_BLOCK)\s+\w+", r"\bEND_(?:PROGRAM|FUNCTION_BLOCK)\b",
-    r"\bEND_(?:VAR|CASE|IF|FOR|WHILE)\b", r"\bVAR(?:_INPUT|_OUTPUT|_IN_OUT|_GLOBAL|_EXTERNAL|_TEMP)?\b",
-    r"\bCASE\b.*?\bOF\b", r"\b(?:IF|ELSIF)\b.*?\bTHEN\b", r"\bELSE\b",
-    r"\b(?:FOR|WHILE)\b.*?\bDO\b", r"\bREPEAT\b", r"\bUNTIL\b.*?\bEND_REPEAT\b",
-    r"\b(?:EXIT|RETURN)\b", r"\b\d+(?:\s*(?:,|\.\.)\s*\d+)*\s*:(?!=)",
-    r"[A-Za-z_%][\w.\[\]^%]*\s*:=[^;]*;", r"[A-Za-z_]\w*(?:\s*,\s*\w+)*\s*:(?!=)[^;]*;",
+# Statement forms of code, in the order they are tried, and of declarations.
+CODE = (
+    r"\b(?:PROGRAM|FUNCTION_BLOCK|FUNCTION)\s+\w+(?:\s*:\s*\w+)?", r"\bEND_(?:PROGRAM|FUNCTION_BLOCK|FUNCTION)\b",
+    r"\bEND_(?:CASE|IF|FOR|WHILE)\b", r"\bCASE\b.*?\bOF\b", r"\b(?:IF|ELSIF)\b.*?\bTHEN\b", r"\bELSE\b",
+    r"\b(?:FOR|WHILE)\b.*?\bDO\b", r"\bREPEAT\b", r"\bUNTIL\b.*?\bEND_REPEAT\b", r"\b(?:EXIT|RETURN)\b",
+    r"\b\w+(?:\s*(?:,|\.\.)\s*\w+)*\s*:(?!=)", r"[A-Za-z_%][\w.\[\]^%]*\s*:=[^;]*;",
     r"[A-Za-z_]\w*\s*\([^;]*\)\s*;")
+DECLARATIONS = (
+    r"\bEND_VAR\b", r"\bVAR(?:_INPUT|_OUTPUT|_IN_OUT|_GLOBAL|_EXTERNAL|_TEMP)?\b",
+    r"[A-Za-z_]\w*(?:\s*,\s*\w+)*\s*:(?!=)[^;]*;")
+VAR_BLOCK = r"(?is)\bVAR(?:_\w+)?\b.*?\bEND_VAR\b"
+SCOPES = {"VAR_INPUT": "input", "VAR_OUTPUT": "output", "VAR_IN_OUT": "in_out", "VAR_GLOBAL": "global",
+          "VAR_EXTERNAL": "external", "VAR_TEMP": "temp"}
 COMMENTS = r"(?s)\(\*.*?\*\)|\{.*?\}"
 # Words inside expressions that are not variables.
 WORDS = ("AND", "OR", "XOR", "NOT", "MOD", "TRUE", "FALSE")
@@ -33,18 +37,20 @@ OPENERS = ("program", "var", "case", "label", "if", "elsif", "else", "loop")
 
 def statements(sources: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
     """(file, node, kind, stmt, depth): statements in order, with their nesting depth."""
-    pattern = "(?is)" + "|".join(STATEMENTS)
+    cut = lambda part, forms: F.regexp_extract_all(
+        F.coalesce(part, F.lit("")), F.lit("(?is)" + "|".join(forms)), F.lit(0))
     clean = F.regexp_replace(text, COMMENTS, " ")
-    raw = sources.select(key, F.posexplode(F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))).alias(
-        "node", "raw"))
+    parts = F.zip_with(F.split(clean, VAR_BLOCK), F.regexp_extract_all(clean, F.lit(VAR_BLOCK), F.lit(0)),
+                       lambda code, block: F.concat(cut(code, CODE), cut(block, DECLARATIONS)))
+    raw = sources.select(key, F.posexplode(F.flatten(parts)).alias("node", "raw"))
     s = F.trim(F.regexp_replace(F.regexp_replace("raw", r"\s+", " "), r"\s*;$", ""))
     up = F.upper("stmt")
-    kind = (F.when(up.rlike(r"^END_(PROGRAM|FUNCTION_BLOCK)"), "end1")
+    kind = (F.when(up.rlike(r"^END_(PROGRAM|FUNCTION)"), "end1")
             .when(up.rlike(r"^END_CASE"), "end2").when(up.rlike(r"^(END_|UNTIL\b)"), "end1")
-            .when(up.rlike(r"^(PROGRAM|FUNCTION_BLOCK) "), "program").when(up.rlike(r"^VAR(_\w+)?$"), "var")
+            .when(up.rlike(r"^(PROGRAM|FUNCTION_BLOCK|FUNCTION) "), "program").when(up.rlike(r"^VAR(_\w+)?$"), "var")
             .when(up.rlike(r"^CASE\b"), "case").when(up.rlike(r"^IF\b"), "if")
             .when(up.rlike(r"^ELSIF\b"), "elsif").when(up == "ELSE", "else")
-            .when(up.rlike(r"^(FOR|WHILE|REPEAT)\b"), "loop").when(up.rlike(r"^\d.*:$"), "label")
+            .when(up.rlike(r"^(FOR|WHILE|REPEAT)\b"), "loop").when(up.rlike(r":$"), "label")
             .when(up.rlike(r"^(EXIT|RETURN)"), "jump").when(up.rlike(r"^[^:(]+:="), "assign")
             .when(up.rlike(r"^[^:(]+:"), "declare").otherwise("call"))
     move = (F.when(F.col("kind").isin("program", "var", "if", "loop"), 1).when(F.col("kind") == "case", 2)
@@ -57,20 +63,38 @@ def statements(sources: DataFrame, key: str = "file", text: str = "text") -> Dat
             .filter(~F.col("kind").isin("end1", "end2")))
 
 
-def tree(stmts: DataFrame, key: str = "file", levels: int = 12) -> DataFrame:
-    """Add ``up``: enclosing openers from the outermost in, as (node, kind, stmt) structs.
-
-    ``levels`` is the deepest nesting that is looked at; deeper statements raise.
-    """
+def branch_conditions(stmts: DataFrame, key: str = "file") -> DataFrame:
+    """Add ``cond``: when a branch of an IF runs. ELSIF and ELSE negate the conditions before them;
+    the ELSE of a CASE has none."""
+    level = Window.partitionBy(key, "depth").orderBy("node")
+    own = F.when(F.col("kind").isin("if", "elsif"), condition(F.col("stmt")))
+    chained = stmts.withColumns({
+        "own": own, "chain": F.last(F.when(F.col("kind") == "if", F.col("node")), ignorenulls=True).over(level),
+        "labelled": F.last(F.when(F.col("kind") == "label", F.col("node")), ignorenulls=True).over(level)})
+    before = Window.partitionBy(key, "depth", "chain").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    chained = chained.withColumn("refused", F.transform(
+        F.collect_list("own").over(before), lambda c: F.concat(F.lit("NOT ("), c, F.lit(")"))))
+    of_if = (F.col("kind") == "else") & F.col("chain").isNotNull() & F.coalesce(F.col("labelled") < F.col("chain"), F.lit(True))
+    cond = (F.when(F.col("kind") == "if", F.col("own"))
+            .when(F.col("kind") == "elsif", F.array_join(
+                F.concat(F.array(F.concat(F.lit("("), "own", F.lit(")"))), "refused"), " AND "))
+            .when(of_if, F.array_join("refused", " AND ")))
+    return chained.withColumn("cond", cond).drop("own", "chain", "labelled", "refused")
+
+
+def tree(stmts: DataFrame, key: str = "file") -> DataFrame:
+    """Add ``cond`` and ``up``: enclosing openers from the outermost in, as (node, kind, stmt, cond)
+    structs, however deep the programs are."""
+    levels = stmts.agg(F.max("depth")).first()[0] or 0
     w = Window.partitionBy(key).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    me = F.struct("node", "kind", "stmt")
+    me = F.struct("node", "kind", "stmt", "cond")
     opens = F.col("kind").isin(*OPENERS)
     outer = [F.last(F.when(opens & (F.col("depth") == d), me), ignorenulls=True).over(w)
              for d in range(levels)]
-    too_deep = F.when(F.col("depth") > levels, F.raise_error(F.lit("program nested too deeply")).cast("int"))
-    return stmts.select("*", *[o.alias(f"_l{d}") for d, o in enumerate(outer)]).withColumn(
-        "up", F.slice(F.array(*[F.col(f"_l{d}") for d in range(levels)]), F.lit(1),
-                      F.coalesce(too_deep, F.col("depth").cast("int")))).drop(*[f"_l{d}" for d in range(levels)])
+    none = F.array().cast("array<struct<node:bigint,kind:string,stmt:string,cond:string>>")
+    return branch_conditions(stmts, key).select("*", *[o.alias(f"_l{d}") for d, o in enumerate(outer)]).withColumn(
+        "up", F.slice(F.array(*[F.col(f"_l{d}") for d in range(levels)]), F.lit(1), F.col("depth").cast("int"))
+        if levels else none).drop(*[f"_l{d}" for d in range(levels)])
 
 
 def _last(up: Column, kind: str) -> Column:
@@ -81,14 +105,25 @@ def _word(stmt: Column, pattern: str) -> Column:
     return F.trim(F.regexp_extract(stmt, pattern, 1))
 
 
+def label_states(stmt: Column) -> Column:
+    """The states a label names, one entry each: numbers, ranges of numbers and names."""
+    def each(item: Column) -> Column:
+        ends = F.split(item, r"\s*\.\.\s*")
+        lo, hi = (F.try_element_at(ends, F.lit(i)).try_cast("bigint") for i in (1, 2))
+        return F.when(lo.isNotNull() & hi.isNotNull() & (lo <= hi), F.transform(
+            F.sequence(lo, F.greatest(lo, hi)), lambda n: n.cast("string"))).otherwise(F.array(F.trim(item)))
+
+    return F.flatten(F.transform(F.split(F.regexp_replace(stmt, r"\s*:$", ""), r"\s*,\s*"), each))
+
+
 def located(nodes: DataFrame) -> DataFrame:
-    """Add program, case_var and state (innermost CASE and its label) of each statement."""
+    """Add program, case_var and state (innermost CASE and its label) of each statement; a statement
+    under a label of several states is one row for each."""
     up = F.col("up")
-    label = F.trim(F.regexp_replace(_last(up, "label")["stmt"], ":$", ""))
+    states = F.coalesce(label_states(_last(up, "label")["stmt"]), F.array(F.lit("")))
     return nodes.select(
         "*", _word(F.coalesce(_last(up, "program")["stmt"], F.lit("")), r"(?i)^\w+ (\w+)").alias("program"),
-        _word(_last(up, "case")["stmt"], r"(?i)^CASE (.*) OF$").alias("case_var"),
-        F.regexp_extract(label, r"^(\d+)", 1).alias("state"))
+        _word(_last(up, "case")["stmt"], r"(?i)^CASE (.*) OF$").alias("case_var"), F.explode(states).alias("state"))
 
 
 def condition(stmt: Column) -> Column:
@@ -105,8 +140,9 @@ def variables(nodes: DataFrame, key: str = "file") -> DataFrame:
     """(file, program, scope, name, type, init, role) of the declarations."""
     d = located(nodes.filter("kind = 'declare'"))
     section = F.upper(_last(F.col("up"), "var")["stmt"])
-    scope = (F.when(section == "VAR_INPUT", "input").when(section == "VAR_OUTPUT", "output")
-             .otherwise("var"))
+    scope = F.lit("var")
+    for word, name in SCOPES.items():
+        scope = F.when(section == word, name).otherwise(scope)
     body = F.trim(F.regexp_replace("stmt", r"^[^:]*:", ""))
     v = d.select(key, "program", scope.alias("scope"),
                  F.explode(F.split(F.regexp_extract("stmt", r"^([^:]*):", 1), ",")).alias("name"),
@@ -122,23 +158,26 @@ def assigned(stmt: Column) -> tuple[Column, Column]:
 def automata(nodes: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]:
     """States (file, program, case_var, node, ord) and transitions of every CASE.
 
-    A transition is an assignment of a number to the CASE variable under an IF. An outer IF
+    A transition is an assignment of a number or of a label's name to the CASE variable under a
+    branch of an IF. An outer IF
     claims the assignments of the IFs inside it too. Targets that no label names become
     states after the labelled ones.
     """
     on = [key, "program", "case_var"]
     labels = nodes.filter("kind = 'label'")
-    lab = located(labels).select(*on, F.regexp_extract("stmt", r"^(\d+)", 1).alias("node"),
-                                 F.col("node").alias("ord"))
+    lab = located(labels).select(*on, F.explode(label_states(F.col("stmt"))).alias("of"), F.col("node").alias("ord"))
+    lab = lab.withColumnRenamed("of", "node")
     lhs, rhs = assigned(F.col("stmt"))
     a = located(nodes.filter("kind = 'assign'")).withColumn("lhs", lhs).withColumn("rhs", rhs)
-    a = a.filter((F.col("lhs") == F.col("case_var")) & (F.col("state") != "")
-                 & F.col("rhs").rlike(r"^(\d+|TRUE|FALSE)$"))
+    a = a.filter((F.col("lhs") == F.col("case_var")) & (F.col("state") != "") & F.col("rhs").rlike(r"^\w+$"))
+    is_number = F.col("rhs").rlike(r"^(\d+|TRUE|FALSE)$")
+    named = lab.select(*on, F.col("node").alias("rhs")).distinct()
+    a = a.filter(is_number).unionByName(a.filter(~is_number).join(named, [*on, "rhs"], "left_semi"))
     case_at = _last(F.col("up"), "case")["node"]
-    ifs = F.filter("up", lambda x: x["kind"].isin("if", "elsif") & (x["node"] > case_at))
+    ifs = F.filter("up", lambda x: x["kind"].isin("if", "elsif", "else") & (x["node"] > case_at) & x["cond"].isNotNull())
     t = a.select(*on, F.col("state").alias("frm"), F.col("rhs").alias("to"),
                  F.col("node").alias("at"), F.posexplode(ifs).alias("nest", "i"))
-    moves = t.select(*on, "frm", "to", F.coalesce(F.nullif(condition(F.col("i.stmt")), F.lit("")),
+    moves = t.select(*on, "frm", "to", F.coalesce(F.nullif(F.col("i.cond"), F.lit("")),
                                                   F.lit("No Check")).alias("condition"),
                      F.col("i.node").alias("if_node"), F.col("at").alias("ord"))
     late = moves.select(*on, F.col("to").alias("node"), (F.col("ord") + 1_000_000_000).alias("ord"))
@@ -149,20 +188,18 @@ def automata(nodes: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]
 def dependence_nodes(nodes: DataFrame, key: str = "file") -> DataFrame:
     """Assignments and conditions inside CASE elements: reads, writes, innermost controlling
     condition and the whole guard, outermost condition first."""
-    n = located(nodes.filter(F.col("kind").isin("assign", "if", "elsif"))).filter("state <> ''")
+    n = located(nodes.filter("kind = 'assign' OR cond IS NOT NULL")).filter("state <> ''")
     lhs, rhs = assigned(F.col("stmt"))
     is_assign = F.col("kind") == "assign"
     case_at = _last(F.col("up"), "case")["node"]
-    inside = F.filter("up", lambda x: x["kind"].isin("if", "elsif", "else") & (x["node"] > case_at))
-    parent = F.try_element_at(inside, F.lit(-1))
-    conds = F.filter(inside, lambda x: x["kind"] != "else")
+    conds = F.filter("up", lambda x: x["cond"].isNotNull() & (x["node"] > case_at))
     return n.select(
         key, "program", "case_var", "state", "node", "kind", "stmt",
         F.when(is_assign, F.nullif(F.regexp_extract(lhs, r"^(\w+)", 1), F.lit(""))).alias("writes"),
-        identifiers(F.when(is_assign, rhs).otherwise(condition(F.col("stmt")))).alias("reads"),
-        F.when(parent["kind"] == "else", F.lit(None)).otherwise(parent["node"]).alias("control"),
+        identifiers(F.when(is_assign, rhs).otherwise(F.col("cond"))).alias("reads"), "cond",
+        F.try_element_at(conds, F.lit(-1))["node"].alias("control"),
         F.when(F.size(conds) == 0, "TRUE").otherwise(F.array_join(F.transform(conds, lambda x: F.concat(
-            F.lit("("), condition(x["stmt"]), F.lit(")"))), " AND ")).alias("guard"))
+            F.lit("("), x["cond"], F.lit(")"))), " AND ")).alias("guard"))
 
 
 def data_edges(dep: DataFrame, key: str = "file") -> DataFrame:
@@ -210,13 +247,13 @@ def templates(dep: DataFrame, variables_: DataFrame, influences: DataFrame | Non
         F.concat(F.lit("IF "), "guard", F.lit(" THEN "), "writes", F.lit(" := "), "value").alias("structure"))
     driven = act.filter(~on_state).join(
         roles.withColumnRenamed("var", "writes").filter("role = 'actuation'").drop("role"),
-        [key, "program", "writes"])
+        [key, "program", "writes"]).drop("cond")
     state = driven.filter("control IS NULL").select(
         *on, F.lit("state").alias("type"), "node", F.col("writes").alias("var"),
         F.col("value").alias("dest"), F.lit("=").alias("operator"),
         F.concat(F.lit("In State "), "state", F.lit(", "), "writes", F.lit(" = "), "value").alias("structure"))
     conds = dep.filter("kind <> 'assign'").select(
-        *on, F.col("node").alias("control"), condition(F.col("stmt")).alias("cond"), F.col("reads").alias("creads"))
+        *on, F.col("node").alias("control"), "cond", F.col("reads").alias("creads"))
     under = driven.join(conds, [*on, "control"])
     single = (under.withColumn("var", F.explode("creads"))
               .join(roles.filter("role = 'sensing'").drop("role"), [key, "program", "var"])

@@ -182,7 +182,8 @@ def sources(spark, d):
         F.lit(" THEN\n      PU_State := 1;\n    END_IF;\n  1:\n    lvl := H"), hi,
         F.lit(" + 1;\n    IF lvl > hi_limit THEN\n      IF L"), lo, F.lit(" >= "), loq,
         F.lit(" AND NOT (H"), hi, F.lit(" = 0) THEN PU_State := 0; PU := FALSE; END_IF;\n    ELSIF lvl < 0 THEN\n"
-              "      PU_State := 2;\n    END_IF;\nEND_CASE;\nPU := (PU_State = 1);\nEND_PROGRAM\n"))
+              "      PU_State := 2;\n    END_IF;\n  2, 3..4:\n    IF lvl > hi_limit THEN\n      Alarm := TRUE;\n    ELSE\n"
+              "      PU_State := 0;\n    END_IF;\nEND_CASE;\nPU := (PU_State = 1);\nEND_PROGRAM\n"))
     return limits(spark, d).select(k.alias("file"), text.alias("text"))
 
 
@@ -193,9 +194,9 @@ def nodes(spark, d):
 LO, HI, ND = NUM.format(q='loq'), NUM.format(q='hiq'), "'L' || los || ' >= ' || " + NUM.format(q='loq') + " || ' AND NOT (H' || his || ' = 0)'"
 
 
-@query("st_statements", f"""WITH {CT}, v(kind, n) AS (VALUES ('program', 1), ('var', 3), ('declare', 6), ('case', 1), ('label', 2), ('if', 3), ('elsif', 1), ('assign', 7))
+@query("st_statements", f"""WITH {CT}, v(kind, n) AS (VALUES ('program', 1), ('var', 3), ('declare', 6), ('case', 1), ('label', 3), ('if', 4), ('elsif', 1), ('else', 1), ('assign', 9))
 SELECT CAST(c AS VARCHAR) AS file, kind, n::BIGINT AS n, CASE kind WHEN 'program' THEN 0 WHEN 'var' THEN 1 WHEN 'declare' THEN 2 WHEN 'case' THEN 1
-  WHEN 'label' THEN 2 WHEN 'if' THEN 4 WHEN 'elsif' THEN 3 ELSE 5 END::BIGINT AS deepest FROM ct, v""")
+  WHEN 'label' THEN 2 WHEN 'if' THEN 4 WHEN 'elsif' THEN 3 WHEN 'else' THEN 3 ELSE 5 END::BIGINT AS deepest FROM ct, v""")
 def st_statements(spark, d):
     s = programs.statements(sources(spark, d))
     return s.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"))
@@ -215,7 +216,8 @@ def st_variables(spark, d):
 @query("fsm_extract", f"""WITH {CT}, v AS (
   SELECT c, '0' AS frm, '1' AS "to", 'L' || los || ' < ' || {LO} AS condition FROM ct
   UNION ALL SELECT c, '1', '0', 'lvl > hi_limit' FROM ct UNION ALL SELECT c, '1', '0', {ND} FROM ct
-  UNION ALL SELECT c, '1', '2', 'lvl < 0' FROM ct)
+  UNION ALL SELECT c, '1', '2', '(lvl < 0) AND NOT (lvl > hi_limit)' FROM ct
+  UNION ALL SELECT c, s, '0', 'NOT (lvl > hi_limit)' FROM ct, (VALUES ('2'), ('3'), ('4')) k(s))
 SELECT CAST(c AS VARCHAR) AS file, 'PU_State' AS case_var, frm, "to", condition FROM v""")
 def fsm_extract(spark, d):
     return programs.automata(nodes(spark, d))[1].select("file", "case_var", "frm", "to", "condition")
@@ -240,7 +242,9 @@ TEMPLATES = f"""WITH {CT}, tp AS (
   SELECT c, 'state' AS type, '0' AS state, 'Alarm' AS var, 'FALSE' AS dest, 'In State 0, Alarm = FALSE' AS structure FROM ct
   UNION ALL SELECT c, 'inter', '0', 'PU_State', '1', 'IF (L' || los || ' < ' || {LO} || ') THEN PU_State := 1' FROM ct
   UNION ALL SELECT c, 'inter', '1', 'PU_State', '0', 'IF (lvl > hi_limit) AND (' || {ND} || ') THEN PU_State := 0' FROM ct
-  UNION ALL SELECT c, 'inter', '1', 'PU_State', '2', 'IF (lvl < 0) THEN PU_State := 2' FROM ct
+  UNION ALL SELECT c, 'inter', '1', 'PU_State', '2', 'IF ((lvl < 0) AND NOT (lvl > hi_limit)) THEN PU_State := 2' FROM ct
+  UNION ALL SELECT c, 'inter', s, 'PU_State', '0', 'IF (NOT (lvl > hi_limit)) THEN PU_State := 0' FROM ct, (VALUES ('2'), ('3'), ('4')) k(s)
+  UNION ALL SELECT c, 'multi', s, 'Alarm', 'TRUE', 'IF lvl > hi_limit THEN Alarm := TRUE' FROM ct, (VALUES ('2'), ('3'), ('4')) k(s)
   UNION ALL SELECT c, 'single', '1', 'L' || los, 'FALSE', 'IF L' || los || ' >= [#] THEN PU = FALSE' FROM ct
   UNION ALL SELECT c, 'single', '1', 'H' || his, 'FALSE', 'IF H' || his || ' = [#] THEN PU = FALSE' FROM ct
   UNION ALL SELECT c, 'multi', '1', 'PU', 'FALSE', 'IF ' || {ND} || ' THEN PU := FALSE' FROM ct)"""

@@ -276,3 +276,39 @@ def test_components_of_random_graphs(spark):
     loops = {a for a, b in pairs if a == b}
     cyc = {int(r["node"]) for r in graph.cycles(states_of(spark, range(n)), edges_of(spark, pairs), ["fb"]).collect()}
     assert cyc == {x for s in want if len(s) > 1 for x in s} | loops
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("x > 16#FF OR y < 2", [[("x", ">", "16#FF")], [("y", "<", "2")]]),
+    ("t > T#5s AND x > 1", [[("t", ">", "T#5s"), ("x", ">", "1")]]),
+    ("flag AND x > 5", [[("flag", "=", "TRUE"), ("x", ">", "5")]]),
+    ("not flag", [[("flag", "=", "FALSE")]]),
+    ("x MOD 2 = 1 OR y > 3", [[("x MOD 2", "=", "1")], [("y", ">", "3")]]),
+    ("in > 5 or flag", [[("in", ">", "5")], [("flag", "=", "TRUE")]]),
+    ("a XOR b", [[("a", "=", "TRUE"), ("b", "=", "FALSE")], [("a", "=", "FALSE"), ("b", "=", "TRUE")]]),
+    ("NOT (a = 1 AND b < 2)", [[("a", "<>", "1")], [("b", ">=", "2")]]),
+    ("x > (", [[("x > (", "=", "TRUE")]]),
+])
+def test_guards_keep_every_condition(text, want):
+    from sluicewatch.functions.guards import guard_terms
+
+    assert [[tuple(c.values()) for c in t] for t in guard_terms(text)] == want
+
+
+def test_programs_with_else_label_lists_and_names(spark):
+    from sluicewatch.operators import programs
+
+    deep = "IF q > 0 THEN " * 14 + "S := RUN;" + " END_IF;" * 14
+    text = ("FUNCTION_BLOCK F VAR_IN_OUT S : INT; END_VAR CASE S OF IDLE, 1: IF x > 1.0 THEN y := 2; ELSIF x < 0 THEN S := 7; "
+            "ELSE S := RUN; END_IF; 3..5: IF a THEN S := IDLE; ELSE b := TRUE; END_IF; RUN: " + deep
+            + " S := other; ELSE b := FALSE; END_CASE; END_FUNCTION_BLOCK")
+    nodes = programs.tree(programs.statements(spark.createDataFrame([("f", text)], "file string, text string")))
+    states, moves = programs.automata(nodes)
+    assert {r.node for r in states.collect()} == {"IDLE", "1", "3", "4", "5", "RUN", "7"}
+    got = {(r.frm, r.to, r.condition) for r in moves.collect()}
+    no = "NOT (x > 1.0) AND NOT (x < 0)"
+    assert got == {(s, "7", "(x < 0) AND NOT (x > 1.0)") for s in ("IDLE", "1")} | {(s, "RUN", no) for s in ("IDLE", "1")} | {
+        (s, "IDLE", "a") for s in "345"} | {("RUN", "RUN", "q > 0")}
+    dep = {(r.state, r.stmt): (r.guard, r.control is not None) for r in programs.dependence_nodes(nodes).collect()}
+    assert dep["4", "b := TRUE"] == ("(NOT (a))", True)
+    assert {r.scope for r in programs.variables(nodes).collect()} == {"in_out"}
