@@ -34,6 +34,10 @@ SMALL = 64
 NEAR = 3
 ROW = 1_000
 ROUNDS = 6
+#: Cross pairs a member, counted once for each shared shingle, that are verified without more rounds.
+CROSS = 400
+#: Shingles a verifying task remembers.
+HELD = 4_000_000
 #: Shingles with more than this many documents are dealt out by document as well.
 HOT = 1_000_000
 
@@ -173,19 +177,28 @@ def suffix_allows(a: np.ndarray, b: np.ndarray, most: int, depth: int = 3) -> in
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, from the whole texts of both."""
 
-    def own_set(value) -> np.ndarray:
-        data = np.frombuffer(value.as_buffer(), np.uint8)
-        return document_sets(data, np.array([len(data)]), width)[0]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        room = HELD
+
+        def own_set(key: int, value) -> np.ndarray:
+            nonlocal room
+            if key not in held:
+                data = np.frombuffer(value.as_buffer(), np.uint8)
+                found = document_sets(data, np.array([len(data)]), width)[0]
+                room -= len(found)
+                if room < 0:
+                    held.clear()
+                    room = HELD
+                held[key] = found
+            return held[key]
+
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            held: tuple = (None, None)
+            text_a, text_b = batch.column("text_a"), batch.column("text_b")
             keep = []
             for i in range(batch.num_rows):
-                if held[0] != a[i]:
-                    held = (a[i], own_set(batch.column("text_a")[i]))
-                one, other = held[1], own_set(batch.column("text_b")[i])
+                one, other = own_set(a[i], text_a[i]), own_set(b[i], text_b[i])
                 total = len(one) + len(other)
                 least = -(-percent * total // (100 + percent))
                 if suffix_allows(one, other, total - 2 * least) <= total - 2 * least:
@@ -209,9 +222,20 @@ def possible(x: str, y: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
 
-def links(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL,
-          hot: int = HOT) -> DataFrame:
-    """Links (a, b) between keys of different sets, one key a set, with the same components as all links."""
+def extended(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the names of the old ones are connected anew."""
+    of_a = named.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = named.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    new = components(links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = new.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = named.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return cut_lineage(old.unionByName(new.join(named, "node", "left_anti")))
+
+
+def linked_components(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL,
+                      hot: int = HOT) -> DataFrame:
+    """(node, component) of the keys that have a link to a different set, one key a set."""
     spark = docs.sparkSession
     held = prefixes(docs, counts, width, percent, hot).repartition("token", "salt")
     held = held.groupBy("token", "salt", "sid", "n", "pos").agg(F.min("key").alias("key"))
@@ -253,10 +277,14 @@ def links(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
     texts = cut_lineage(docs.select("key", "text").join(wanted.distinct(), "key", "left_semi"))
     release(spark)
     found = cut_lineage(linked(tried, texts, width, percent))
+    release(spark)
+    named = components(found)
     if not crowded:
-        return found
+        return named
+    texts = cut_lineage(texts.join(large.select("key").distinct(), "key", "left_semi"))
+    before = None
     for turn in range(1, ROUNDS + 1):
-        named = components(found)
+        named = cut_lineage(named)
         placed = cut_lineage(large.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "component", F.coalesce("component", "key")))
         mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -265,8 +293,10 @@ def links(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
             F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
         cross, members = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
         if not cross:
-            return found
-        if cross <= 4 * members or turn == ROUNDS:
+            return named
+        last = turn == ROUNDS or cross <= CROSS * members and turn > 1 or before is not None and cross > before / 2
+        before = cross
+        if last:
             x, y = open_.alias("x"), open_.alias("y")
             more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key"))
                           & (F.col("x.component") != F.col("y.component")) & possible("x", "y", percent)
@@ -280,11 +310,13 @@ def links(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
                 F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
             more = met(open_, turn).unionByName(to_hub).distinct()
         more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
-        found = cut_lineage(found.unionByName(linked(more, texts, width, percent)))
-        if cross <= 4 * members or turn == ROUNDS:
-            return found
-        tried = cut_lineage(tried.unionByName(more))
-    return found
+        fresh = cut_lineage(linked(more, texts, width, percent))
+        named = extended(named, fresh)
+        if last:
+            return named
+        found, tried = found.unionByName(fresh), tried.unionByName(more)
+        release(spark)
+    return named
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, hot: int = HOT) -> DataFrame:
@@ -310,7 +342,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: i
     told = cut_lineage(summaries(docs, width))
     counts = frequencies(told.filter("chunk IS NOT NULL"))
     sets = told.filter("chunk IS NULL").select("key", "n", "sid", "sid2")
-    named = components(links(docs, counts, width, percent, small, hot))
+    named = linked_components(docs, counts, width, percent, small, hot)
     same = sets.filter("n > 0").groupBy("n", "sid", "sid2").agg(F.min("key").alias("first"))
     same = same.join(named.withColumnRenamed("node", "first"), "first", "left").select(
         F.col("n").alias("of_n"), F.col("sid").alias("of_sid"), F.col("sid2").alias("of_sid2"),
