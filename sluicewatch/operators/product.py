@@ -10,12 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.guards import DNF_TYPE, conjoin, guard_text, unsat
 from ..session import cut_lineage
 
-MAX_STATES = 100_000
-
 
 def choices(states: DataFrame, moves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, comp, frm, to, tid, dnf, ord): satisfiable moves plus staying put.
@@ -24,12 +23,12 @@ def choices(states: DataFrame, moves: DataFrame, keys: Sequence[str]) -> DataFra
     """
     real = moves.filter(~unsat(F.col("dnf"))).select(
         *keys, "comp", "frm", "to", F.col("tid").cast("string").alias("tid"), "dnf",
-        F.col("ord").cast("long").alias("ord"))
+        F.struct(F.lit(0).alias("stays"), F.col("ord").alias("at")).alias("ord"))
     true = F.array(F.array()).cast(DNF_TYPE)
     stay = states.select(
         *keys, "comp", F.col("node").alias("frm"), F.col("node").alias("to"),
         F.lit(None).cast("string").alias("tid"), true.alias("dnf"),
-        F.lit(2 ** 62).alias("ord"))
+        F.struct(F.lit(1).alias("stays"), F.lit(None).cast(moves.schema["ord"].dataType).alias("at")).alias("ord"))
     return real.unionByName(stay)
 
 
@@ -44,7 +43,7 @@ def step(frontier: DataFrame, options: DataFrame, keys: Sequence[str], n: int) -
     f = frontier.repartition(n_tasks, *keys, "locals").select(
         *keys, "locals", F.array().cast("array<string>").alias("nxt"),
         F.array(F.array()).cast(DNF_TYPE).alias("dnf"),
-        F.array().cast("array<string>").alias("tids"), F.array().cast("array<bigint>").alias("ords"))
+        F.array().cast("array<string>").alias("tids"), F.array().cast(ArrayType(options.schema["ord"].dataType)).alias("ords"))
     for i in range(n):
         o = options.filter(F.col("comp") == i).select(
             *keys, F.col("frm").alias("_frm"), F.col("to").alias("_to"), F.col("tid").alias("_tid"),
@@ -62,11 +61,11 @@ def step(frontier: DataFrame, options: DataFrame, keys: Sequence[str], n: int) -
 
 
 def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
-            max_states: int = MAX_STATES) -> tuple[DataFrame, DataFrame]:
+            max_states: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Reachable global states (keys, locals) and transitions (keys, locals, nxt, guard, tids).
 
     A transition is known by (from, to, guard); of several joint moves with the same key the
-    one first in choice order is kept. Raises when a graph exceeds ``max_states``.
+    one first in choice order is kept. Raises when a graph exceeds ``max_states``, if given.
     """
     options = cut_lineage(options)
     seen = cut_lineage(initial.select(*keys, "locals"))
@@ -83,7 +82,7 @@ def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
         if new == 0:
             return seen, moves
         seen, total = seen.unionByName(frontier), total + new
-        if total >= max_states:  # all graphs together; now look at each
+        if max_states is not None and total >= max_states:  # all graphs together; now look at each
             sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
             if not sizes.filter(F.col("n") > max_states).isEmpty():
                 raise ValueError(

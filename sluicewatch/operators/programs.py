@@ -166,7 +166,7 @@ def automata(nodes: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]
     on = [key, "program", "case_var"]
     labels = nodes.filter("kind = 'label'")
     lab = located(labels).select(*on, F.explode(label_states(F.col("stmt"))).alias("of"), F.col("node").alias("ord"))
-    lab = lab.withColumnRenamed("of", "node")
+    lab = lab.select(*on, F.col("of").alias("node"), F.struct(F.lit(0).alias("late"), "ord").alias("ord"))
     lhs, rhs = assigned(F.col("stmt"))
     a = located(nodes.filter("kind = 'assign'")).withColumn("lhs", lhs).withColumn("rhs", rhs)
     a = a.filter((F.col("lhs") == F.col("case_var")) & (F.col("state") != "") & F.col("rhs").rlike(r"^\w+$"))
@@ -180,7 +180,7 @@ def automata(nodes: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]
     moves = t.select(*on, "frm", "to", F.coalesce(F.nullif(F.col("i.cond"), F.lit("")),
                                                   F.lit("No Check")).alias("condition"),
                      F.col("i.node").alias("if_node"), F.col("at").alias("ord"))
-    late = moves.select(*on, F.col("to").alias("node"), (F.col("ord") + 1_000_000_000).alias("ord"))
+    late = moves.select(*on, F.col("to").alias("node"), F.struct(F.lit(1).alias("late"), "ord").alias("ord"))
     states = lab.unionByName(late).groupBy(*on, "node").agg(F.min("ord").alias("ord"))
     return states, moves
 

@@ -4,7 +4,8 @@ The built-in ``percentile`` keeps every distinct value of a group in one reducer
 values are first counted per distinct value (partial aggregation, no hot key) and written
 once. While more distinct values remain than one task may sort, the wanted ranks are located
 with exact histograms: each level splits the value range that still holds a wanted rank into
-``CELLS`` cells and keeps only the cells the ranks fall in. The last step sorts what is left.
+``CELLS`` cells and keeps only the cells the ranks fall in, until the rest may be sorted or each
+range is a single value. The last step sorts what is left.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from ..session import cut_lineage
 
 CELLS = 4_096
 SORTABLE = 1_000_000
-MAX_LEVELS = 4
 
 
 def metric_values(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) -> DataFrame:
@@ -67,9 +67,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column],
     rows = values.withColumn("rid", F.lit(0).cast("long")).withColumn(
         "below", F.lit(0).cast("long"))
     ranges = stats.select(*group, F.lit(0).cast("long").alias("rid"), "lo", "hi")
-    for _ in range(MAX_LEVELS):
-        if rows.count() <= sortable:
-            break
+    while rows.count() > sortable and not ranges.filter("hi > lo").isEmpty():
         cell = F.when(F.col("hi") > F.col("lo"), F.least(
             F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
             F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("long")

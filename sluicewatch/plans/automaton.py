@@ -37,7 +37,7 @@ def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(states), cut_lineage(moves)
 
 
-def compose(states: DataFrame, moves: DataFrame, max_states: int = product.MAX_STATES) -> Automaton:
+def compose(states: DataFrame, moves: DataFrame, max_states: int | None = None) -> Automaton:
     """Product of all local automata, ordered by (program, case variable)."""
     fbs = states.select(*FB).distinct().orderBy("program", "case_var", "file")
     names = [tuple(r) for r in fbs.collect()]  # one entry per CASE block
@@ -52,7 +52,7 @@ def compose(states: DataFrame, moves: DataFrame, max_states: int = product.MAX_S
         states.join(F.broadcast(index), FB).select("comp", "node"),
         indexed.select("comp", "frm", "to", F.concat_ws("_", "frm", "to", F.col("if_node").cast("string"))
                        .alias("tid"), guard_to_dnf("condition").alias("dnf"), "if_node", "ord")
-        .withColumn("ord", F.col("if_node") * 1_000_000 + F.col("ord")), [])
+        .withColumn("ord", F.struct("if_node", "ord")), [])
     edges = moves.select(*FB, "frm", "to")
     first = graph.initial_state(states, edges, FB).join(F.broadcast(index), FB)
     start = [r["node"] for r in first.orderBy("comp").select("node").collect()]

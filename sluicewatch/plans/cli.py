@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     stage("st-analyze", "--out")
     stage("stl-monitor", "--out")
     b = stage("gfsm-build", "--out")
-    b.add_argument("--max-states", type=int, default=100_000)
+    b.add_argument("--max-states", type=int, default=None)
     m = stage("invariants-mine", "--out")
     m.add_argument("--fp-budget", type=float, default=0.01)
     h = stage("ics-monitor", "--out")

@@ -106,7 +106,7 @@ def analyze(spark: SparkSession, sources: DataFrame, out: str, topology: str) ->
     return man
 
 
-def build(spark: SparkSession, sources: DataFrame, out: str, topology: str, max_states: int = 100_000,
+def build(spark: SparkSession, sources: DataFrame, out: str, topology: str, max_states: int | None = None,
           listed: DataFrame | None = None) -> tuple[automaton.Automaton, dict[str, Any]]:
     """Program sources to the global automaton, its drawing and its analysis.
 
