@@ -81,21 +81,19 @@ def violation_threshold(counts: DataFrame, budget: float) -> DataFrame:
     """
     if not 0.0 < budget < 1.0:
         raise ValueError(f"fp-budget must be in (0, 1), got {budget!r}")
-    hist = counts.groupBy("violations").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("absent").cast("long")).alias("gone"))
+    # A row that counts for nothing makes k = 1 a candidate even when no row has zero violations.
+    zero = counts.sparkSession.range(1).select(F.lit(0).alias("violations"), F.lit(0).alias("n"), F.lit(0).alias("gone"))
+    hist = counts.select("violations", F.lit(1).alias("n"), F.col("absent").cast("int").alias("gone")).unionByName(zero)
+    hist = hist.groupBy("violations").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone"))
     above = Window.orderBy(F.desc("violations")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
+    all_rows = F.sum("n").over(everything)
     steps = hist.select(
-        (F.col("violations") + 1).alias("k"), F.max("violations").over(everything).alias("top"),
-        ((F.coalesce(F.sum(F.col("n") - F.col("gone")).over(above), F.lit(0))
-          + F.sum("gone").over(everything)) / F.sum("n").over(everything)).alias("rate"))
-    # k = 1 is a candidate even when no row has zero violations.
-    first = counts.agg(
-        F.lit(1).alias("k"), F.max("violations").alias("top"),
-        F.avg((F.col("absent") | (F.col("violations") >= 1)).cast("double")).alias("rate"))
-    both = steps.unionByName(first).agg(
-        F.min(F.when(F.col("rate") <= budget, F.col("k"))).alias("met"),
-        F.max("top").alias("top"), F.min("rate").alias("floor"))
+        (F.col("violations") + 1).alias("k"), F.when(all_rows > 0, F.max("violations").over(everything)).alias("top"),
+        F.try_divide(F.coalesce(F.sum(F.col("n") - F.col("gone")).over(above), F.lit(0))
+                     + F.sum("gone").over(everything), all_rows).alias("rate"))
+    both = steps.agg(F.min(F.when(F.col("rate") <= budget, F.col("k"))).alias("met"),
+                     F.max("top").alias("top"), F.min("rate").alias("floor"))
     return both.select(
         F.coalesce("met", F.col("top") + 1, F.lit(1)).cast("int").alias("k"),
         F.when(F.col("met").isNull() & F.col("top").isNotNull(), F.format_string(

@@ -6,6 +6,7 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
     for topology in names:
         try:
             failed |= not run(spark, a, topology)
-        except (telemetry.DataError, ValueError, OSError) as exc:
+        except (telemetry.DataError, PySparkException, ValueError, OSError) as exc:
             print(f"error: {topology}: {exc}", file=sys.stderr)
             bad = True
             if not a.all:
