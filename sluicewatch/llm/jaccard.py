@@ -271,17 +271,12 @@ def linked_components(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, p
     if crowded:
         pairs = pairs.unionByName(met(large, 0)).distinct()
     tried = cut_lineage(pairs)
-    wanted = tried.select(F.explode(F.array("a", "b")).alias("key"))
-    if crowded:
-        wanted = wanted.unionByName(large.select("key"))
-    texts = cut_lineage(docs.select("key", "text").join(wanted.distinct(), "key", "left_semi"))
-    release(spark)
-    found = cut_lineage(linked(tried, texts, width, percent))
+    found = cut_lineage(linked(tried, docs, width, percent))
     release(spark)
     named = components(found)
     if not crowded:
         return named
-    texts = cut_lineage(texts.join(large.select("key").distinct(), "key", "left_semi"))
+    texts = cut_lineage(docs.select("key", "text").join(large.select("key").distinct(), "key", "left_semi"))
     before = None
     for turn in range(1, ROUNDS + 1):
         named = cut_lineage(named)
