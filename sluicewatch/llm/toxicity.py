@@ -8,7 +8,6 @@ share with known words.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .words import mix, powers
 
 BUCKETS = 1 << 16
 WIDTH = 8
@@ -54,14 +54,27 @@ def bare(chunk: str) -> str:
     return chunk[a:b] or chunk
 
 
-def grams(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the word and of its character n-grams, ends marked. Runs of over 40 letters keep
-    their n-grams, they are only more of them."""
-    marked = f"<{word}>"
-    found = {marked}
+def grams_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every character n-gram of the words, ends marked, and of each word itself. One
+    that stands twice in a word counts twice."""
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(m) for m in marked], np.int64)
+    stop = np.cumsum(size)
+    up, down = powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[:len(codes)], out=sums[1:])
+    of = np.repeat(np.arange(len(words)), size)
+    found, word = [(sums[stop] - sums[stop - size]) * down[stop - size] + np.uint64(1)], [np.arange(len(words))]
     for n in range(SHORTEST, LONGEST + 1):
-        found.update(marked[i:i + n] for i in range(len(marked) - n + 1))
-    return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in found})
+        at = np.flatnonzero(of[:len(of) - n + 1] == of[n - 1:]) if len(of) >= n else np.zeros(0, np.int64)
+        found.append((sums[at + n] - sums[at]) * down[at] + np.uint64(n))
+        word.append(of[at])
+    return (mix(np.concatenate(found)) % np.uint64(buckets)).astype(np.int64), np.concatenate(word)
+
+
+def grams(word: str) -> list[int]:
+    return grams_of([word])[0].tolist()
 
 
 def known_labels(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
@@ -137,12 +150,10 @@ def train(words: list[list[str]], counts: list[list[int]], labels: np.ndarray, e
     if not pairs:
         return np.zeros(BUCKETS), 0.0, {}
     doc, word, part = (np.array(x) for x in zip(*pairs, strict=True))
-    bag = [grams(w) for w in index]
-    gram = np.concatenate([np.array(g) for g in bag])
-    of_word = np.repeat(np.arange(len(bag)), [len(g) for g in bag])
-    mean = 1 / np.array([len(g) for g in bag])[of_word]
-    to_words, to_grams = _Sums(gram, of_word, mean, len(bag)), _Sums(of_word, gram, mean, BUCKETS)
-    to_docs, from_docs = _Sums(word, doc, part, len(words)), _Sums(doc, word, part, len(bag))
+    gram, of_word = grams_of(list(index))
+    mean = 1 / np.bincount(of_word, minlength=len(index))[of_word]
+    to_words, to_grams = _Sums(gram, of_word, mean, len(index)), _Sums(of_word, gram, mean, BUCKETS)
+    to_docs, from_docs = _Sums(word, doc, part, len(words)), _Sums(doc, word, part, len(index))
     table = rng.normal(0, 0.03, (BUCKETS, WIDTH)).astype(np.float32)
     soft = np.zeros((WIDTH + 1, 2), np.float32)
     soft[:WIDTH, 1] = rng.normal(0, 0.5, WIDTH)
@@ -202,14 +213,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, dict[str, float]]) ->
         known: dict[str, float] = {}
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                chunks = set((text or "").lower().split())
+            for at in range(0, batch.num_rows, 500):
+                texts = [set((t or "").lower().split()) for t in batch.column("text").slice(at, 500).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
-                for c in chunks.difference(known):
-                    word = bare(c)
-                    known[c] = float(each[grams(word)].mean()) * weights.get(word, 1.0)
-                out.append(bias + sum(map(known.__getitem__, chunks)) / (PADDING + len(chunks)))
+                new = list(set().union(*texts).difference(known))
+                for a in range(0, len(new), 50_000):
+                    bares = [bare(c) for c in new[a:a + 50_000]]
+                    bucket, word = grams_of(bares)
+                    mean = np.bincount(word, each[bucket], len(bares)) / np.bincount(word, minlength=len(bares))
+                    known.update(zip(new[a:a + 50_000], (mean * [weights.get(w, 1.0) for w in bares]).tolist(), strict=True))
+                out += [bias + sum(map(known.__getitem__, t)) / (PADDING + len(t)) for t in texts]
             odds = 1 / (1 + np.exp(-np.clip(np.array(out, float), -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(odds)], names=["doc_id", "score"])
 
