@@ -100,9 +100,9 @@ def _dnf(text: str, tokens: list[tuple[str, int, int]], neg: bool) -> list[list[
     if tokens[0][0] == "NOT":
         return _dnf(text, tokens[1:], not neg)
     signs = [i for i in top if tokens[i][0] in NEGATED]
-    if len(signs) == 1 and 0 < signs[0] < len(tokens) - 1:
+    if len(signs) == 1 and signs[0]:  # a side that is missing stays empty
         i = signs[0]
-        left, right = (text[t[0][1]:t[-1][2]] for t in (tokens[:i], tokens[i + 1:]))
+        left, right = (text[t[0][1]:t[-1][2]] if t else "" for t in (tokens[:i], tokens[i + 1:]))
         op = tokens[i][0]
         return [[(left, NEGATED[op] if neg else op, right)]]
     if not signs and tokens[0][0] == "(" and top == [0, len(tokens) - 1]:
