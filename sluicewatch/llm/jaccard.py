@@ -122,14 +122,15 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, hot: int) -> DataFrame:
-    """(token, salt, sid, n, pos, key) of each set's prefix; equal sets of one batch are told once."""
+    """(token, salt, sid, n, pos, key) of each set's prefix; equal sets of one batch are told once, by
+    the smallest key that the batch has for them in any of its pieces, so the smallest key told is the set's."""
     sent = docs.sparkSession.sparkContext.broadcast(
         (levels_of(counts), np.where(counts > hot, -(-counts // hot), 1).astype(np.int32) if (counts > hot).any() else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, salts = sent.value
         for batch in batches:
-            parts, seen = [], set()
+            parts, seen, sids, owners = [], set(), [], []
             keys = batch.column("key").to_numpy()
             for rows, data, ends in pieces(batch):
                 found, of = rare_first(*document_sets(data, ends, width), levels)
@@ -139,9 +140,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, hot:
                 n = np.bincount(of, minlength=len(ends))
                 sid = np.zeros(len(ends), np.uint64)
                 sid[of[at]] = np.add.reduceat(mix(found), at)
+                sids.append(sid[of[at]])
+                owners.append(keys[rows][of[at]])
                 first = np.zeros(len(ends), bool)
-                for d in np.lexsort((keys[rows], sid)).tolist():
-                    if n[d] and int(sid[d]) not in seen:
+                for d in of[at].tolist():
+                    if int(sid[d]) not in seen:
                         seen.add(int(sid[d]))
                         first[d] = True
                 pos = np.arange(len(found)) - np.repeat(at, np.diff(np.append(at, len(found))))
@@ -151,10 +154,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, hot:
                 if salts is not None:
                     ways = salts[(token >> np.uint64(44)).astype(np.int64)]
                     salt = (sid[d] % ways.astype(np.uint64)).astype(np.int32) + (ways > 1)
-                parts.append((token.view(np.int64), salt, sid[d].view(np.int64), n[d].astype(np.int32),
-                              pos[keep].astype(np.int32), keys[rows][d]))
+                parts.append((token.view(np.int64), salt, sid[d], n[d].astype(np.int32), pos[keep].astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)],
+                token, salt, sid, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+                sids, owners = np.concatenate(sids), np.concatenate(owners)
+                order = np.lexsort((owners, sids))
+                smallest = owners[order][np.searchsorted(sids[order], sid)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, salt, sid.view(np.int64), n, pos, smallest)],
                                                  names=["token", "salt", "sid", "n", "pos", "key"])
 
     return docs.select("key", "text").mapInArrow(run, "token long, salt int, sid long, n int, pos int, key long")

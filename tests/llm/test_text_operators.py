@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 
@@ -7,6 +8,7 @@ import pytest
 import brute
 from sluicewatch.llm import jaccard, licences, substrings, tiling
 from sluicewatch.llm.common import components, running_sums
+from sluicewatch.llm.words import pieces
 
 SHAPE = "doc_id long, text string, score string, key int"
 
@@ -63,6 +65,31 @@ def test_jaccard_repeated_ids_and_empty_table(spark):
     assert jaccard.similar_groups(docs(spark, [])).count() == 0
 
 
+def test_jaccard_unsorted_copies_in_several_pieces_and_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "pieces", functools.partial(pieces, most=300))
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rnd.randrange(500)}" for _ in range(60)]
+        texts += [" ".join(base)] * 6 + [" ".join([*base, "tail"])] * 2 + [" ".join(["head", *base])]
+    ids = rnd.sample(range(1000), len(texts))
+    rows = list(zip(ids, texts, strict=True))
+    rnd.shuffle(rows)
+    wanted = brute.jaccard(rows, 4, 85)
+    for parts in (1, 3):
+        path = f"{tmp_path}/{parts}"
+        for i in range(parts):
+            docs(spark, rows[i::parts]).coalesce(1).write.mode("append").parquet(path)
+        table = spark.read.parquet(path)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(table).collect()}
+        assert got == wanted
+        assert sorted(r.doc_id for r in jaccard.one_of_each(table).collect()) == sorted({c for _, c in wanted.values()})
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    few = spark.createDataFrame([(100, near), (50, "z " * 200), (5, near), (7, near + " u")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(few).collect()}
+    assert got == {100: 5, 50: 50, 5: 5, 7: 5}
+
+
 def test_suffix_filter_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(200):
