@@ -1,8 +1,8 @@
 """License scans with a positional index of rare licence words, in DataFrame functions only.
 
 Each licence template has postings for its anchors, the words of the template that the fewest
-documents hold. A file's anchors of highest IDF are looked up; every occurrence votes for the place
-where the template would have to start, and anchors that agree on one start add up. A template
+documents hold. All anchors in a file are looked up; every occurrence votes for the place where
+the template would have to start, and anchors that agree on one start add up. A template
 counts where enough of its anchors agree and its mandatory key phrase stands at its own place.
 """
 
@@ -46,9 +46,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain",
      "unencumbered software released into the public domain"),
 ]
-#: Anchors of a template, anchors of a file that are looked up, and the agreeing share that counts.
+#: Anchors of a template, and the agreeing share that counts.
 ANCHORS = 5
-FILE_WORDS = 12
 ENOUGH = 0.7
 
 
@@ -127,14 +126,9 @@ def scan(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
     table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(s).alias("s"))
                       for t, w, p, s in index])
-    weight: dict[str, float] = {}
-    for _, w, _, s in index:
-        weight[w] = max(weight.get(w, 0.0), s)
-    rarest = sorted(weight, key=lambda w: (-weight[w], w))
-    own = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rarest]), F.col("words")), 1, FILE_WORDS)
-    seen = F.filter(F.transform("words", lambda w, i: F.when(
-        w.isin(rarest), F.when(F.array_contains(F.col("own"), w), F.struct(w.alias("w"), i.alias("i"))))),
-        lambda x: x.isNotNull())
+    anchors = sorted({w for _, w, _, _ in index})
+    seen = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("w"), i.alias("i")))),
+                    lambda x: x.isNotNull())
 
     def verified(t: Column, start: Column) -> Column:
         out = F.lit(False)
@@ -148,8 +142,7 @@ def scan(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
         lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("start"), p["p"].alias("p"), p["s"].alias("s")))))
     votes = F.filter(votes, lambda v: verified(v["t"], v["start"]))
     cut = rows.select("doc_id", "text_hash", n_words.cast("long").alias("n_words"), "words", base_hits(words).alias("base"),
-                      F.when(F.col("words").isNotNull(), own).alias("own"), *also)
-    cut = cut.withColumn("seen", seen)
+                      seen.alias("seen"), *also)
     found = cut_lineage(cut.select("doc_id", "text_hash", "n_words", "base", votes.alias("votes"), *also))
 
     agreed = (found.select("doc_id", "text_hash", F.inline("votes"))

@@ -112,6 +112,15 @@ def test_licence_base_and_labels(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and licences.scan(docs(spark, [])).count() == 0
 
 
+def test_licence_file_of_all_templates(spark):
+    texts = [text for _, text, _ in licences.TEMPLATES]
+    some = [text for label, text, _ in licences.TEMPLATES if label in ("bsd", "isc", "gpl-3")] + [texts[1]]
+    rows = [(1, ". ".join(texts)), (2, " filler words\n".join(reversed(texts))), (3, " and also ".join(some)), (4, "nothing of the kind")]
+    got = {r.doc_id: (r.labels, r.score) for r in licences.scan(docs(spark, rows)).collect()}
+    every = ",".join(sorted({label for label, _, _ in licences.TEMPLATES}))
+    assert got == {1: (every, 1.0), 2: (every, 1.0), 3: ("bsd,gpl-3,isc,mit", 1.0), 4: ("", 0.0)}
+
+
 def test_tiles_match_brute_force():
     rnd = random.Random(5)
     for _ in range(60):
