@@ -127,10 +127,10 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
                 new = np.ones(len(order), bool)
                 new[1:] = (seed[1:] != seed[:-1]) | (whole[1:] != whole[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed[new].view(np.int64)), pa.array((whole[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    [pa.array(seed[new].view(np.int64)), pa.array(whole[new].view(np.int64)),
                      pa.array(key[order][new]), pa.array(place[order][new])], names=["seed", "whole", "key", "place"])
 
-    return docs.select("key", "text").mapInArrow(run, "seed long, whole int, key long, place long")
+    return docs.select("key", "text").mapInArrow(run, "seed long, whole long, key long, place long")
 
 
 class Family:
@@ -144,7 +144,7 @@ class Family:
         self.levels: list[tuple[int, str]] = []
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("seed long, whole int, key long, place long").parquet(path)
+        return self.spark.read.schema("seed long, whole long, key long, place long").parquet(path)
 
     def _write(self, rows: DataFrame) -> str:
         path = shared_path(self.spark, "suffixes")
@@ -162,7 +162,9 @@ class Family:
         for _, path in self.levels:
             rows = rows.join(self._read(path), ["seed", "whole"], "left_anti")
         self.levels.append((1, self._write(rows)))
+        del rows
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            release(self.spark)
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, self._write(self._read(a).unionByName(self._read(b)).repartition("seed"))))
             self._drop(a)

@@ -36,6 +36,25 @@ def test_substrings_repeated_and_missing_ids(spark):
     assert substrings.deduplicate(docs(spark, []), 10, 2).count() == 0
 
 
+def test_substrings_stretches_alike_in_half_their_fingerprint(spark):
+    """Of many stretches around one passage, two that differ but whose fingerprints share 32 bits."""
+    rng = np.random.default_rng(4)
+    n, around, passage = 300_000, 10, np.frombuffer(b"passage", np.uint8)
+    data = np.concatenate([rng.integers(97, 123, (n, around), np.uint8), np.tile(passage, (n, 1)),
+                           rng.integers(97, 123, (n, around), np.uint8)], axis=1)
+    size = data.shape[1]
+    s = substrings.Stretches(data.ravel(), np.arange(1, n + 1) * size, 10)
+    order = np.lexsort((s.whole, s.seed))
+    seed, whole = s.seed[order], s.whole[order]
+    alike = np.flatnonzero((seed[1:] == seed[:-1]) & (whole[1:] >> np.uint64(32) == whole[:-1] >> np.uint64(32)) & (whole[1:] != whole[:-1]))
+    pairs = [(s.doc[order[i]], s.doc[order[i + 1]]) for i in alike.tolist()]
+    assert pairs
+    rows = [(k, data[d].tobytes().decode()) for k, d in enumerate(x for pair in pairs[:5] for x in pair)]
+    out = substrings.deduplicate(docs(spark, rows), 10, 2).collect()
+    got = {r.doc_id: (r.n_bytes, sum(x.length for x in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out}
+    assert got == brute.substrings(rows, 10)
+
+
 @pytest.mark.parametrize(("small", "hot"), [(64, 10**6), (4, 20)])
 def test_jaccard_matches_brute_force(spark, monkeypatch, small, hot):
     monkeypatch.setattr(jaccard, "ROW", 20)
