@@ -1,10 +1,10 @@
-"""Removal of repeated substrings with a logarithmic family of sparse suffix arrays.
+"""Removal of repeated substrings with a logarithmic family of fingerprint tables.
 
 Every string of ``length`` bytes holds one suffix start, its anchor, chosen by its content alone, so
 equal strings have equal anchors and only anchored suffixes are kept. A suffix record holds a
 fingerprint of its first bytes, one of the whole stretch of strings it is the anchor of, and
 the place where that stretch first stands. Documents come in batches: a batch's records are sorted
-into an array, merge-scanned against the arrays of all levels, and what is new becomes a level;
+by hash, joined against the tables of all levels on equal hashes, and what is new becomes a level;
 two levels of one size merge into the next. A stretch that stood before is a match from end to end.
 Where suffixes agree in their first bytes but not in the whole stretch, their bytes are compared
 string by string.
@@ -134,7 +134,7 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
 
 
 class Family:
-    """Levels of suffix arrays in the shared folder, each (seed, whole, key, place) sorted by (seed, whole).
+    """Levels of fingerprint tables in the shared folder, each (seed, whole, key, place) sorted by (seed, whole).
 
     Level sizes are powers of two times a batch. A record stands in one level only, with its first place.
     """
