@@ -134,33 +134,34 @@ def fit(sample: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             np.frombuffer(row[2], np.int8))
 
 
-def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Share of label 1 among the k nearest, weighted by cosine; 0.5 with no neighbour above 0."""
+def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS, unknown: float = 0.5) -> np.ndarray:
+    """Share of label 1 among the k nearest, weighted by cosine; ``unknown`` with no neighbour above 0."""
     if not len(known):
-        return np.full(len(vectors), 0.5)
+        return np.full(len(vectors), unknown)
     k = min(k, len(known))
     near = vectors @ known.T
     best = np.argpartition(near, len(known) - k, axis=1)[:, -k:]
     weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** 4
     total = weight.sum(1)
-    return np.where(total > 0, (weight * labels[best]).sum(1) / np.maximum(total, 1e-12), 0.5)
+    return np.where(total > 0, (weight * labels[best]).sum(1) / np.maximum(total, 1e-12), unknown)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, ...], idf: np.ndarray, columns: list[str], name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, ...], idf: np.ndarray, columns: list[str], name: str = "score",
+          unknown: float = 0.5) -> DataFrame:
     """``columns`` of every row of ``docs`` and its score as ``name``. A text without terms (empty or NULL)
-    has no direction and scores 0.5."""
+    has no direction and scores ``unknown``, as any text does without labelled neighbours."""
     sent = docs.sparkSession.sparkContext.broadcast((*model, idf))
     keep = [docs.schema[c] for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, known, labels, idf = sent.value
         for batch in batches:
-            out = np.full(batch.num_rows, 0.5)
+            out = np.full(batch.num_rows, unknown)
             for rows, data, ends in pieces(batch):
                 for a, b, own, own_ends in _blocks(data, ends):
                     x = weigh(term_counts(own, own_ends), idf) @ basis
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    out[rows.start + a:rows.start + b] = vote(x, known, labels)
+                    out[rows.start + a:rows.start + b] = vote(x, known, labels, unknown=unknown)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.clip(out, 0, 1))],
                                              names=[*columns, name])
 
@@ -171,19 +172,21 @@ def inverse(frequencies: np.ndarray, rows: int) -> np.ndarray:
     return np.log((rows + 1) / (frequencies + 1)).astype(np.float32) + np.float32(0.1)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "score") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "score",
+                   unknown: float = 0.5) -> DataFrame:
     """``columns`` and score of every row of ``docs``, learnt from the labelled rows that are not held out."""
     idf = inverse(*document_frequencies(docs))
     model = fit(labelled(docs, labels, "quality", fold(F.col("doc_id"), 4) == 2, SAMPLE_PER_CLASS), idf)
-    return score(docs, model, idf, columns, name)
+    return score(docs, model, idf, columns, name, unknown)
 
 
 def good(docs: DataFrame, labels: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with their columns."""
+    """The rows of ``docs`` whose score is at least ``least``, with their columns. Rows without labelled
+    neighbours to reject them stay: texts without terms, and all rows where no label may be learnt from."""
     name = "score"
     while name in docs.columns:
         name += "_"
-    return quality_scores(docs, labels, docs.columns, name).filter(F.col(name) >= least).select(*docs.columns)
+    return quality_scores(docs, labels, docs.columns, name, 1.0).filter(F.col(name) >= least).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,3 +159,12 @@ def test_pipeline_against_brute_force(spark):
     out = corpus_pipeline.write_tokens(spark, mixed, SF).collect()
     assert len(out) == mixed.count() and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
     assert {r.doc_id for r in out} == {r.doc_id for r in mixed.collect()}
+
+
+def test_quality_keeps_what_no_label_rejects(spark):
+    rows = [(i, f"Some words, number {i}.") for i in range(20)] + [(20, None), (21, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in quality.good(table, labels).collect()) == list(range(22))
+    bad = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in quality.good(table, bad).collect()) == [20, 21]
