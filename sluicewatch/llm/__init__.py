@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("substrings", "warc", "tiling", "licences", "toxicity", "mixing", "quality", "kdtree", "jaccard",
-           "token_files", "similarity_sketch", "lexical_search")
+           "token_files", "similarity_sketch", "lexical_search", "conversation_trie")
 
 
 def load_queries() -> tuple[dict, dict]:
