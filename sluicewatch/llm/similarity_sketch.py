@@ -12,8 +12,9 @@ Sets that agree in all ROWS coordinates of one of the bands meet in its bucket.
 
 No bucket is paired off as a whole: its members are verified against its first one, links become
 components, and a bucket in one component needs no more. In those still open, members look for the
-partners outside their component whose sketches agree best; the pairs between components that are left
-at the end are all verified, cell by cell, unless their sketches rule a link out.
+partners outside their component that seem closest; the pairs between components that are left at the
+end are all gone through, cell by cell. Parity maps give a lower bound of two sets' difference, so nearly
+all pairs without a link are ruled out where they are met and only the rest is verified.
 """
 
 from __future__ import annotations
@@ -34,14 +35,14 @@ WIDTH = 4
 PERCENT = 80
 T = 72
 ROWS = 3
-#: Standard deviations below the expected agreement at which a sketch rules a link out.
-DEVIATIONS = 6.5
+#: Least and largest logarithm of a parity map's bits.
+BITS = (8, 15)
 #: Members of a bucket that a task compares at a time, and partners that each one looks for in a turn.
 CELL = 1_000
 NEAR = 3
-TURNS = 5
+TURNS = 8
 #: Pairs between components, for each member of an open bucket, that are verified without more turns.
-CROSS = 60
+CROSS = 20
 #: Ways over which the rows of one bucket are spread, and partners of one document that share a task.
 SALTS = 16
 CHUNK = 2_000
@@ -78,14 +79,50 @@ def bands_of(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(out)
 
 
-def agreement(percent: int, t: int) -> int:
-    """Coordinates in which a pair at the limit agrees at least, but for DEVIATIONS."""
-    p = percent / 100
-    return max(0, int(t * p - DEVIATIONS * (t * p * (1 - p)) ** 0.5))
+def parities(found: np.ndarray, of: np.ndarray, count: int) -> list[bytes]:
+    """A bit map of each set: the parity of its elements by the low bits of a hash, two bits an element and more.
+
+    Elements that two sets share cancel out, so where the maps differ is at most where the sets do, and
+    a map folded in half is that of half the bits.
+    """
+    n = np.bincount(of, minlength=count)
+    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(1, 2 * n))), *BITS).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    place = start[of] + (mix(found ^ np.uint64(0x2545F4914F6CDD1D)).astype(np.int64) & (bits[of] - 1))
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((start // 8).tolist(), ((start + bits) // 8).tolist(), strict=True)]
+
+
+class Maps:
+    """Parity maps of many sets, to be compared at the length of the shorter one."""
+
+    def __init__(self, maps: list[bytes]):
+        self.size = np.array([len(m) for m in maps], np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        longer, rows = np.zeros((0, 0), np.uint8), np.zeros(0, np.int64)
+        for size in sorted(set(self.size.tolist()), reverse=True):
+            while longer.shape[1] > size:
+                half = longer.shape[1] // 2
+                longer = longer[:, :half] ^ longer[:, half:]
+            own = np.flatnonzero(self.size == size)
+            here = np.frombuffer(b"".join(maps[i] for i in own.tolist()), np.uint8).reshape(len(own), size)
+            longer, rows = np.concatenate([longer.reshape(len(rows), size), here]), np.concatenate([rows, own])
+            table = np.zeros((len(maps), size), np.uint8)
+            table[rows] = longer
+            self.at[size] = table
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of each pair's symmetric difference."""
+        size = np.minimum(self.size[a], self.size[b])
+        out = np.zeros(len(a), np.int64)
+        for s in set(size.tolist()):
+            own = size == s
+            out[own] = np.bitwise_count(self.at[s][a[own]] ^ self.at[s][b[own]]).sum(axis=1)
+        return out
 
 
 def summaries(docs: DataFrame, width: int, t: int, rows: int) -> DataFrame:
-    """(key, n, sid, sid2, bands, sig): a set's size and 128-bit name, its buckets, a byte of each coordinate."""
+    """(key, n, sid, sid2, bands, map): a set's size and 128-bit name, its buckets, its parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,32 +136,32 @@ def summaries(docs: DataFrame, width: int, t: int, rows: int) -> DataFrame:
                     sid2[of[at]] = np.add.reduceat(mix(found ^ np.uint64(0x5851F42D4C957F2D)), at)
                 sketch = sketches(found, of, len(ends), t)
                 buckets = bands_of(sketch, rows)
-                sig = (sketch & np.uint64(255)).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(ends) + 1, dtype=np.int32) * buckets.shape[1]), pa.array(buckets.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(part.start, len(ends)), pa.array(n), pa.array(sid.view(np.int64)),
-                     pa.array(sid2.view(np.int64)), lists, pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=["key", "n", "sid", "sid2", "bands", "sig"])
+                     pa.array(sid2.view(np.int64)), lists, pa.array(parities(found, of, len(ends)), pa.binary())],
+                    names=["key", "n", "sid", "sid2", "bands", "map"])
 
     return docs.select("key", "text").mapInArrow(
-        run, "key long, n long, sid long, sid2 long, bands array<long>, sig binary")
+        run, "key long, n long, sid long, sid2 long, bands array<long>, map binary")
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in ``least`` coordinates or more."""
+def likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their parity maps don't rule out; none that is similar enough is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                        for c in ("sig_a", "sig_b"))
-                batch = batch.filter(pa.array((a == b).sum(axis=1) >= least))
+            n = batch.num_rows
+            if n:
+                both = Maps(batch.column("map_a").to_pylist() + batch.column("map_b").to_pylist())
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                fits = (100 + percent) * both.apart(np.arange(n), np.arange(n, 2 * n)) <= (100 - percent) * total
+                batch = batch.filter(pa.array(fits))
             yield batch.select(["a", "b"])
 
-    of_a = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
-    of_b = sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    sides = [maps.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -169,12 +206,12 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return met.mapInArrow(run, "a long, b long")
 
 
-def between(members: DataFrame, turn: int, least: int, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of members (bucket, key, n, component, sig, m) in different components of a bucket.
+def between(members: DataFrame, turn: int, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of members (bucket, key, n, component, map, m) in different components of a bucket.
 
     Members are dealt into rows of about CELL. Otherwise than ``every``, each looks inside its row for
-    the NEAR ones that agree best; with it, all pairs of rows are compared, each in a task's group of
-    two rows, and every pair goes on that its sketches and sizes allow.
+    the NEAR ones that seem closest; with it, all pairs of rows are compared, each in a task's group of
+    two rows, and every pair goes on that sizes and parity maps allow.
     """
     ways = F.ceil(F.col("m") / CELL).cast("int")
     dealt = members.withColumn("row", F.pmod(F.xxhash64("key", F.lit(turn)), ways).cast("int"))
@@ -187,7 +224,7 @@ def between(members: DataFrame, turn: int, least: int, percent: int, every: bool
 
     def run(table: pa.Table) -> pa.Table:
         key, n, component, row = (table.column(c).to_numpy() for c in ("key", "n", "component", "row"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+        maps = Maps(table.column("map").to_pylist())
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right = np.flatnonzero(row == x), np.flatnonzero(row == y)
         a, b = [], []
@@ -195,18 +232,18 @@ def between(members: DataFrame, turn: int, least: int, percent: int, every: bool
             others = right[component[right] != component[i]]
             if x == y and every:
                 others = others[others > i]
-            size = np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent
-            others = others[size]
-            same = (sig[others] == sig[i]).sum(axis=1)
-            others, same = others[same >= least], same[same >= least]
+            others = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent]
+            apart = maps.apart(np.full(len(others), i), others)
+            fits = (100 + percent) * apart <= (100 - percent) * (n[others] + n[i])
+            others, apart = others[fits], apart[fits]
             if not every and len(others) > NEAR:
-                others = others[np.argpartition(-same, NEAR)[:NEAR]]
+                others = others[np.argpartition(apart, NEAR)[:NEAR]]
             a += [key[i]] * len(others)
             b += key[others].tolist()
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         return pa.table({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
 
-    told = dealt.select("bucket", "cell.x", "cell.y", "key", "n", "component", "sig", "row")
+    told = dealt.select("bucket", "cell.x", "cell.y", "key", "n", "component", "map", "row")
     return told.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -215,11 +252,10 @@ def salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def linked_components(reps: DataFrame, docs: DataFrame, width: int, percent: int, t: int, cell_turns: int) -> DataFrame:
-    """(node, component) of the keys in ``reps`` (key, n, bands, sig), one a set, that have a link."""
+def linked_components(reps: DataFrame, docs: DataFrame, width: int, percent: int, cell_turns: int) -> DataFrame:
+    """(node, component) of the keys in ``reps`` (key, n, bands, map), one a set, that have a link."""
     spark = docs.sparkSession
-    least = agreement(percent, t)
-    sigs = reps.select("key", "sig")
+    maps = reps.select("key", "n", "map")
     held = reps.select(F.explode("bands").alias("bucket"), "key", "n")
     hubs = held.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     spread = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
@@ -227,7 +263,7 @@ def linked_components(reps: DataFrame, docs: DataFrame, width: int, percent: int
     close = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
     tried = shared.filter(close & (F.col("key") != F.col("hub.key"))).select(
         F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
-    tried = cut_lineage(likely(tried, sigs, least))
+    tried = cut_lineage(likely(tried, maps, percent))
     named = components(cut_lineage(verified(tried, docs, width, percent)))
     release(spark)
     before = None
@@ -242,10 +278,10 @@ def linked_components(reps: DataFrame, docs: DataFrame, width: int, percent: int
         cross, members = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("s")) / 2), F.sum("all")).first()
         if not cross:
             return named
-        every = turn == cell_turns or cross <= CROSS * members or before is not None and cross > before / 2
+        every = turn == cell_turns or cross <= CROSS * members or cross == before
         before = cross
-        open_ = placed.join(salted(counts.select("bucket")), ["bucket", "salt"]).join(sigs, "key")
-        more = cut_lineage(between(open_, turn, least, percent, every).join(tried, ["a", "b"], "left_anti"))
+        open_ = placed.join(salted(counts.select("bucket")), ["bucket", "salt"]).join(maps.drop("n"), "key")
+        more = cut_lineage(between(open_, turn, percent, every).join(tried, ["a", "b"], "left_anti"))
         named = extended(named, cut_lineage(verified(more, docs, width, percent)))
         if every:
             return named
@@ -269,9 +305,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sets = told.select("key", "n", "sid", "sid2")
     named_by = cut_lineage(sets.filter("n > 0").groupBy("n", "sid", "sid2").agg(
         F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")))
-    reps = cut_lineage(told.select("key", "n", "bands", "sig").join(
+    reps = cut_lineage(told.select("key", "n", "bands", "map").join(
         named_by.select(F.col("least").alias("key")), "key", "left_semi"))
-    named = linked_components(reps, docs, width, percent, t, turns)
+    named = linked_components(reps, docs, width, percent, turns)
     salt = F.pmod(F.xxhash64("least"), F.lit(SALTS)).cast("int")
     every = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(salt))
     same = named_by.join(named.withColumnRenamed("node", "least"), "least", "left").select(

@@ -119,7 +119,9 @@ def test_sketches_estimate_similarity():
             assert (s[:2] != similarity_sketch.EMPTY).all() and (s[2] == similarity_sketch.EMPTY).all()
             same, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             assert abs((s[0] == s[1]).mean() - same / union) < 0.35
-    assert similarity_sketch.agreement(80, 72) <= 72 * 0.8
+            maps = similarity_sketch.Maps(similarity_sketch.parities(found, of, 3))
+            assert maps.apart(np.array([0, 0]), np.array([1, 0])).tolist()[1] == 0
+            assert maps.apart(np.array([0]), np.array([1]))[0] <= union - same
     found, of = document_sets(np.frombuffer(b"a b c d e", np.uint8), np.array([9]))
     assert (similarity_sketch.sketches(found, of, 1) == similarity_sketch.sketches(found[::-1], of, 1)).all()
 
