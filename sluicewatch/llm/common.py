@@ -46,7 +46,8 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence, values: S
     names = [o if isinstance(o, str) else o[0] for o in order]
     keyed = df.withColumns({o[0]: o[1] for o in order if not isinstance(o, str)})
     keep = list(dict.fromkeys([*group, *names, *values, *also]))
-    ranged = keyed.select(*keep).repartitionByRange(*group, *names)
+    # written first: ranges are sampled, and what is read twice for it shall not be computed twice
+    ranged = cut_lineage(keyed.select(*keep)).repartitionByRange(*group, *names)
     placed = cut_lineage(ranged.withColumn("range", F.spark_partition_id()))
     whole = placed.groupBy(*group, "range").agg(*[F.sum(v).alias(f"whole_{v}") for v in values])
     earlier = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

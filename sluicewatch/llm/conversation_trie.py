@@ -221,7 +221,7 @@ def turn_digests(conversations: DataFrame) -> DataFrame:
     rows = conversations.filter("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.xxhash64(role, text).alias("h1"),
         F.xxhash64(F.lit(1), text, role).alias("h2"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.lit(1).alias("one"))
-    numbered = running_sums(cut_lineage(rows), ["conv_id"], ["turn", "h1", "h2"], ["one"], ["words"])
+    numbered = running_sums(rows, ["conv_id"], ["turn", "h1", "h2"], ["one"], ["words"])
     return cut_lineage(numbered.select("conv_id", F.col("before_one").cast("long").alias("p"), "h1", "h2", "words"))
 
 

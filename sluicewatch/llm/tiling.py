@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on shared runs of LEAST words. For each such pair the
-longest common stretches that do not overlap are marked, longest first, by running Karp-Rabin
+Documents and benchmark items are joined on shared runs of LEAST words, their seeds. For each pair with
+enough of them the longest common stretches that do not overlap are marked, longest first, by running Karp-Rabin
 rounds of falling length; how much of the item the tiles cover decides. Since tiles may stand in
 any order, reordered passages are caught.
 """
@@ -12,19 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, running_sums
+from .common import cut_lineage, keyed, read
 from .words import NOT_ALNUM, mix, pieces, powers, shingles, words
 
 LEAST = 5
 COVERAGE = 0.6
 FIRST_LENGTH = 20
-#: Words of benchmark text that are broadcast at a time.
-BLOCK_WORDS = 1_000_000
-FILTER_BITS = 22
+#: Size of the filter of benchmark seeds, and of the pieces in which it is put together.
+FILTER_BITS = 26
+PIECE_OF_FILTER = 1 << 16
+#: Ways over which the documents that hold one seed are spread.
+SALTS = 16
 
 
 def _window_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -89,129 +90,157 @@ def tiles(item: np.ndarray, text: np.ndarray, broken: np.ndarray, least: int = L
             return found
 
 
-class Index:
-    """Items of one block: their words and where each run of LEAST words stands."""
-
-    def __init__(self, ids: list[int], texts: list[str], least: int):
-        self.ids, self.least = ids, least
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        hashes, item, _, _ = words(data, np.cumsum([len(r) for r in raw]), NOT_ALNUM)
-        self.start = np.searchsorted(item, np.arange(len(ids) + 1))
-        self.tokens = hashes
-        seeds, of, _ = shingles(hashes, item, least)
-        order = np.lexsort((of, seeds))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(seeds[order]) != 0) | (np.diff(of[order]) != 0)
-        self.seeds, self.of = seeds[order][new], of[order][new]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.seeds >> np.uint64(64 - FILTER_BITS)] = True
-
-    def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``seeds``, item) of every shared seed."""
-        likely = np.flatnonzero(self.filter[seeds >> np.uint64(64 - FILTER_BITS)])
-        lo = np.searchsorted(self.seeds, seeds[likely], "left")
-        n = np.searchsorted(self.seeds, seeds[likely], "right") - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(likely, n), self.of[at]
-
-
-def leaks_in(index: Index, data: np.ndarray, ends: np.ndarray, coverage: float) -> list[tuple]:
-    """(document, item id, words, covered, tiles, longest, first word, last word) of covered items."""
-    hashes, doc, _, _ = words(data, ends, NOT_ALNUM)
-    seeds, of, first = shingles(hashes, doc, index.least)
-    place, item = index.hits(seeds)
-    if not len(place):
-        return []
-    order = np.lexsort((place, item, of[place]))
-    place, item = place[order], item[order]
-    cut = np.flatnonzero((np.diff(of[place], prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
-    out = []
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(place)], strict=True):
-        own = index.tokens[index.start[item[a]]:index.start[item[a] + 1]]
-        if b - a + index.least - 1 < coverage * len(own) / index.least:
-            continue  # so few seeds cannot cover the item
-        near = np.unique((first[place[a:b]][:, None] + np.arange(index.least)).ravel())
-        gap = np.flatnonzero(np.diff(near) > 1) + 1  # a marked place between stretches that do not touch
-        text = np.insert(hashes[near], gap, 0)
-        broken = np.insert(np.zeros(len(near), bool), gap, True)
-        at = np.insert(near, gap, 0)
-        marked = tiles(own, text, broken, index.least)
-        covered = sum(k for _, _, k in marked)
-        if marked and covered >= coverage * len(own):
-            base = int(np.searchsorted(doc, of[place[a]]))
-            out.append((int(of[place[a]]), index.ids[item[a]], len(own), covered, len(marked), max(k for _, _, k in marked),
-                        int(min(at[t] for _, t, _ in marked)) - base, int(max(at[t + k - 1] for _, t, k in marked)) - base))
+def seeds_of(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, seeds, first word of each seed) of one text."""
+    data = np.frombuffer(text, np.uint8)
+    tokens, of, _, _ = words(data, np.array([len(data)]), NOT_ALNUM)
+    seeds, _, first = shingles(tokens, of, least)
+    return tokens, seeds, first
+
+
+def item_seeds(items: DataFrame, least: int) -> DataFrame:
+    """(seed, item, times, n_item_words): an item's distinct seeds and how often each stands in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, ends in pieces(batch):
+                hashes, of, _, _ = words(data, ends, NOT_ALNUM)
+                n = np.bincount(of, minlength=len(ends))
+                seeds, item, _ = shingles(hashes, of, least)
+                order = np.lexsort((seeds, item))
+                seeds, item = seeds[order], item[order]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(seeds) != 0) | (np.diff(item) != 0)])) if len(seeds) else order
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seeds[new].view(np.int64)), batch.column("key").take(pa.array(part.start + item[new])),
+                     pa.array(np.diff(new, append=len(seeds)).astype(np.int64)), pa.array(n[item[new]])],
+                    names=["seed", "item", "times", "n_item_words"])
+
+    return items.select("key", "text").mapInArrow(run, "seed long, item long, times long, n_item_words long")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """One bit for each value of the seeds' first FILTER_BITS bits: of one size whatever the benchmark's."""
+    size = 1 << (FILTER_BITS - 3)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = batch.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+        rows = bits.reshape(-1, min(PIECE_OF_FILTER, size))
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], pa.binary())],
+                                         names=["piece", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, bits in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                own[piece] = own.get(piece, 0) | np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())],
+                                         names=["piece", "bits"])
+
+    out = np.zeros(size, np.uint8)
+    shape = "piece int, bits binary"
+    for piece, bits in seeds.select("seed").mapInArrow(mark, shape).repartition("piece").mapInArrow(join, shape).collect():
+        out[piece * len(bits):(piece + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
-SHAPE = ("doc_id long, item_id long, n_item_words long, covered long, n_tiles long, longest long, first_word long, "
+def document_seeds(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """(key, seed): the distinct seeds of each document that the filter lets pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for part, data, ends in pieces(batch):
+                hashes, of, _, _ = words(data, ends, NOT_ALNUM)
+                seeds, doc, _ = shingles(hashes, of, least)
+                at = seeds >> np.uint64(64 - FILTER_BITS)
+                likely = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                found = np.unique(np.rec.fromarrays([doc[likely], seeds[likely]], names="doc,seed"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(part.start + found.doc)), pa.array(found.seed.view(np.int64))], names=["key", "seed"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, seed long")
+
+
+def tiled(item: bytes, text: bytes, least: int, coverage: float) -> tuple[int, ...] | None:
+    """(covered, tiles, longest, first word, last word) where tiles cover enough of the item, else None."""
+    own, own_seeds, _ = seeds_of(item, least)
+    tokens, seeds, first = seeds_of(text, least)
+    place = first[np.isin(seeds, own_seeds)]
+    if not len(place):
+        return None
+    near = np.unique((place[:, None] + np.arange(least)).ravel())
+    gap = np.flatnonzero(np.diff(near) > 1) + 1  # a marked place between stretches that do not touch
+    at = np.insert(near, gap, 0)
+    marked = tiles(own, np.insert(tokens[near], gap, 0), np.insert(np.zeros(len(near), bool), gap, True), least)
+    covered = sum(k for _, _, k in marked)
+    if not marked or covered < coverage * len(own):
+        return None
+    return (covered, len(marked), max(k for _, _, k in marked), int(min(at[t] for _, t, _ in marked)),
+            int(max(at[t + k - 1] for _, t, k in marked)))
+
+
+SHAPE = ("key long, doc_id long, item_id long, n_item_words long, covered long, n_tiles long, longest long, first_word long, "
          "last_word long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE,
-          block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float) -> DataFrame:
+    """SHAPE rows of the documents ``docs`` (key, doc_id, text) and the benchmark items in them."""
+    spark = docs.sparkSession
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("doc_id"), "text")
+    items = cut_lineage(keyed(items))
+    seeds = cut_lineage(item_seeds(items, least))
+    held = document_seeds(docs, seed_filter(seeds), least).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    told = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a tile of k words has k - least + 1 seeds, k / least at least
+    pairs = cut_lineage(held.join(told, ["seed", "salt"]).groupBy("key", "item").agg(
+        F.sum("times").alias("places"), F.max("n_item_words").alias("n_item_words")).filter(
+        F.col("places") * least >= F.lit(coverage) * F.col("n_item_words")).select("key", "item", "n_item_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, rest = [], []
+            for i, (item, text) in enumerate(zip(batch.column("item_text"), batch.column("text"), strict=True)):
+                found = tiled(item.as_buffer().to_pybytes(), text.as_buffer().to_pybytes(), least, coverage)
+                if found:
+                    keep.append(i)
+                    rest.append(found)
+            own = batch.take(pa.array(keep, pa.int64()))
+            columns = [pa.array([r[j] for r in rest], pa.int64()) for j in range(5)]
+            yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("key", "doc_id", "item_id", "n_item_words")], *columns],
+                                             names=[c.split()[0] for c in SHAPE.split(", ")])
+
+    if pairs.isEmpty():
+        return spark.createDataFrame([], SHAPE)
+    both = pairs.join(docs.select("key", "doc_id", "text"), "key").join(
+        items.select(F.col("key").alias("item"), F.col("doc_id").alias("item_id"), F.col("text").alias("item_text")), "item")
+    return both.select("key", "doc_id", "item_id", "n_item_words", "text", "item_text").mapInArrow(run, SHAPE)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item of which tiles cover at least ``coverage``.
 
     (doc_id, item_id, n_item_words, covered, n_tiles, longest, first_word, last_word, coverage). Words
-    are runs of letters and digits, ASCII case aside; whole texts are read. Items with fewer
-    than ``least`` words, NULL or without id never match; NULL and empty documents hold nothing. Rows
-    with one doc_id are documents of their own, repeated items items of their own. The benchmark is
-    broadcast in blocks of at most ``block_words`` words and one item, the documents read once a
-    block, so either may grow.
+    are runs of letters and digits, ASCII case aside; whole texts are read, of any length. Items with fewer
+    than ``least`` words, NULL or without id never match; an empty benchmark, or one of such items only, gives no
+    rows. NULL and empty documents hold nothing. Rows with one doc_id are documents of their own, repeated
+    items items of their own. Other columns are passed by. Documents and items are joined as tables; only a filter of
+    2 ** FILTER_BITS bits is broadcast, which the larger the benchmark the more seeds pass.
     """
-    out = None
-    for sent in blocks_of(benchmark, least, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for span, data, ends in pieces(batch):
-                    found += [(span.start + d, *rest) for d, *rest in leaks_in(sent.value, data, ends, coverage)]
-                if found:
-                    place, *rest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(place)), *[pa.array(x, pa.int64()) for x in rest]],
-                        names=[c.split()[0] for c in SHAPE.split(", ")])
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SHAPE)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("coverage", F.col("covered") / F.col("n_item_words"))
-
-
-def blocks_of(benchmark: DataFrame, least: int, block_words: int) -> list[Broadcast]:
-    """The benchmark as broadcast indexes of at most ``block_words`` words and one item each."""
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    size = F.size(F.split("text", r"\s+")).cast("long")
-    total = items.agg(F.sum(size)).first()[0] or 0
-    if total > block_words:
-        items = running_sums(items.withColumn("size", size), [], ["item_id", "text"], ["size"]).withColumn(
-            "block", F.floor(F.col("before_size") / block_words))
-        numbers = range(-(-total // block_words))
-    else:
-        items, numbers = items.withColumn("block", F.lit(0)), range(1)
-    out = []
-    for b in numbers:
-        rows = sorted(tuple(r) for r in items.filter(F.col("block") == b).select("item_id", "text").collect())
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], least)))
-    return out
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE,
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item to ``coverage``; nothing is shuffled."""
-    for sent in blocks_of(benchmark, least, block_words):
+    found = matches(keyed(docs), benchmark, least, coverage).drop("key")
+    return found.withColumn("coverage", F.col("covered") / F.col("n_item_words"))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for span, data, ends in pieces(batch):
-                    for d, *_ in leaks_in(sent.value, data, ends, coverage):
-                        clean[span.start + d] = False
-                yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item to ``coverage``, all columns kept; see ``leaks`` for
+    NULLs, empty tables and repeated rows."""
+    rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), ["row"])
+    found = matches(rows.select("key", "doc_id", "text"), benchmark, least, coverage)
+    return rows.join(cut_lineage(found.select("key").distinct()), "key", "left_anti").select("row.*")
 
 
 def op3_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ Bloom filter, so readers can split a file by stripes and skip those that cannot
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,27 +18,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, running_sums, shared_path
+from .words import LOWER, NOT_ALNUM, mix, pieces, powers
 
 END_ID = 1
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 2_000_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000",
        "orc.create.index": "true", "compression": "zstd"}
 
 
-#: A comma or full stop whose place in the tokens may depend on what stands before it.
-JOINED = re.compile(r"[^A-Za-z0-9\s\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,]")
+#: The text handling of tokenizers whose ids of a text are those of its blank-separated chunks.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+BLANK = np.zeros(256, bool)
+BLANK[[10, 32]] = True
+POINT = np.zeros(256, bool)
+POINT[[44, 46]] = True
+ALNUM = ~NOT_ALNUM & (np.arange(256) < 128)
+#: A second, unrelated value for each byte: a hit in the table must agree in the hashes of both.
+OTHER = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B)) | np.uint64(1)
+
+
+def chunks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, other hash, document, start, stop) of the texts' chunks.
+
+    Chunks end at a blank or line end, and before a comma or full stop right after an ASCII letter or
+    digit. A capital counts as its small letter unless a byte above ASCII, maybe a mark on it, follows.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[0] = True
+    first[ends] = True
+    blank = BLANK[data]
+    cut = first.copy()
+    cut[1:n] |= blank[:-1] | (POINT[data[1:]] & ALNUM[data[:-1]])
+    start = np.flatnonzero(~blank & cut[:n])
+    stops = cut[1:].copy()
+    stops[:-1] |= blank[1:]
+    stop = np.flatnonzero(~blank & stops) + 1
+    low = data.copy()
+    plain = np.ones(n, bool)
+    plain[:-1] = data[1:] < 128
+    low[plain] = LOWER[data[plain]]
+    up, down = powers(n + 1)
+    out = []
+    for values in (low.astype(np.uint64) + np.uint64(1), OTHER[low]):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=sums[1:])
+        out.append(mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
+    return out[0], out[1], np.searchsorted(ends, start, side="right"), start, stop
 
 
 class Encoder:
-    """Encodes whole texts with a tokenizer that lower-cases and drops white space.
-
-    Such a tokenizer never joins what stands on two sides of a blank, so a text's ids are those
-    of its blank-separated chunks in turn, and repeated chunks are looked up; new ones go to the
-    tokenizer many at a time. Texts of Latin-1 letters are lower-cased first, and commas and
-    full stops set apart where they stand after a letter, digit or blank: both leave the ids as
-    they are and make more chunks equal. Texts that hold one of the tokenizer's special strings
-    are encoded as a whole.
+    """Encodes whole texts, each chunk once: its ids are looked up by hash when it comes again.
+
+    That is right for tokenizers that drop white space and never join what stands on two sides of a
+    blank or of a letter and a comma (CHUNKED says which); texts that hold one of the tokenizer's special
+    strings, and all texts for any other tokenizer, are encoded as a whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -46,7 +87,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.chunked = all(form.get(k) == v for k, v in CHUNKED.items()) and not form.get("post_processor")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -54,71 +98,112 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = 0
+        self.slots = np.zeros(2 << int(np.ceil(np.log2(self.remembered))), np.uint64)
+        self.number = np.full(len(self.slots), -1, np.int32)
+        self.other = np.zeros(1 << 12, np.uint64)
         self.ids = np.zeros(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
         self.used = 0
-        self.start, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-
-    def _chunks(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            if not JOINED.search(text):
-                text = text.lower().replace(",", " ,").replace(".", " .")
-        except UnicodeEncodeError:
-            pass
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, chunks: list[str]) -> None:
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks with these hashes, -1 where there is none."""
+        mask = np.uint64(len(self.slots) - 1)
+        out = np.full(len(hashes), -1, np.int32)
+        left, at = np.arange(len(hashes)), (hashes & mask).astype(np.int64)
+        while len(left):
+            number = self.number[at]
+            hit = (number >= 0) & (self.slots[at] == hashes[left])
+            out[left[hit]] = number[hit]
+            on = (number >= 0) & ~hit
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def _place(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        left, at = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = self.number[at] < 0
+            self.number[at[free]] = numbers[left[free]]
+            self.slots[at[free]] = hashes[left[free]]
+            lost = self.number[at] != numbers[left]  # the place was taken, or another new one got it
+            left, at = left[lost], (at[lost] + 1) & mask
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, other: np.ndarray, texts: list[str]) -> None:
         """Chunks of letters only are one word each, so many are encoded as one text and cut at
         the word ends; if the ends don't add up, and for other chunks, each is encoded alone."""
-        plain = [c for c in chunks if c.isalpha()]
-        rest = [c for c in chunks if not c.isalpha()]
+        plain = [i for i, c in enumerate(texts) if c.isalpha()]
+        rest = [i for i, c in enumerate(texts) if not c.isalpha()]
         for at in range(0, len(plain), 500):
             some = plain[at:at + 500]
-            ids = self._encode(" ".join(some))
+            ids = np.array(self._encode([" ".join(texts[i] for i in some)])[0], np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self._store(some, ids, np.diff(cuts, prepend=0))
+                self._store(hashes[some], other[some], ids, np.diff(cuts, prepend=0))
             else:
                 rest += some
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        self._store(rest, np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists], np.int64))
-
-    def _store(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at, n = len(self.number), len(ids)
-        while at + len(chunks) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        lists = self._encode([texts[i] for i in rest])
+        self._store(hashes[rest], other[rest], np.array([i for x in lists for i in x], np.int64),
+                    np.array([len(x) for x in lists], np.int64))
+
+    def _store(self, hashes: np.ndarray, other: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, n, to = self.known, len(ids), self.known + len(hashes)
+        while to > len(self.start):
+            self.start, self.length, self.other = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.other))
         while self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used:self.used + n] = ids
-        self.length[at:at + len(chunks)] = lengths
-        self.start[at:at + len(chunks)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at:to] = lengths
+        self.start[at:to] = self.used + np.cumsum(lengths) - lengths
+        self.other[at:to] = other
         self.used += n
-        self.number.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the number of each text's."""
-        if len(self.number) > self.remembered:
+        self.known = to
+        if 2 * to > len(self.slots):
+            old, number = self.slots[self.number >= 0], self.number[self.number >= 0]
+            self.slots, self.number = np.zeros(4 * len(self.slots), np.uint64), np.full(4 * len(self.slots), -1, np.int32)
+            self._place(old, number)
+        self._place(hashes, np.arange(at, to, dtype=np.int32))
+
+    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 end to end) and the number of each text's."""
+        raw = data.tobytes()
+        whole = np.full(len(ends), not self.chunked)
+        for special in self.special:
+            at = raw.find(special)
+            while at >= 0:
+                whole[np.searchsorted(ends, at, side="right")] = True
+                at = raw.find(special, at + 1)
+        hashes, other, doc, start, stop = chunks(data, ends)
+        own = ~whole[doc]
+        hashes, other, doc, start, stop = hashes[own], other[own], doc[own], start[own], stop[own]
+        if self.known > self.remembered:
             self.forget()
-        whole = {i: self._encode(t) for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        words = [[] if not t or i in whole else self._chunks(t) for i, t in enumerate(texts)]
-        flat = [w for ws in words for w in ws]
-        if new := list(set(flat).difference(self.number)):
-            self._learn(new)
-        numbers = np.fromiter(map(self.number.__getitem__, flat), np.int32, len(flat))
-        per_word = self.length[numbers]
-        ends = np.cumsum(per_word, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat(self.start[numbers] - (ends - per_word), per_word)
+        number = self._find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            _, one = np.unique(hashes[new], return_index=True)
+            for k in range(0, len(one), self.remembered):
+                some = new[one[k:k + self.remembered]]
+                self._learn(hashes[some], other[some], [raw[a:b].decode() for a, b in zip(start[some].tolist(), stop[some].tolist(), strict=True)])
+            number[new] = self._find(hashes[new])
+        length = self.length[number].astype(np.int64)
+        stops = np.cumsum(length)
+        places = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.start[number] - (stops - length), length)
         ids = self.ids[places].astype(np.int32)
-        stops = np.concatenate([[0], ends])[np.cumsum([0] + [len(w) for w in words])]
-        if not whole:
-            return ids, np.diff(stops)
-        cut = [whole.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True))]
-        return np.concatenate(cut), np.array([len(c) for c in cut])
+        per_doc = np.zeros(len(ends), np.int64)
+        np.add.at(per_doc, doc, length)
+        odd = {i: None for i in np.flatnonzero(whole).tolist()}
+        odd |= {i: None for i in doc[self.other[number] != other].tolist()}  # two chunks with one hash
+        if odd:
+            begin = np.concatenate([[0], ends[:-1]])
+            odd = dict(zip(odd, self._encode([raw[begin[i]:ends[i]].decode() for i in odd]), strict=True))
+            cuts = np.concatenate([[0], np.cumsum(per_doc)])
+            parts = [np.array(odd[i], np.int32) if i in odd else ids[cuts[i]:cuts[i + 1]] for i in range(len(ends))]
+            ids, per_doc = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, per_doc
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -144,14 +229,14 @@ def tokenise(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, lengths = own.encode(part.column("text").to_pylist())
+            for part, data, ends in pieces(batch):
+                ids, lengths = own.encode(data, ends)
                 stops = np.cumsum(lengths)
                 ids = np.insert(ids, stops, end_id).astype(np.int32)
                 offsets = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "ids"])
+                    [batch.column("doc_id").slice(part.start, len(ends)), pa.ListArray.from_arrays(offsets, pa.array(ids))],
+                    names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -167,6 +252,12 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>").orc(folder)
 
 
+def tokens_of(spark: SparkSession, folder: str, ids: list[int]) -> DataFrame:
+    """The stored rows of some documents. The ids are a filter on the files: stripes and row groups are skipped by
+    their least and largest id and their Bloom filters. A NULL id finds nothing."""
+    return read_tokens(spark, folder).filter(F.col("doc_id").isin([i for i in ids if i is not None]))
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per stored document, from the files alone.
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ import brute
 import corpus_pipeline
 from sluicewatch.llm import kdtree, mixing, quality, token_files, toxicity, warc
 from sluicewatch.llm.common import read, shared_path
+from sluicewatch.llm.words import pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,6 +108,36 @@ def test_token_files_round_trip(spark):
     assert token_files.digests(spark, empty).count() == 0
 
 
+def test_encoder_takes_every_character(monkeypatch):
+    """Ids equal those of whole texts for all of Latin-1, marks, special strings, and with little remembered."""
+    rnd = random.Random(3)
+    pool = [chr(i) for i in range(256)] + [*"\u0301\u030c\u0307\u0130\u03a3\u1e9e\u2028\u200b\u6f22\ufb01JIabZ3. ,\n", "<|endoftext|>", "<|EndOfText|>", "'LL"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(4000)] + [None, "", "J\u030c j\u030c"]
+    texts += [chr(c) + x for c in range(256) for x in (".a", ",b", "A.")]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for name, most in (("word_bpe_49k.json", 5000), ("byte_bpe_50k.json", 10**6)):
+        own = token_files.Encoder(token_files.default_path().replace("word_bpe_49k.json", name), remembered=200)
+        assert own.chunked == (name == "word_bpe_49k.json")
+        for part, data, ends in pieces(batch, most=most):
+            ids, lengths = own.encode(data, ends)
+            cuts = np.concatenate([[0], np.cumsum(lengths)])
+            for i, text in enumerate(texts[part]):
+                assert ids[cuts[i]:cuts[i + 1]].tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_files_skip_stripes(spark, tmp_path):
+    """A filter on doc_id reaches the files, and only rows of groups that may hold the id are read."""
+    folder = str(tmp_path / "t")
+    rows = spark.range(0, 60_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97).alias("text"))
+    token_files.write_tokens(rows.coalesce(1), folder)
+    for wanted, n in ((30_000, 1), (30_001, 0)):
+        one = token_files.tokens_of(spark, folder, [wanted])
+        assert one.count() == n
+        plan = one._jdf.queryExecution().executedPlan()
+        assert "PushedFilters: [" in plan.toString() and "doc_id" in plan.toString().split("PushedFilters: [")[1].split("]")[0]
+    assert token_files.tokens_of(spark, folder, [0, 2, 4, 5, None]).count() == 3
+
+
 @pytest.mark.parametrize("module", ["quality", "toxicity"])
 def test_classifiers_learn_and_take_any_text(spark, module):
     rnd = random.Random(1)

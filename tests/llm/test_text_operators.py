@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 import brute
+from pyspark.sql import functions as F
+
 from sluicewatch.llm import jaccard, licences, substrings, tiling
 from sluicewatch.llm.common import components, running_sums
 from sluicewatch.llm.words import pieces
@@ -146,12 +148,28 @@ def test_tiles_match_brute_force():
         text = [rnd.randrange(6) for _ in range(rnd.randint(0, 60))]
         item = [rnd.randrange(6) for _ in range(rnd.randint(3, 25))]
         cut = sum(k for _, _, k in tiling.tiles(np.array(item, np.uint64), np.array(text, np.uint64), np.zeros(len(text), bool), 3))
-        longest = max((k for k in range(3, len(item) + 1) if any(
-            item[i:i + k] == text[j:j + k] for i in range(len(item) - k + 1) for j in range(len(text) - k + 1))), default=0)
-        assert longest <= cut <= len(item) and (cut > 0) == (brute.greedy_tiles(item, text, 3) > 0)
+        assert cut == brute.greedy_tiles(item, text, 3)
 
 
-def test_leaks_whole_reordered_and_partial(spark):
+def test_leaks_match_brute_force(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 30)))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        text = [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
+        if i % 2:
+            own = rnd.choice(items)[1].split()
+            cut = rnd.randint(0, len(own))
+            text += own[cut:] + [rnd.choice(words)] + own[:cut]
+        rows.append((i, " ".join(text)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in tiling.leaks(docs(spark, rows), bench, 4).collect()}
+    want = {(d, i): brute.greedy_tiles(item.split(), text.split(), 4) for d, text in rows for i, item in items}
+    assert got == {k: c for k, c in want.items() if c and c >= 0.6 * len(items[k[1]][1].split())} and len(got) > 20
+
+
+def test_leaks_whole_reordered_and_partial(spark, monkeypatch):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     swapped = "Zeta eta, theta iota KAPPA! and then alpha beta gamma delta epsilon."
     rows = [(1, f"intro words {item} outro"), (2, swapped), (3, "alpha beta gamma delta epsilon and more"), (4, None), (5, ""),
@@ -161,8 +179,12 @@ def test_leaks_whole_reordered_and_partial(spark):
     assert sorted((str(r.doc_id), r.item_id, r.n_tiles, r.coverage) for r in found) == [
         ("1", 10, 1, 1.0), ("1", 10, 1, 1.0), ("2", 10, 2, 1.0), ("6", 10, 1, 1.0), ("None", 10, 1, 1.0)]
     assert {(r.first_word, r.last_word) for r in found if r.doc_id == 1} == {(2, 11)}
-    blocks = tiling.leaks(docs(spark, rows), bench, block_words=5)
-    assert sorted(map(str, blocks.collect())) == sorted(map(str, found))
+    assert tiling.leaks(docs(spark, rows), bench.filter("text IS NULL")).count() == 0
+    assert tiling.without_leaks(docs(spark, rows), bench.limit(0)).count() == len(rows)
+    kept = tiling.without_leaks(docs(spark, rows).withColumn("row", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "score", "key", "row"]
+    monkeypatch.setattr(tiling, "FILTER_BITS", 6)  # a filter that lets nearly all seeds pass
+    assert sorted(map(str, tiling.leaks(docs(spark, rows), bench).collect())) == sorted(map(str, found))
     assert sorted(r.doc_id for r in tiling.without_leaks(docs(spark, rows), bench).collect()) == [3, 4, 5]
     assert tiling.leaks(docs(spark, []), bench).count() == 0 and tiling.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
