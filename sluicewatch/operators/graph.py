@@ -66,21 +66,75 @@ def start_states(states: DataFrame, edges: DataFrame, keys: Sequence[str],
     return free.unionByName(rest)
 
 
+def chains(edges: DataFrame, keys: Sequence[str], keep: DataFrame | None = None) -> DataFrame:
+    """(keys, node, head, tail, hops) of the nodes with one way in and one way out that lead from one other
+    node, ``head``, to another, ``tail``, along such nodes only; ``hops`` from the head.
+
+    Both ends are found by pointer jumping: every turn doubles the distance, so a chain of any length takes the
+    logarithm of it. Nodes in ``keep`` count as ends. A ring of such nodes alone has no ends: its
+    nodes have the largest of them as ``tail`` and a NULL ``head``.
+    """
+    on = [*keys, "node"]
+    e = cut_lineage(edges.select(*keys, "frm", "to").distinct())
+    ends = e.select(*keys, F.inline(F.array(
+        F.struct(F.col("frm").alias("node"), F.col("to").alias("out"), F.lit(None).cast(e.schema["frm"].dataType).alias("into")),
+        F.struct(F.col("to").alias("node"), F.lit(None).cast(e.schema["frm"].dataType).alias("out"), F.col("frm").alias("into")))))
+    inner = ends.groupBy(*on).agg(F.count("out").alias("outs"), F.count("into").alias("ins"), F.min("out").alias("tail"),
+                                  F.min("into").alias("head")).filter("outs = 1 AND ins = 1 AND head != node")
+    if keep is not None:
+        inner = inner.join(keep.select(*on), on, "left_anti")
+    left = cut_lineage(inner.select(*on, "head", "tail", F.lit(1).cast("long").alias("hops"), F.col("node").alias("top")))
+    inside = left.select(*on)
+    before = None
+    while True:
+        back = left.select(*keys, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("hops").alias("_hops"), F.col("top").alias("_top"))
+        ahead = left.select(*keys, F.col("node").alias("tail"), F.col("tail").alias("_tail"))
+        left = cut_lineage(left.join(back, [*keys, "head"], "left").join(ahead, [*keys, "tail"], "left").select(
+            *on, F.coalesce("_head", "head").alias("head"), F.coalesce("_tail", "tail").alias("tail"),
+            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.greatest("top", "_top").alias("top")))
+        # an end may be inside still only in a ring, whose nodes all see its largest one in the end
+        open_ = left.join(inside.withColumnRenamed("node", "head"), [*keys, "head"], "left_semi")
+        now = tuple(open_.agg(F.count(F.lit(1)), F.sum(F.xxhash64("top") % 1_000_003)).first())
+        if not now[0]:
+            return left.drop("top")
+        if now == before:
+            ring = inside.withColumnRenamed("node", "head").withColumn("ring", F.lit(True))
+            return left.join(ring, [*keys, "head"], "left").select(
+                *on, F.when(F.col("ring").isNull(), F.col("head")).alias("head"),
+                F.when(F.col("ring").isNull(), F.col("tail")).otherwise(F.col("top")).alias("tail"), "hops")
+        before = now
+
+
+def _core(edges: DataFrame, inner: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges between nodes outside chains: each chain is one edge, and rings are gone."""
+    e = edges.select(*keys, "frm", "to").distinct()
+    ways = inner.filter("head IS NOT NULL").select(*keys, F.col("head").alias("frm"), F.col("tail").alias("to"))
+    plain = e.join(inner.select(*keys, F.col("node").alias("frm")), [*keys, "frm"], "left_anti").join(
+        inner.select(*keys, F.col("node").alias("to")), [*keys, "to"], "left_anti")
+    return plain.unionByName(ways.select(*plain.columns)).distinct()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All (keys, node) reached from the seeds, seeds included."""
+    """All (keys, node) reached from the seeds, seeds included.
+
+    Chains count as one hop, so the turns are those of the graph's branching, not of its length.
+    """
     on = [*keys, "node"]
-    hops = cut_lineage(edges.select(*keys, "frm", "to").distinct())
     frontier = cut_lineage(seeds.select(*on).distinct())
+    inner = cut_lineage(chains(edges, keys, frontier))
+    hops = cut_lineage(_core(edges, inner, keys))
     seen, rounds = frontier, 0
     while True:
         found = frontier.withColumnRenamed("node", "frm").join(hops, [*keys, "frm"]).select(
             *keys, F.col("to").alias("node")).distinct()
         frontier = cut_lineage(found.join(seen, on, "left_anti"))
         if frontier.isEmpty():
-            return seen
+            break
         seen, rounds = seen.unionByName(frontier), rounds + 1
         if rounds % 8 == 0:  # keep the union short
             seen = cut_lineage(seen)
+    passed = inner.join(seen.withColumnRenamed("node", "head"), [*keys, "head"], "left_semi").select(*on)
+    return seen.unionByName(passed)
 
 
 def unreachable_states(states: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,6 +168,26 @@ def _spread(marks: DataFrame, edges: DataFrame, keys: Sequence[str], mark: str)
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Strongly connected components as (keys, node, scc), named by their largest node.
 
+    A chain's nodes belong to the component of its two ends if that is one, else they stand alone; a
+    ring of such nodes is one. So only the nodes between chains are searched.
+    """
+    on = [*keys, "node"]
+    e = cut_lineage(edges.select(*keys, "frm", "to").filter(F.col("frm") != F.col("to")).distinct())
+    inner = cut_lineage(chains(e, keys))
+    core = nodes.select(*on).distinct().join(inner.select(*on), on, "left_anti")
+    found = cut_lineage(_core_components(core, _core(e, inner, keys), keys))
+    ends = [found.select(*keys, F.col("node").alias(c), F.col("scc").alias(f"of_{c}")) for c in ("head", "tail")]
+    joined = inner.join(ends[0], [*keys, "head"], "left").join(ends[1], [*keys, "tail"], "left")
+    named = joined.select(*on, F.when(F.col("head").isNull(), F.col("tail")).when(
+        F.col("of_head") == F.col("of_tail"), F.col("of_head")).otherwise(F.col("node")).alias("scc"))
+    both = cut_lineage(found.unionByName(named.select(*found.columns)))
+    largest = both.groupBy(*keys, "scc").agg(F.max("node").alias("largest"))
+    return both.join(largest, [*keys, "scc"]).select(*on, F.col("largest").alias("scc"))
+
+
+def _core_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, node, scc) by coloring.
+
     Nodes without a way in or out stand alone. For the others each round finds the largest
     node that reaches them and the largest one they reach. Where both agree the node belongs
     to that node's component and is taken out; edges whose ends differ in either cannot lie

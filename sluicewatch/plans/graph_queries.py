@@ -5,46 +5,56 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import guards
-from ..operators import graph, product
+from ..operators import graph, product, signatures
 from ..operators.detectors import previous_state
 from ..operators.segments import halo_windows
 from ..session import cut_lineage
 from .registry import query
-from .trace import KEYS, SQL, trace
+from .trace import SQL, trace
 
 
 G = ["scenario"]
-# Mode = event type and flow band. A move counts only between rows with a low level, so some
-# states have no way in or out.
+# A graph is one scenario's half of the trace. Mode = event type and flow band. A move belongs to the
+# automaton when it was seen SEEN times or more, so some states have no way in or out.
+SEEN = 2
+GRAPH = "scenario || '/' || split AS scenario"
 STATES = f"""WITH RECURSIVE {SQL},
-md AS (SELECT scenario, rn, l_t1, s_pu1, s_pu2, f_pu1, event_type || ':' || CAST(floor(f_pu1 / 20) AS BIGINT) AS node FROM tr WHERE split = 'eval'),
-pv AS (SELECT *, lag(node) OVER w AS pnode, lag(l_t1) OVER w AS pl FROM md WINDOW w AS (PARTITION BY scenario ORDER BY rn)),
-st AS (SELECT scenario, node, min(rn) AS ord FROM md GROUP BY scenario, node),
-ed AS (SELECT scenario, pnode AS frm, node AS "to", count(*) AS n, min(rn) AS ord FROM pv
-  WHERE pnode <> node AND l_t1 < 60 AND pl < 60 GROUP BY ALL)"""
+md AS (SELECT {GRAPH}, rn, l_t1, s_pu1, s_pu2, f_pu1, event_type || ':' || CAST(floor(f_pu1 / 50) AS BIGINT) AS node FROM tr),
+pv AS (SELECT *, lag(node) OVER w AS pnode FROM md WINDOW w AS (PARTITION BY scenario ORDER BY rn)),
+st AS (SELECT scenario, node, min(rn) AS ord, count(*) AS seen FROM md GROUP BY scenario, node),
+mvs AS (SELECT scenario, pnode AS frm, node AS "to", count(*) AS n, min(rn) AS ord FROM pv WHERE pnode <> node GROUP BY ALL),
+ed AS (SELECT * FROM mvs WHERE n >= {SEEN})"""
 FREE = """fr AS (SELECT scenario, node, ord FROM st WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.scenario = st.scenario AND ed."to" = st.node))"""
 SEEDS = f"""{FREE}, sd AS (SELECT scenario, node FROM fr UNION ALL SELECT scenario, arg_min(node, ord) FROM st
   WHERE scenario NOT IN (SELECT scenario FROM fr) GROUP BY scenario)"""
 PAIRS = """rc AS (SELECT scenario, frm AS a, "to" AS b FROM ed UNION SELECT rc.scenario, a, ed."to" FROM rc JOIN ed ON ed.scenario = rc.scenario AND ed.frm = rc.b)"""
 
 
+def whole_trace(spark, d, *columns):
+    """All rows, each half of a scenario as a graph of its own; windows run over its ``rn``."""
+    return trace(spark, d, None, *columns).withColumn("scenario", F.concat_ws("/", "scenario", "split")).drop("split")
+
+
 def modes(spark, d):
-    t = trace(spark, d, "eval", "l_t1", "f_pu1", "event_type")
-    return t.withColumn("node", F.concat_ws(":", "event_type", F.floor(F.col("f_pu1") / 20).cast("string")))
+    t = whole_trace(spark, d, "l_t1", "f_pu1", "event_type")
+    return t.withColumn("node", F.concat_ws(":", "event_type", F.floor(F.col("f_pu1") / 50).cast("string")))
 
 
-def graphs(spark, d):
-    """(states, edges) of all scenarios, edges with how often and when first seen."""
+def all_moves(spark, d):
+    """(states, moves) of all graphs: how often each was seen, and when first."""
     m = cut_lineage(modes(spark, d))
-    states = m.groupBy("scenario", "node").agg(F.min("rn").alias("ord"))
-    linked = halo_windows(m, KEYS, lambda w: [{
-        "frm": F.lag("node").over(w), "pl": F.lag("l_t1").over(w)}], before=1)
-    moves = linked.filter((F.col("frm") != F.col("node")) & (F.col("l_t1") < 60) & (F.col("pl") < 60))
-    edges = moves.groupBy("scenario", "frm", F.col("node").alias("to")).agg(
+    states = m.groupBy("scenario", "node").agg(F.min("rn").alias("ord"), F.count(F.lit(1)).alias("seen"))
+    linked = previous_state(m, G, "node", "frm").filter(F.col("frm") != F.col("node"))
+    edges = linked.groupBy("scenario", "frm", F.col("node").alias("to")).agg(
         F.count(F.lit(1)).alias("n"), F.min("rn").alias("ord"))
     return cut_lineage(states), cut_lineage(edges)
 
 
+def graphs(spark, d):
+    states, moves = all_moves(spark, d)
+    return states.drop("seen"), moves.filter(F.col("n") >= SEEN)
+
+
 @query("initial_state", f"""{STATES}, {FREE} SELECT s.scenario, coalesce(any_value(f.node), arg_min(s.node, s.ord)) AS node
 FROM st s LEFT JOIN (SELECT scenario, arg_min(node, ord) AS node FROM fr GROUP BY scenario) f USING (scenario) GROUP BY s.scenario""")
 def initial_state(spark, d):
@@ -57,13 +67,13 @@ def dead_states(spark, d):
     return graph.dead_states(*graphs(spark, d), G).select("scenario", "node")
 
 
-@query("dangling_refs", f"""{STATES}, k AS (SELECT scenario, node FROM st WHERE ord > 5),
-x AS (SELECT scenario, 'from_state' AS side, frm AS node FROM ed UNION SELECT scenario, 'to_state', "to" FROM ed)
+@query("dangling_refs", f"""{STATES}, k AS (SELECT scenario, node FROM st WHERE seen >= {SEEN}),
+x AS (SELECT scenario, 'from_state' AS side, frm AS node FROM mvs UNION SELECT scenario, 'to_state', "to" FROM mvs)
 SELECT scenario, side, node FROM x WHERE (scenario, node) NOT IN (SELECT (scenario, node) FROM k)""")
 def dangling_refs(spark, d):
-    states, edges = graphs(spark, d)
-    late = states.filter(F.col("ord") > 5)  # states declared; the others are referenced only
-    return graph.dangling(late, edges, G).select("scenario", "side", "node")
+    states, moves = all_moves(spark, d)
+    # states seen once are not declared, only referenced
+    return graph.dangling(states.filter(F.col("seen") >= SEEN), moves, G).select("scenario", "side", "node")
 
 
 @query("fsm_stats", f"""{STATES}, dg AS (SELECT scenario, frm, count(*) AS deg FROM ed GROUP BY scenario, frm),
@@ -111,43 +121,49 @@ def backward_slice(spark, d):
                                      F.sum(F.col("node").startswith("signup:").cast("int")).alias("n_signup"))
 
 
-# Composite-state graph (four states) for path enumeration; the guard is the level range seen.
+# Composite-state graph (four states); the guard is the level range seen.
 PATHS = f"""{STATES},
-cs AS (SELECT scenario, rn, l_t1, state AS node, lag(state) OVER (PARTITION BY scenario ORDER BY rn) AS p FROM tr WHERE split = 'eval'),
+cs AS (SELECT {GRAPH}, rn, l_t1, state AS node, lag(state) OVER (PARTITION BY scenario, split ORDER BY rn) AS p FROM tr),
 c0 AS (SELECT scenario, arg_min(node, rn) AS node FROM cs GROUP BY scenario),
-ce AS (SELECT scenario, p AS frm, node AS "to", min(rn) AS ord, max(l_t1) AS hi FROM cs WHERE p <> node GROUP BY ALL),
-sp AS (SELECT scenario, node, [node] AS path, []::DOUBLE[] AS his FROM c0
+ce0 AS (SELECT scenario, p AS frm, node AS "to", min(rn) AS ord, max(l_t1) AS hi FROM cs WHERE p <> node GROUP BY ALL),
+ce AS (SELECT scenario, frm, "to", unnest(CASE WHEN ord % 2 = 0 THEN ['l_t1 <= ' || CAST(hi AS VARCHAR)]
+  ELSE ['l_t1 <= ' || CAST(hi AS VARCHAR), 'rn >= ' || ord] END) AS hi FROM ce0),
+sp AS (SELECT scenario, node, [node] AS path, []::VARCHAR[] AS his FROM c0
   UNION ALL SELECT sp.scenario, ce."to", list_append(path, ce."to"), list_append(his, ce.hi) FROM sp
   JOIN ce ON ce.scenario = sp.scenario AND ce.frm = sp.node WHERE NOT list_contains(path, ce."to"))"""
 
 
-@query("path_signatures", f"""{PATHS}, sg AS (SELECT scenario, node,
-  CASE WHEN len(his) = 0 THEN '[initial]' ELSE list_aggregate(list_sort(list_distinct(list_transform(his, lambda x: 'l_t1 <= ' || CAST(x AS VARCHAR)))), 'string_agg', ' AND ') END AS s FROM sp)
-SELECT scenario, node, count(*) AS paths, CASE WHEN count(DISTINCT s) = 1 THEN min(s)
-  ELSE string_agg(DISTINCT '(' || s || ')', ' OR ' ORDER BY '(' || s || ')') END AS signature FROM sg GROUP BY scenario, node""")
-def path_signatures(spark, d):
-    t = trace(spark, d, "eval", "l_t1", "s_pu1", "s_pu2")
-    t = t.withColumn("node", F.concat(F.lit("P.A:"), F.col("s_pu1").cast("string"), F.lit("|P.B:"),
-                                      F.col("s_pu2").cast("string")))
-    t = cut_lineage(t)
+# The guard of every second move has two terms: the level is low enough, or the row late enough.
+SIGNED = f"""{PATHS}, sg AS (SELECT DISTINCT scenario, node, path, list_sort(list_distinct(his)) AS t FROM sp)"""
+
+
+def signed_moves(spark, d):
+    t = whole_trace(spark, d, "l_t1", "s_pu1", "s_pu2")
+    t = cut_lineage(t.withColumn("node", F.concat(F.lit("P.A:"), F.col("s_pu1").cast("string"), F.lit("|P.B:"),
+                                                  F.col("s_pu2").cast("string"))))
     starts = t.filter("rn = 0").select("scenario", "node")
-    moves = previous_state(t, KEYS, "node", "frm").filter(F.col("frm") != F.col("node"))
+    moves = previous_state(t, G, "node", "frm").filter(F.col("frm") != F.col("node"))
     edges = moves.groupBy("scenario", "frm", F.col("node").alias("to")).agg(
-        F.min("rn").alias("ord"), F.concat(F.lit("l_t1 <= "), F.max("l_t1").cast("string")).alias("cond"))
-    edges = cut_lineage(edges)
-    paths = graph.simple_paths(edges, starts, G)
-    # Conditions of a path: its edges' guards, sorted without repeats.
-    conds = (paths.withColumn("pid", F.array_join("path", ">")).select(
-        "scenario", "node", "pid", F.explode_outer("steps").alias("ord"))
-        .join(edges.select("scenario", "ord", "cond"), ["scenario", "ord"], "left"))
-    sigs = conds.groupBy("scenario", "node", "pid").agg(  # a path has at most one edge per state
-        F.array_join(F.array_sort(F.collect_set("cond")), " AND ").alias("s"))
-    sigs = sigs.withColumn("s", F.when(F.col("s") == "", "[initial]").otherwise(F.col("s")))
-    # Four states allow at most 16 paths, so a state gathers a handful of signatures.
-    per = sigs.groupBy("scenario", "node").agg(F.count(F.lit(1)).alias("paths"),
-                                               F.array_sort(F.collect_set("s")).alias("ss"))
-    return per.select("scenario", "node", "paths", F.when(F.size("ss") == 1, F.col("ss")[0]).otherwise(
-        F.array_join(F.transform("ss", lambda s: F.concat(F.lit("("), s, F.lit(")"))), " OR ")).alias("signature"))
+        F.min("rn").alias("ord"), F.max("l_t1").cast("string").alias("hi"), F.min("rn").cast("string").alias("first"))
+    low, late = F.concat(F.lit("l_t1 <= "), "hi"), F.concat(F.lit("rn >= "), "first")
+    guard = F.when(F.col("ord") % 2 == 0, low).otherwise(F.concat(low, F.lit(" OR "), late))
+    return cut_lineage(edges.select("scenario", "frm", "to", "ord", guards.guard_to_dnf(guard).alias("dnf"))), starts
+
+
+@query("path_signatures", f"""{SIGNED}, s2 AS (SELECT scenario, node, path, CASE WHEN len(t) = 0 THEN '[initial]' ELSE array_to_string(t, ' AND ') END AS s FROM sg)
+SELECT scenario, node, count(DISTINCT path) AS paths, CASE WHEN count(DISTINCT s) = 1 THEN min(s)
+  ELSE string_agg(DISTINCT '(' || s || ')', ' OR ' ORDER BY '(' || s || ')') END AS signature FROM s2 GROUP BY scenario, node""")
+def path_signatures(spark, d):
+    s = signatures.path_signatures(*signed_moves(spark, d), G)
+    return s.select("scenario", "node", "paths", signatures.conditions_text(F.col("terms")).alias("signature"))
+
+
+@query("state_signatures", f"""{SIGNED}, dt AS (SELECT DISTINCT scenario, node, t FROM sg),
+lt AS (SELECT * FROM dt a WHERE NOT EXISTS (SELECT 1 FROM dt b WHERE a.scenario = b.scenario AND a.node = b.node AND len(b.t) < len(a.t) AND list_has_all(a.t, b.t)))
+SELECT scenario, node, CASE WHEN len(t) = 0 THEN '[initial]' ELSE array_to_string(t, ' AND ') END AS term FROM lt""")
+def state_signatures(spark, d):
+    s = signatures.state_signatures(*signed_moves(spark, d), G)
+    return s.select("scenario", "node", signatures.conditions_text(F.array("term")).alias("term"))
 
 
 @query("transition_sort", f"""{STATES} SELECT scenario, frm, "to", n,
@@ -160,13 +176,13 @@ def transition_sort(spark, d):
     return with_positions(e, G, ["frm", "to", "n"], F.ascii("frm"), "pos")
 
 
-@query("transition_dedupe", f"""{STATES} SELECT scenario, frm, "to", 'l_t1 < 60' AS guard, ord AS first_rn FROM ed""")
+@query("transition_dedupe", f"""{STATES} SELECT scenario, pnode AS frm, node AS "to", 'l_t1 < ' || (CAST(floor(l_t1 / 30) AS BIGINT) + 1) * 30 AS guard,
+  min(rn) AS first_rn FROM pv WHERE pnode <> node GROUP BY ALL""")
 def transition_dedupe(spark, d):
-    m = halo_windows(modes(spark, d), KEYS, lambda w: [{
-        "frm": F.lag("node").over(w), "pl": F.lag("l_t1").over(w)}], before=1)
-    m = m.filter((F.col("frm") != F.col("node")) & (F.col("l_t1") < 60) & (F.col("pl") < 60))
-    key = ["scenario", "frm", F.col("node").alias("to"), F.lit("l_t1 < 60").alias("guard")]
-    return m.groupBy(*key).agg(F.min("rn").alias("first_rn"))
+    """Moves told apart by their guard, the level band on arrival."""
+    m = previous_state(modes(spark, d), G, "node", "frm").filter(F.col("frm") != F.col("node"))
+    guard = F.concat(F.lit("l_t1 < "), ((F.floor(F.col("l_t1") / 30) + 1) * 30).cast("string"))
+    return m.groupBy("scenario", "frm", F.col("node").alias("to"), guard.alias("guard")).agg(F.min("rn").alias("first_rn"))
 
 
 # Local automata: components A (s_pu1), B (s_pu2), C (flow band); guard = level range on arrival.
@@ -189,11 +205,11 @@ gs AS (SELECT scenario, a, b, c FROM i0 UNION SELECT gs.scenario, ta, tb, tc FRO
 
 
 def local_automata(spark, d):
-    t = trace(spark, d, "eval", "l_t1", "s_pu1", "s_pu2", "f_pu1")
+    t = whole_trace(spark, d, "l_t1", "s_pu1", "s_pu2", "f_pu1")
     parts = F.array(*[F.struct(F.lit(i).alias("comp"), c.cast("string").alias("node")) for i, c in enumerate((
         F.col("s_pu1"), F.col("s_pu2"), F.floor(F.col("f_pu1") / 25)))])
     t = cut_lineage(t.withColumn("parts", parts))
-    linked = halo_windows(t, KEYS, lambda w: [{"prev": F.lag("parts").over(w)}], before=1)
+    linked = halo_windows(t, G, lambda w: [{"prev": F.lag("parts").over(w)}], before=1)
     states = t.select("scenario", F.inline("parts")).distinct()
     both = linked.select("scenario", "l_t1", F.inline(F.arrays_zip("parts", "prev")))
     seen = both.select("scenario", "l_t1", F.col("parts.comp").alias("comp"), F.col("prev.node").alias("frm"),

@@ -100,7 +100,7 @@ def program_parts(spark, d):
     acts = table(spark, d, "customer").select(
         F.concat(F.lit("PLC"), F.col("c_nationkey").cast("string")).alias("plc"),
         F.col("c_custkey").alias("act_ord"), F.concat(F.lit("PU"), F.col("c_custkey").cast("string")).alias("actuator"))
-    owners = table(spark, d, "supplier").filter(F.col("s_acctbal") > 0).select(
+    owners = table(spark, d, "supplier").select(
         tank("s_suppkey").alias("sensor"), F.concat(F.lit("PLC"), F.col("s_nationkey").cast("string")).alias("owner"))
     return plcs, acts, owners, parsed_controls(spark, d).drop("c")
 
@@ -119,7 +119,7 @@ def ordered_distinct(spark, d):
 
 @query("st_emit", f"""{USE},
 ac AS (SELECT DISTINCT plc, act_ord, link FROM us),
-ow AS (SELECT {NAME.format(s='s_suppkey')} AS sensor, 'PLC' || s_nationkey AS owner FROM supplier WHERE s_acctbal > 0),
+ow AS (SELECT {NAME.format(s='s_suppkey')} AS sensor, 'PLC' || s_nationkey AS owner FROM supplier),
 al AS (SELECT 'PLC' || n_nationkey AS plc FROM nation), bz AS (SELECT DISTINCT plc FROM ac),
 x(plc, sec, a, st, o, ln, text) AS (
   SELECT plc, 0, 0, 0, 0, 0, '(* Auto-generated by st_gen from net.inp + plcs.yaml' FROM al
@@ -154,14 +154,14 @@ def st_emit(spark, d):
 
 
 @query("inp_section_carry", f"""WITH {SQL},
-li AS (SELECT scenario, rn + 1 AS line_no, CASE WHEN event_type = 'signup' AND f_pu1 < 50 THEN ' [Tanks]  ' WHEN event_type = 'signup' THEN '[PUMPS]'
-  WHEN f_pu1 % 7 = 0 THEN '; note' ELSE ' N' || CAST(f_pu1 AS BIGINT) || ' 1 2 ;rest' END AS text FROM tr WHERE split = 'eval'),
+li AS (SELECT scenario || '/' || split AS scenario, rn + 1 AS line_no, CASE WHEN event_type = 'signup' AND f_pu1 < 50 THEN ' [Tanks]  ' WHEN event_type = 'signup' THEN '[PUMPS]'
+  WHEN f_pu1 % 7 = 0 THEN '; note' ELSE ' N' || CAST(f_pu1 AS BIGINT) || ' 1 2 ;rest' END AS text FROM tr),
 h AS (SELECT *, CASE WHEN text = ' [Tanks]  ' THEN 'TANKS' WHEN text = '[PUMPS]' THEN 'PUMPS' END AS hd FROM li),
 s AS (SELECT *, last_value(hd IGNORE NULLS) OVER (PARTITION BY scenario ORDER BY line_no) AS section FROM h)
 SELECT scenario, line_no, section, rtrim(trim(replace(text, ';rest', ''))) AS data FROM s
 WHERE hd IS NULL AND section IS NOT NULL AND text <> '; note'""")
 def inp_section_carry(spark, d):
-    t = trace(spark, d, "eval", "event_type", "f_pu1")
+    t = trace(spark, d, None, "event_type", "f_pu1").withColumn("scenario", F.concat_ws("/", "scenario", "split"))
     head = F.col("event_type") == "signup"
     text = (F.when(head & (F.col("f_pu1") < 50), " [Tanks]  ").when(head, "[PUMPS]")
             .when(F.col("f_pu1") % 7 == 0, "; note")

@@ -145,18 +145,18 @@ def phi_detector(spark, d):
     return detectors.phi_flags(e, phi, FEATURES, 1, out="flag").select("event_id", "flag")
 
 
-def eval_signals(spark, d):
-    """Run-time signals of the evaluation rows for fixed parameters."""
+def run_signals(spark, d):
+    """Run-time signals of all rows for fixed parameters."""
     params = {"mb": {"l_t1": {"alpha": 0.1, "offset": -2.0, "feeders": ["f_pu1"]}},
               "mb_window": {"l_t1": {"w3": {}}}}
-    t = trace(spark, d, "eval", "l_t1", "f_pu1", "p_j1", "s_pu1", "s_pu2")
+    t = trace(spark, d, None, "l_t1", "f_pu1", "p_j1", "s_pu1", "s_pu2")
     return signals.build_signals(t, KEYS, PROFILE, params)
 
 
-SIG = f"""{W}, e0 AS (SELECT *, coalesce(l_t1 - lag(l_t1) OVER w, 0) AS dl_t1 FROM tr WHERE split = 'eval'
-  WINDOW w AS (PARTITION BY scenario ORDER BY rn)),
+SIG = f"""{W}, e0 AS (SELECT *, coalesce(l_t1 - lag(l_t1) OVER w, 0) AS dl_t1 FROM tr
+  WINDOW w AS (PARTITION BY scenario, split ORDER BY rn)),
 e1 AS (SELECT *, dl_t1 - 0.1 * f_pu1 + 2.0 AS mb FROM e0),
-e2 AS (SELECT *, sum(mb) OVER (PARTITION BY scenario ORDER BY rn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mbr FROM e1)"""
+e2 AS (SELECT *, sum(mb) OVER (PARTITION BY scenario, split ORDER BY rn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mbr FROM e1)"""
 SPECS = {
     "MB_l_t1": "abs(MB_RESID_l_t1) <= 150.500000",
     "MBW_l_t1_w3": "abs(MB_ROLL_l_t1_w3) <= 180.250000",
@@ -184,7 +184,7 @@ def robustness_query(name: str, *specs: str) -> None:
 
     @query(name, f"{SIG} SELECT event_id, {cols} FROM e2")
     def run(spark, d):
-        e = eval_signals(spark, d)
+        e = run_signals(spark, d)
         return e.select("event_id", *[r6(formulas.robustness(SPECS[s], e.columns), s) for s in specs])
 
 
@@ -198,7 +198,7 @@ robustness_query("stl_pump_mode", "PUMP_ON_1", "PUMP_OFF_1")
 @query("fire_count", f"{SIG} SELECT event_id, " + " + ".join(
     f"CAST({r} < 0 AS INT)" for r in ROB.values()) + " AS fires FROM e2")
 def fire_count(spark, d):
-    e = eval_signals(spark, d)
+    e = run_signals(spark, d)
     return e.select("event_id", formulas.fire_count(SPECS, e.columns).alias("fires"))
 
 
@@ -206,7 +206,7 @@ def fire_count(spark, d):
        "SELECT event_id, round(rob, 6) AS rob, CASE " + " ".join(
            f"WHEN {ROB[n]} = rob THEN '{n}'" for n in sorted(ROB)) + " END AS name FROM r")
 def min_robustness(spark, d):
-    e = eval_signals(spark, d)
+    e = run_signals(spark, d)
     m = e.select("event_id", formulas.min_robustness(SPECS, e.columns).alias("m"))
     return m.select("event_id", r6("m.rob", "rob"), F.col("m.name").alias("name"))
 
