@@ -137,10 +137,9 @@ def guard_to_dnf(text: pd.Series) -> pd.Series:
 
 
 def conjoin(a: Column, b: Column) -> Column:
-    """AND of two DNFs, left-major; an empty side counts as TRUE."""
-    true = F.lit(None).cast(DNF_TYPE)
-    true = F.coalesce(true, F.array(F.array().cast(f"array<{COND_TYPE}>")))
-    a, b = (F.when(F.size(x) == 0, true).otherwise(x) for x in (a, b))
+    """AND of two DNFs, left-major; a NULL side is TRUE, one without terms is FALSE and so is the whole."""
+    true = F.array(F.array().cast(f"array<{COND_TYPE}>"))
+    a, b = (F.coalesce(x, true) for x in (a, b))
     return F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: F.concat(s, t))))
 
 

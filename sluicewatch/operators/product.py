@@ -14,6 +14,10 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.guards import DNF_TYPE, conjoin, guard_text, unsat
 from ..session import cut_lineage
+from .graph import reachable
+
+#: Ways over which the rows of one graph are spread.
+SALTS = 32
 
 
 def choices(states: DataFrame, moves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,26 +68,55 @@ def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
             max_states: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Reachable global states (keys, locals) and transitions (keys, locals, nxt, guard, tids).
 
-    A transition is known by (from, to, guard); of several joint moves with the same key the
-    one first in choice order is kept. Raises when a graph exceeds ``max_states``, if given.
+    States first: every choice can be made alone while the others stay, so the reachable states are all
+    combinations of the local states that each component reaches by itself, and no joint step is searched.
+    Then the moves, component by component, on numbers of choices: two whose guards contradict each other never
+    meet. What a joint guard says depends only on the choices that move, so it is made once for each set of
+    them, checked as a whole, and joined. A transition is known by (from, to, guard); of several joint moves
+    with the same key the one first in choice order is kept. Raises when a graph exceeds ``max_states``, if given.
     """
-    options = cut_lineage(options)
-    seen = cut_lineage(initial.select(*keys, "locals"))
-    frontier, moves, total = seen, None, 0
-    while True:
-        found = step(frontier, options, keys, n).groupBy(*keys, "locals", "nxt", "guard").agg(
-            F.min_by("tids", "ords").alias("tids"))
-        found = cut_lineage(found)
-        moves = found if moves is None else moves.unionByName(found)
-        fresh = found.select(*keys, F.col("nxt").alias("locals")).distinct().join(
-            seen, [*keys, "locals"], "left_anti")
-        frontier = cut_lineage(fresh)
-        new = frontier.count()
-        if new == 0:
-            return seen, moves
-        seen, total = seen.unionByName(frontier), total + new
-        if max_states is not None and total >= max_states:  # all graphs together; now look at each
-            sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-            if not sizes.filter(F.col("n") > max_states).isEmpty():
-                raise ValueError(
-                    f"global FSM exceeds --max-states={max_states} (state explosion)")
+    graph = [*keys, "_g"]  # also without keys there is something to join on
+    options = cut_lineage(options.withColumns({"_g": F.lit(0), "oid": F.monotonically_increasing_id()}))
+    starts = initial.select(*keys, F.lit(0).alias("_g"), F.posexplode("locals").alias("comp", "node")).distinct()
+    steps = options.filter(F.col("frm") != F.col("to")).select(*graph, "comp", "frm", "to")
+    local = cut_lineage(reachable(steps, starts, [*graph, "comp"]))
+    if max_states is not None:
+        sizes = local.groupBy(*graph, "comp").agg(F.count(F.lit(1)).alias("c")).groupBy(*graph).agg(F.product("c").alias("c"))
+        if not sizes.filter(F.col("c") > max_states).isEmpty():
+            raise ValueError(f"global FSM exceeds --max-states={max_states} (state explosion)")
+
+    held = options.join(local.withColumnRenamed("node", "frm"), [*graph, "comp", "frm"], "left_semi")
+    real = held.filter(F.col("tid").isNotNull()).select(*graph, "comp", "oid", "dnf")
+    later = real.select(*graph, F.col("comp").alias("_comp"), F.col("oid").alias("_oid"), F.col("dnf").alias("_dnf"))
+    against = real.join(later, graph).filter((F.col("comp") < F.col("_comp")) & unsat(conjoin(F.col("dnf"), F.col("_dnf"))))
+    against = against.groupBy(*graph, F.col("_oid").alias("oid")).agg(F.collect_list("oid").alias("against"))  # other choices of a graph
+    held = cut_lineage(held.join(against, [*graph, "oid"], "left").select(
+        *graph, "comp", "frm", "to", F.when(F.col("tid").isNotNull(), F.col("oid")).alias("oid"), "against"))
+
+    def grown(rows: DataFrame, side: DataFrame) -> DataFrame:
+        """``rows`` joined with all of their graph's ``side``; a graph's rows are dealt over all tasks."""
+        told = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64("locals"), F.lit(SALTS)).cast("int")).join(told, [*graph, "_salt"]).drop("_salt")
+
+    states = local.filter("comp = 0").select(*graph, F.array("node").alias("locals"))
+    moves = held.filter("comp = 0").select(*graph, F.array("frm").alias("locals"), F.array("to").alias("nxt"), F.array("oid").alias("oids"))
+    for i in range(1, n):
+        states = grown(states, local.filter(F.col("comp") == i).select(*graph, "node")).select(
+            *graph, F.concat("locals", F.array("node")).alias("locals"))
+        side = held.filter(F.col("comp") == i).select(*graph, "frm", "to", "oid", "against")
+        moves = grown(moves, side).filter(F.col("against").isNull() | ~F.coalesce(F.arrays_overlap("oids", "against"), F.lit(False))).select(
+            *graph, F.concat("locals", F.array("frm")).alias("locals"), F.concat("nxt", F.array("to")).alias("nxt"),
+            F.concat("oids", F.array("oid")).alias("oids"))
+    moves = cut_lineage(moves.filter(F.exists("oids", lambda o: o.isNotNull())))
+    of_choice = options.select(*graph, F.col("oid").alias("at"), "dnf", "tid", "ord")
+    sets = cut_lineage(moves.groupBy(*graph, "oids").agg(F.count(F.lit(1)).alias("c")).drop("c"))
+    each = sets.select(*graph, "oids", F.posexplode("oids").alias("pos", "at")).join(of_choice, [*graph, "at"], "left")
+    asked = each.groupBy(*graph, "oids").agg(F.array_sort(F.collect_list(F.struct("pos", "dnf", "tid", "ord"))).alias("x"))  # n parts
+    true = F.array(F.array()).cast(DNF_TYPE)
+    last = F.struct(F.lit(1).alias("stays"), F.lit(None).alias("at")).cast(options.schema["ord"].dataType)  # after all moves
+    joint = F.aggregate("x", true, lambda acc, p: F.when(p["dnf"].isNull(), acc).otherwise(conjoin(acc, p["dnf"])))
+    asked = asked.withColumn("dnf", joint).filter(~unsat(F.col("dnf"))).select(
+        *graph, "oids", guard_text(F.col("dnf")).alias("guard"), F.transform("x", lambda p: p["tid"]).alias("tids"),
+        F.transform("x", lambda p: F.coalesce(p["ord"], last)).alias("ords"))
+    found = moves.join(cut_lineage(asked), [*graph, "oids"]).groupBy(*graph, "locals", "nxt", "guard").agg(F.min_by("tids", "ords").alias("tids"))
+    return cut_lineage(states.drop("_g")), cut_lineage(found.drop("_g"))

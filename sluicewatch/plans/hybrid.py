@@ -38,13 +38,13 @@ class Fitted:
 
 
 def mine(clean: DataFrame, features: Sequence[str], fp_budget: float = FP_BUDGET,
-         min_observations: int = mining.MIN_OBSERVATIONS) -> tuple[DataFrame, int, str | None]:
+         min_observations: int = mining.MIN_OBSERVATIONS, most_antecedents: int = 1) -> tuple[DataFrame, int, str | None]:
     """Rule sets per state of clean rows (with a ``state`` column) and the threshold K."""
     support = mining.state_support(clean, min_observations)
     if not features:  # nothing to state rules about
         return cut_lineage(support.withColumn("rules", F.array().cast(RULES_TYPE))), 1, None
     phi = cut_lineage(mining.rule_sets(
-        mining.mine_pairs(clean, features, min_observations=min_observations), support))
+        mining.mine_rules(clean, features, most_antecedents, min_observations=min_observations), support))
     chosen = detectors.violation_threshold(
         detectors.rule_counts(clean, phi, features), fp_budget).first()
     return phi, chosen["k"], chosen["note"]

@@ -129,6 +129,35 @@ def rule_mining_pairs(spark, d):
                     r6("confidence", "confidence"), r6("lift", "lift"), "lo1", "hi1", "lo2", "hi2")
 
 
+# Rules of up to three antecedents and two consequents over all rows: every set of bins of a row, and its splits.
+SETS = f"""{W}, c AS (SELECT row_number() OVER () AS rid, state, l_t1, f_pu1, p_j1, hour(ts)::DOUBLE AS hr FROM tr),
+lo AS (UNPIVOT c ON l_t1, f_pu1, p_j1, hr INTO NAME f VALUE v),
+q AS (SELECT state, f, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS z FROM lo GROUP BY state, f),
+bn AS (SELECT rid, state, f || '_' || (CAST(v > a AS INT) + CAST(v > b AS INT) + CAST(v > z AS INT)) AS item FROM lo JOIN q USING (state, f)),
+it AS (SELECT rid, state, list(item ORDER BY item) AS items FROM bn GROUP BY rid, state),
+sb AS (SELECT state, list_transform(list_filter(range(1, len(items) + 1), lambda i: (m >> (i - 1)) & 1 = 1), lambda i: items[i]) AS s
+  FROM it, range(1, 16) r(m) WHERE m < (1 << len(items))),
+fs AS (SELECT state, s, count(*) AS n FROM sb GROUP BY state, s),
+nn AS (SELECT state, count(*) AS n FROM c GROUP BY state HAVING count(*) >= 50),
+ru AS (SELECT w.state, a.s AS ante, k.s AS cons, w.n AS n_both, w.n / nn.n AS support, w.n / a.n AS confidence, (w.n / a.n) * nn.n / k.n AS lift
+  FROM fs w JOIN nn USING (state) JOIN fs a ON a.state = w.state AND len(a.s) < len(w.s) AND list_has_all(w.s, a.s)
+  JOIN fs k ON k.state = w.state AND len(k.s) = len(w.s) - len(a.s) AND list_has_all(w.s, k.s) AND NOT list_has_any(k.s, a.s)
+  WHERE len(a.s) <= 3 AND len(k.s) <= 2 AND w.n / nn.n >= 0.01 AND w.n / a.n >= 0.7)"""
+
+
+@query("rule_mining_sets", f"""{SETS} SELECT state, array_to_string(ante, ' ') AS antecedent, array_to_string(cons, ' ') AS consequent, len(ante)::INT AS n_antecedents,
+n_both, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM ru""")
+def rule_mining_sets(spark, d):
+    c = rows(spark, d).withColumns({"state": state(), "hr": F.hour("ts").cast("double")})
+    m = mining.mine_rules(c, [*FEATURES, "hr"], 3, 2, min_support=0.01)
+
+    def text(side):
+        return F.array_join(F.transform(side, lambda x: F.concat_ws("_", x["f"], x["b"].cast("string"))), " ").alias(side)
+
+    return m.select("state", text("antecedent"), text("consequent"), F.size("antecedent").alias("n_antecedents"), "n_both",
+                    r6("support", "support"), r6("confidence", "confidence"), r6("lift", "lift"))
+
+
 VIOLATIONS = """vi AS (SELECT e.event_id, e.split, n.state IS NULL AS gone,
   (SELECT count(*) FROM ru WHERE ru.state = e.state
     AND (CASE f1 WHEN 'l_t1' THEN e.l_t1 WHEN 'f_pu1' THEN e.f_pu1 ELSE e.p_j1 END) BETWEEN lo1 AND hi1
@@ -140,7 +169,7 @@ PHI = f"{MINED}, {VIOLATIONS.format(src='tr')}"
 @query("phi_detector", f"{PHI} SELECT event_id, CAST(gone OR c >= 1 AS INT) AS flag FROM vi WHERE split = 'eval'")
 def phi_detector(spark, d):
     c = rows(spark, d, "cal").withColumn("state", state())
-    phi = mining.rule_sets(mining.mine_pairs(c, FEATURES), mining.state_support(c))
+    phi = mining.rule_sets(mining.mine_rules(c, FEATURES, 1), mining.state_support(c))
     e = rows(spark, d, "eval").select("event_id", *FEATURES, state().alias("state"))
     return detectors.phi_flags(e, phi, FEATURES, 1, out="flag").select("event_id", "flag")
 
