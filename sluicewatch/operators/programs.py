@@ -1,17 +1,21 @@
 """Control programs read relationally: statements, tree, automata, dependencies, templates.
 
-A source file is one row of text. It is cut into statements with one regular expression;
-nesting is a running sum of openers and closers, and the statement that encloses another at
-some level is the last opener seen at that level. Windows here run per source file, which
-is no larger than the row it came from.
+A source file is one row of text, and stays one until its statements know what they are in: the text
+is cut into an array of statements with one regular expression, a stack is folded over that array,
+and only then is it a row a statement. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.naming import classify_variable
 from ..session import cut_lineage
@@ -29,72 +33,110 @@ DECLARATIONS = (
 VAR_BLOCK = r"(?is)\bVAR(?:_\w+)?\b.*?\bEND_VAR\b"
 SCOPES = {"VAR_INPUT": "input", "VAR_OUTPUT": "output", "VAR_IN_OUT": "in_out", "VAR_GLOBAL": "global",
           "VAR_EXTERNAL": "external", "VAR_TEMP": "temp"}
-COMMENTS = r"(?s)\(\*.*?\*\)|\{.*?\}"
+# A comment, or a string, in which `$` takes the next character as it is.
+APART = r"(?s)\(\*.*?\*\)|\{.*?\}|'(?:[^'$]|\$.)*'|\"(?:[^\"$]|\$.)*\""
+# While statements are cut, the characters of a string stand for themselves in a private range.
+PLAIN = "".join(map(chr, range(1, 128)))
+HIDDEN = "".join(chr(0xE000 + i) for i in range(1, 128))
 # Words inside expressions that are not variables.
 WORDS = ("AND", "OR", "XOR", "NOT", "MOD", "TRUE", "FALSE")
 OPENERS = ("program", "var", "case", "label", "if", "elsif", "else", "loop")
 
 
-def statements(sources: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """(file, node, kind, stmt, depth): statements in order, with their nesting depth."""
-    cut = lambda part, forms: F.regexp_extract_all(
-        F.coalesce(part, F.lit("")), F.lit("(?is)" + "|".join(forms)), F.lit(0))
-    clean = F.regexp_replace(text, COMMENTS, " ")
-    parts = F.zip_with(F.split(clean, VAR_BLOCK), F.regexp_extract_all(clean, F.lit(VAR_BLOCK), F.lit(0)),
-                       lambda code, block: F.concat(cut(code, CODE), cut(block, DECLARATIONS)))
-    raw = sources.select(key, F.posexplode(F.flatten(parts)).alias("node", "raw"))
-    s = F.trim(F.regexp_replace(F.regexp_replace("raw", r"\s+", " "), r"\s*;$", ""))
-    up = F.upper("stmt")
-    kind = (F.when(up.rlike(r"^END_(PROGRAM|FUNCTION)"), "end1")
-            .when(up.rlike(r"^END_CASE"), "end2").when(up.rlike(r"^(END_|UNTIL\b)"), "end1")
+# Ship the fold with the task, so workers need no install of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+_ENTRY = T.StructType([T.StructField("node", T.LongType()), *[T.StructField(f, T.StringType()) for f in ("kind", "stmt", "cond")]])
+_UP = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.string()), ("stmt", pa.string()), ("cond", pa.string())]))
+_BRANCHES = ("if", "elsif", "else")
+
+
+def without_comments(text: Column) -> Column:
+    """Comments become blanks; what stands in strings is hidden from the forms of statements."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(APART), F.lit(0)), lambda x: F.when(
+        x.startswith("'") | x.startswith('"'), F.translate(x, PLAIN, HIDDEN)).otherwise(" "))
+    return F.array_join(F.zip_with(F.split(text, APART, -1), parts, lambda code, x: F.concat(code, F.coalesce(x, F.lit("")))), "")
+
+
+def kind_of(stmt: Column) -> Column:
+    up = F.upper(stmt)
+    return (F.when(up.rlike(r"^END_(PROGRAM|FUNCTION)"), "end_program").when(up.rlike(r"^END_VAR"), "end_var")
+            .when(up.rlike(r"^END_CASE"), "end_case").when(up.rlike(r"^END_IF"), "end_if").when(up.rlike(r"^(END_|UNTIL\b)"), "end_loop")
             .when(up.rlike(r"^(PROGRAM|FUNCTION_BLOCK|FUNCTION) "), "program").when(up.rlike(r"^VAR(_\w+)?$"), "var")
             .when(up.rlike(r"^CASE\b"), "case").when(up.rlike(r"^IF\b"), "if")
             .when(up.rlike(r"^ELSIF\b"), "elsif").when(up == "ELSE", "else")
             .when(up.rlike(r"^(FOR|WHILE|REPEAT)\b"), "loop").when(up.rlike(r":$"), "label")
             .when(up.rlike(r"^(EXIT|RETURN)"), "jump").when(up.rlike(r"^[^:(]+:="), "assign")
             .when(up.rlike(r"^[^:(]+:"), "declare").otherwise("call"))
-    move = (F.when(F.col("kind").isin("program", "var", "if", "loop"), 1).when(F.col("kind") == "case", 2)
-            .when(F.col("kind") == "end1", -1).when(F.col("kind") == "end2", -2).otherwise(0))
-    w = Window.partitionBy(key).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return (raw.select(key, F.col("node").cast("long").alias("node"), s.alias("stmt"))
-            .withColumn("kind", kind)
-            .withColumn("depth", F.coalesce(F.sum(move).over(w), F.lit(0))
-                        - F.when(F.col("kind").isin("label", "elsif", "else"), 1).otherwise(0))
-            .filter(~F.col("kind").isin("end1", "end2")))
-
-
-def branch_conditions(stmts: DataFrame, key: str = "file") -> DataFrame:
-    """Add ``cond``: when a branch of an IF runs. ELSIF and ELSE negate the conditions before them;
-    the ELSE of a CASE has none."""
-    level = Window.partitionBy(key, "depth").orderBy("node")
-    own = F.when(F.col("kind").isin("if", "elsif"), condition(F.col("stmt")))
-    chained = stmts.withColumns({
-        "own": own, "chain": F.last(F.when(F.col("kind") == "if", F.col("node")), ignorenulls=True).over(level),
-        "labelled": F.last(F.when(F.col("kind") == "label", F.col("node")), ignorenulls=True).over(level)})
-    before = Window.partitionBy(key, "depth", "chain").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    chained = chained.withColumn("refused", F.transform(
-        F.collect_list("own").over(before), lambda c: F.concat(F.lit("NOT ("), c, F.lit(")"))))
-    of_if = (F.col("kind") == "else") & F.col("chain").isNotNull() & F.coalesce(F.col("labelled") < F.col("chain"), F.lit(True))
-    cond = (F.when(F.col("kind") == "if", F.col("own"))
-            .when(F.col("kind") == "elsif", F.array_join(
-                F.concat(F.array(F.concat(F.lit("("), "own", F.lit(")"))), "refused"), " AND "))
-            .when(of_if, F.array_join("refused", " AND ")))
-    return chained.withColumn("cond", cond).drop("own", "chain", "labelled", "refused")
-
-
-def tree(stmts: DataFrame, key: str = "file") -> DataFrame:
-    """Add ``cond`` and ``up``: enclosing openers from the outermost in, as (node, kind, stmt, cond)
-    structs, however deep the programs are."""
-    levels = stmts.agg(F.max("depth")).first()[0] or 0
-    w = Window.partitionBy(key).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    me = F.struct("node", "kind", "stmt", "cond")
-    opens = F.col("kind").isin(*OPENERS)
-    outer = [F.last(F.when(opens & (F.col("depth") == d), me), ignorenulls=True).over(w)
-             for d in range(levels)]
-    none = F.array().cast("array<struct<node:bigint,kind:string,stmt:string,cond:string>>")
-    return branch_conditions(stmts, key).select("*", *[o.alias(f"_l{d}") for d, o in enumerate(outer)]).withColumn(
-        "up", F.slice(F.array(*[F.col(f"_l{d}") for d in range(levels)]), F.lit(1), F.col("depth").cast("int"))
-        if levels else none).drop(*[f"_l{d}" for d in range(levels)])
+
+
+def folded(kinds: list[str], stmts: list[str]) -> Iterator[tuple[int, int, str | None, list[dict]]]:
+    """(node, depth, cond, up) of every statement that is not an end.
+
+    A label ends the one before it, ELSIF and ELSE the branch or label they follow, an END_ all down to what it
+    closes. ``cond`` says when a branch of an IF runs: ELSIF and ELSE negate the conditions before them, the ELSE
+    of a CASE has none. ``up`` is the stack, outermost first.
+    """
+    stack: list[dict] = []
+    asked: list[list[str]] = []  # of each branch on the stack, the conditions of its IF so far
+    for node, (kind, stmt) in enumerate(zip(kinds, stmts, strict=True)):
+        if kind.startswith("end_"):
+            closes = _BRANCHES if kind == "end_if" else (kind[4:],)
+            at = next((i for i in reversed(range(len(stack))) if stack[i]["kind"] in closes
+                       and not (kind == "end_if" and i and stack[i - 1]["kind"] == "case")), None)
+            if at is not None:
+                del stack[at:], asked[at:]
+            continue
+        cond, refused = None, []
+        if kind in ("if", "elsif"):
+            cond = re.search(r"(?is)^(?:IF|ELSIF)\b(.*)\bTHEN$", stmt)
+            cond = cond.group(1).strip() if cond else ""
+            refused = [cond]
+        if kind in ("elsif", "else") and stack and stack[-1]["kind"] in (*_BRANCHES, "label"):
+            of_case = len(stack) > 1 and stack[-2]["kind"] == "case"
+            before = asked.pop()
+            stack.pop()
+            if not of_case:
+                refused = before + refused
+                cond = " AND ".join([f"({c})" for c in [cond] if kind == "elsif"] + [f"NOT ({c})" for c in before])
+        if kind == "label" and len(stack) > 1 and stack[-2]["kind"] == "case":
+            del stack[-1], asked[-1]
+        yield node, len(stack), cond, list(stack)
+        if kind in OPENERS:
+            stack.append({"node": node, "kind": kind, "stmt": stmt, "cond": cond})
+            asked.append(refused)
+
+
+def statements(sources: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
+    """(file, node, kind, stmt, depth, cond, up): statements in order, and what they are in.
+
+    ``cond`` is the condition of a branch of an IF, ``up`` the enclosing openers from the outermost in, as
+    (node, kind, stmt, cond) structs, however deep. Comments are passed over, strings kept as they are.
+    """
+    cut = lambda part, forms: F.regexp_extract_all(
+        F.coalesce(part, F.lit("")), F.lit("(?is)" + "|".join(forms)), F.lit(0))
+    clean = without_comments(F.coalesce(text, F.lit("")))
+    parts = F.zip_with(F.split(clean, VAR_BLOCK), F.regexp_extract_all(clean, F.lit(VAR_BLOCK), F.lit(0)),
+                       lambda code, block: F.concat(cut(code, CODE), cut(block, DECLARATIONS)))
+    shown = F.transform(F.flatten(parts), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"\s*;$", "")))
+    raw = sources.select(key, shown.alias("stmts")).select(
+        key, F.transform("stmts", kind_of).alias("kinds"), F.transform("stmts", lambda x: F.translate(x, HIDDEN, PLAIN)).alias("stmts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column(0)
+            for i, (kinds, stmts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                rows = list(folded(kinds, stmts))
+                if rows:
+                    node, depth, cond, up = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([files[i].as_py()] * len(node), files.type), pa.array(node, pa.int64()), pa.array([kinds[n] for n in node]),
+                         pa.array([stmts[n] for n in node]), pa.array(depth, pa.int64()), pa.array(cond, pa.string()), pa.array(up, _UP)],
+                        names=[key, "node", "kind", "stmt", "depth", "cond", "up"])
+
+    shape = T.StructType([sources.schema[key], T.StructField("node", T.LongType()), T.StructField("kind", T.StringType()),
+                          T.StructField("stmt", T.StringType()), T.StructField("depth", T.LongType()), T.StructField("cond", T.StringType()),
+                          T.StructField("up", T.ArrayType(_ENTRY))])
+    return raw.mapInArrow(run, shape)
 
 
 def _last(up: Column, kind: str) -> Column:
@@ -120,18 +162,17 @@ def located(nodes: DataFrame) -> DataFrame:
     """Add program, case_var and state (innermost CASE and its label) of each statement; a statement
     under a label of several states is one row for each."""
     up = F.col("up")
-    states = F.coalesce(label_states(_last(up, "label")["stmt"]), F.array(F.lit("")))
+    # the label right inside the innermost CASE; its ELSE stands under no state
+    inside = F.try_element_at(F.filter(up, lambda x: x["node"] > _last(up, "case")["node"]), F.lit(1))
+    states = F.coalesce(label_states(F.when(inside["kind"] == "label", inside["stmt"])), F.array(F.lit("")))
     return nodes.select(
         "*", _word(F.coalesce(_last(up, "program")["stmt"], F.lit("")), r"(?i)^\w+ (\w+)").alias("program"),
         _word(_last(up, "case")["stmt"], r"(?i)^CASE (.*) OF$").alias("case_var"), F.explode(states).alias("state"))
 
 
-def condition(stmt: Column) -> Column:
-    return _word(stmt, r"(?i)^(?:IF|ELSIF)\b(.*)\bTHEN$")
-
-
 def identifiers(text: Column) -> Column:
-    """Sorted distinct variable names in an expression."""
+    """Sorted distinct variable names in an expression; what stands in strings is none."""
+    text = F.regexp_replace(text, r"'(?:[^'$]|\$.)*'", "''")
     names = F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*"), F.lit(0))
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~F.upper(n).isin(*WORDS))))
 

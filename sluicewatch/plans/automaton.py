@@ -32,7 +32,7 @@ def encode(components: list[tuple[str, str]], locals_: str):
 
 def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Local states and moves of every CASE in the sources."""
-    nodes = cut_lineage(programs.tree(programs.statements(sources)))
+    nodes = cut_lineage(programs.statements(sources))
     states, moves = programs.automata(nodes)
     return cut_lineage(states), cut_lineage(moves)
 

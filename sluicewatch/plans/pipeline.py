@@ -83,7 +83,7 @@ def generate(spark: SparkSession, topology: str, inp: str, plcs_file: str, out:
 
 def analyze(spark: SparkSession, sources: DataFrame, out: str, topology: str) -> dict[str, Any]:
     """Program sources to statements, dependences and invariant templates."""
-    nodes = cut_lineage(programs.tree(programs.statements(sources)))
+    nodes = cut_lineage(programs.statements(sources))
     dep, var = cut_lineage(programs.dependence_nodes(nodes)), programs.variables(nodes)
     acts = dep.filter("kind = 'assign' AND writes IS NOT NULL AND writes <> case_var")
     found = cut_lineage(programs.templates(dep, var, programs.influences(dep, acts)))

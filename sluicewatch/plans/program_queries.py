@@ -6,6 +6,8 @@ it was sold, and the suppliers of those lines are the tanks it watches. PLCs are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import guards, naming
@@ -188,7 +190,7 @@ def sources(spark, d):
 
 
 def nodes(spark, d):
-    return programs.tree(programs.statements(sources(spark, d)))
+    return programs.statements(sources(spark, d))
 
 
 LO, HI, ND = NUM.format(q='loq'), NUM.format(q='hiq'), "'L' || los || ' >= ' || " + NUM.format(q='loq') + " || ' AND NOT (H' || his || ' = 0)'"
@@ -223,6 +225,54 @@ def fsm_extract(spark, d):
     return programs.automata(nodes(spark, d))[1].select("file", "case_var", "frm", "to", "condition")
 
 
+def shapes(spark, d):
+    """One program per customer in six shapes: nested CASE with ELSE, loops, calls, named labels, strings, ELSIF chain."""
+    lim = limits(spark, d)
+    low = F.concat(F.lit("L"), F.col("los").cast("string"), F.lit(" < "), naming.format_g(F.col("loq")))
+    high = F.concat(F.lit("H"), F.col("his").cast("string"), F.lit(" > "), naming.format_g(F.col("hiq")))
+    forms = [
+        "0: CASE T OF 1: IF {low} THEN T := 2; END_IF; ELSE IF y > 1 THEN T := 3; END_IF; q := 5; END_CASE;\n"
+        " IF {high} THEN S := 1; END_IF; 1: x := 0;",
+        "0: FOR i := 1 TO 3 DO IF {low} THEN S := 1; END_IF; END_FOR;\n 1: WHILE x > 0 DO x := x - 1; END_WHILE; IF {high} THEN S := 0; END_IF;",
+        "0: TON1(IN := TRUE, PT := T#5s); IF TON1.Q THEN S := 1; END_IF;\n 1: Reset(); IF {high} THEN S := 0; END_IF;",
+        "IDLE: IF {low} THEN S := RUN; END_IF;\n RUN, HOLD: IF {high} THEN S := IDLE; END_IF;",
+        "0: msg := 'a; IF b THEN (* x'; IF {low} THEN S := 1; END_IF;\n 1: (* it's *) IF mode = 'off;' THEN S := 0; END_IF;",
+        "0: IF {low} THEN S := 1; ELSIF {high} THEN S := 2; ELSE S := 3; END_IF; 1: x := 1; 2: x := 2; 3: x := 3;"]
+    text = F.lit("")
+    for i, form in enumerate(forms):
+        parts = [{"low": low, "high": high}[x] if n % 2 else F.lit(x) for n, x in enumerate(re.split(r"\{(low|high)\}", form))]
+        text = F.when(F.col("c") % len(forms) == i, F.concat(*parts)).otherwise(text)
+    name = F.col("c").cast("string")
+    return lim.select(name.alias("file"), F.concat(
+        F.lit("PROGRAM P"), name, F.lit("\nCASE S OF "), text, F.lit(" END_CASE;\nEND_PROGRAM")).alias("text"))
+
+
+LOW, HIGH = "'L' || los || ' < ' || " + NUM.format(q="loq"), "'H' || his || ' > ' || " + NUM.format(q="hiq")
+
+
+@query("fsm_extract_shapes", f"""WITH {CT}, lim AS (SELECT c, c % 6 AS k, {LOW} AS low, {HIGH} AS high FROM ct), v(k, case_var, frm, "to", cond) AS (VALUES
+  (0, 'T', '1', '2', 'low'), (0, 'S', '0', '1', 'high'), (1, 'S', '0', '1', 'low'), (1, 'S', '1', '0', 'high'), (2, 'S', '0', '1', 'TON1.Q'),
+  (2, 'S', '1', '0', 'high'), (3, 'S', 'IDLE', 'RUN', 'low'), (3, 'S', 'RUN', 'IDLE', 'high'), (3, 'S', 'HOLD', 'IDLE', 'high'),
+  (4, 'S', '0', '1', 'low'), (4, 'S', '1', '0', 'mode = ''off;'''), (5, 'S', '0', '1', 'low'), (5, 'S', '0', '2', '(high) AND NOT (low)'),
+  (5, 'S', '0', '3', 'NOT (low) AND NOT (high)'))
+SELECT CAST(c AS VARCHAR) AS file, case_var, frm, "to", replace(replace(cond, 'low', low), 'high', high) AS condition FROM lim JOIN v USING (k)""")
+def fsm_extract_shapes(spark, d):
+    return programs.automata(programs.statements(shapes(spark, d)))[1].select("file", "case_var", "frm", "to", "condition")
+
+
+@query("st_statement_shapes", f"""WITH {CT}, v(k, kind, n, deepest) AS (VALUES
+  (0, 'program', 1, 0), (0, 'case', 2, 3), (0, 'label', 3, 4), (0, 'if', 3, 5), (0, 'else', 1, 4), (0, 'assign', 5, 6),
+  (1, 'program', 1, 0), (1, 'case', 1, 1), (1, 'label', 2, 2), (1, 'loop', 2, 3), (1, 'if', 2, 4), (1, 'assign', 3, 5),
+  (2, 'program', 1, 0), (2, 'case', 1, 1), (2, 'label', 2, 2), (2, 'call', 2, 3), (2, 'if', 2, 3), (2, 'assign', 2, 4),
+  (3, 'program', 1, 0), (3, 'case', 1, 1), (3, 'label', 2, 2), (3, 'if', 2, 3), (3, 'assign', 2, 4),
+  (4, 'program', 1, 0), (4, 'case', 1, 1), (4, 'label', 2, 2), (4, 'if', 2, 3), (4, 'assign', 3, 4),
+  (5, 'program', 1, 0), (5, 'case', 1, 1), (5, 'label', 4, 2), (5, 'if', 1, 3), (5, 'elsif', 1, 3), (5, 'else', 1, 3), (5, 'assign', 6, 4))
+SELECT CAST(c AS VARCHAR) AS file, kind, n::BIGINT AS n, deepest::BIGINT AS deepest FROM ct JOIN v ON v.k = c % 6""")
+def st_statement_shapes(spark, d):
+    s = programs.statements(shapes(spark, d))
+    return s.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"))
+
+
 @query("def_use_edges", f"""WITH {CT} SELECT CAST(c AS VARCHAR) AS file, '1' AS state, 'lvl' AS var, v.k AS reader FROM ct, (VALUES ('if'), ('elsif')) v(k)""")
 def def_use_edges(spark, d):
     dep = cut_lineage(programs.dependence_nodes(nodes(spark, d)))

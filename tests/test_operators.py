@@ -302,7 +302,7 @@ def test_programs_with_else_label_lists_and_names(spark):
     text = ("FUNCTION_BLOCK F VAR_IN_OUT S : INT; END_VAR CASE S OF IDLE, 1: IF x > 1.0 THEN y := 2; ELSIF x < 0 THEN S := 7; "
             "ELSE S := RUN; END_IF; 3..5: IF a THEN S := IDLE; ELSE b := TRUE; END_IF; RUN: " + deep
             + " S := other; ELSE b := FALSE; END_CASE; END_FUNCTION_BLOCK")
-    nodes = programs.tree(programs.statements(spark.createDataFrame([("f", text)], "file string, text string")))
+    nodes = programs.statements(spark.createDataFrame([("f", text)], "file string, text string"))
     states, moves = programs.automata(nodes)
     assert {r.node for r in states.collect()} == {"IDLE", "1", "3", "4", "5", "RUN", "7"}
     got = {(r.frm, r.to, r.condition) for r in moves.collect()}
@@ -312,3 +312,21 @@ def test_programs_with_else_label_lists_and_names(spark):
     dep = {(r.state, r.stmt): (r.guard, r.control is not None) for r in programs.dependence_nodes(nodes).collect()}
     assert dep["4", "b := TRUE"] == ("(NOT (a))", True)
     assert {r.scope for r in programs.variables(nodes).collect()} == {"in_out"}
+
+
+def test_programs_nest_in_the_row(spark):
+    """The ELSE of an inner CASE stands under no state of either; what strings hold is no code."""
+    from sluicewatch.operators import programs
+
+    text = ("PROGRAM P CASE S OF 0: CASE T OF 1: T := 2; ELSE IF y > 1 THEN T := 3; END_IF; q := 5; END_CASE; r := 1; IF a THEN S := 1; END_IF;"
+            " ELSE IF b THEN S := 2; ELSE S := 3; END_IF; END_CASE; t := 'x; IF b THEN'; u := \"(* ' *)\"; (* don't *) v := 'it$'s'; END_PROGRAM")
+    nodes = programs.statements(spark.createDataFrame([("f", text), ("none", ""), ("null", None), ("junk", "END_IF; END_CASE; ELSE x := 1;")],
+                                                      "file string, text string")).cache()
+    at = {r.stmt: (r.case_var, r.state) for r in programs.located(nodes).filter("kind = 'assign' AND file = 'f'").collect()}
+    assert at == {"T := 2": ("T", "1"), "T := 3": ("T", ""), "q := 5": ("T", ""), "r := 1": ("S", "0"), "S := 1": ("S", "0"),
+                  "S := 2": ("S", ""), "S := 3": ("S", ""), "t := 'x; IF b THEN'": (None, ""), "u := \"(* ' *)\"": (None, ""), "v := 'it$'s'": (None, "")}
+    moves = programs.automata(nodes)[1].select("case_var", "frm", "to", "condition").collect()
+    assert [tuple(r) for r in moves] == [("S", "0", "1", "a")]
+    conds = {r.stmt: [u.cond for u in r.up if u.cond] for r in nodes.filter("kind = 'assign'").collect()}
+    assert conds["S := 3"] == ["NOT (b)"] and conds["S := 2"] == ["b"] and conds["r := 1"] == []
+    assert nodes.filter("file IN ('none', 'null')").count() == 0 and nodes.filter("file = 'junk'").count() == 2
