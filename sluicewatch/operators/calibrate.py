@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import number
 from ..profiles import Profile
 from .quantiles import percentiles
-from .segments import halo_windows, with_positions
+from .segments import halo_windows, ranged, with_positions
 from .signals import rolling_sum, step, total
 
 
@@ -30,8 +30,9 @@ def boundary_steps(df: DataFrame, frame: str, cols: Sequence[str],
     edges = df.groupBy(frame).agg(*[x for c in cols for x in (
         F.min_by(number(F.col(c)), "rn").alias(f"_first_{c}"),
         F.max_by(number(F.col(c)), "rn").alias(f"_last_{c}"))])
-    segment = F.lit(0) if frame_segment is None else frame_segment
-    edges = with_positions(edges, [], [frame], segment)
+    if frame_segment is None:
+        edges = ranged(edges, [], [frame])
+    edges = with_positions(edges, [], [frame], F.col("_range") if frame_segment is None else frame_segment)
     linked = halo_windows(edges, [], lambda w: [{
         f"d{c}": F.col(f"_first_{c}") - F.lag(f"_last_{c}").over(w) for c in cols}], before=1)
     return linked.select(*[f"d{c}" for c in cols])

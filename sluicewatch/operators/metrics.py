@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .segments import running_sums
+from .segments import ranged_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -42,18 +42,17 @@ def rates(c: DataFrame) -> DataFrame:
 
 
 def ranking(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: str = "score",
-            weight: Column | None = None, resolution: int = 1000) -> DataFrame:
+            weight: Column | None = None) -> DataFrame:
     """Average precision and ROC AUC per key; NULL when only one class occurs.
 
-    Rows are counted per distinct score first, so ties are exact and the ordered part only
-    sees distinct scores, split over score ranges of 1/``resolution``.
+    Rows are counted per distinct score first, so ties are exact, and distinct scores are summed
+    over sampled ranges of them, so one key, or none, is no single task.
     """
-    s, one = F.col(score), F.lit(1).cast("long") if weight is None else weight
+    one = F.lit(1).cast("long") if weight is None else weight
     per = df.groupBy(*keys, score).agg(
         F.sum(F.when(F.col(y) == 1, one).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(y) == 0, one).otherwise(0)).alias("neg"))
-    cum = running_sums(per, keys, [F.desc(score)], F.floor(-s * resolution),
-                       {"cp": F.col("pos"), "cn": F.col("neg")})
+    cum = ranged_sums(per, keys, [F.desc(score)], {"cp": F.col("pos"), "cn": F.col("neg")})
     tp, fp = F.col("cp").cast("double"), F.col("cn").cast("double")
     area = cum.groupBy(*keys).agg(
         F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"),

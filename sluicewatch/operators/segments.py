@@ -18,6 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK_ROWS = 65_536
 
 
@@ -51,6 +53,18 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return out.withColumn(pos, F.col(pos) - 1)
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``df`` with ``_range``, a segment for ``running_sums`` where no column makes one: rows are dealt into ranges
+    of (keys, order) by sampled bounds, each about as large, and written, which fixes the ranges."""
+    dealt = cut_lineage(df).repartitionByRange(*keys, *order)
+    return cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
+
+
+def ranged_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """``running_sums`` over sampled ranges, so also a group without keys or with one value of them is spread."""
+    return running_sums(ranged(df, keys, order), keys, order, F.col("_range"), sums).drop("_range")
+
+
 def halo_windows(df: DataFrame, keys: Sequence[str],
                  build: Callable[[WindowSpec], list[dict[str, Column]]],
                  before: int = 0, after: int = 0, pos: str = "rn",

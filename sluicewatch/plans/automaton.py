@@ -37,6 +37,11 @@ def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(states), cut_lineage(moves)
 
 
+def dangling(states: DataFrame, moves: DataFrame) -> DataFrame:
+    """(file, program, case_var, side, node) of ends of local moves that name no state of their CASE."""
+    return graph.dangling(states, moves.select(*FB, "frm", "to"), FB)
+
+
 def compose(states: DataFrame, moves: DataFrame, max_states: int | None = None) -> Automaton:
     """Product of all local automata, ordered by (program, case variable)."""
     fbs = states.select(*FB).distinct().orderBy("program", "case_var", "file")

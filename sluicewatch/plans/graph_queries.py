@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import guards
 from ..operators import graph, product, signatures
 from ..operators.detectors import previous_state
-from ..operators.segments import halo_windows
+from ..operators.segments import halo_windows, ranged_sums
 from ..session import cut_lineage
 from .registry import query
 from .trace import SQL, trace
@@ -169,11 +169,9 @@ def state_signatures(spark, d):
 @query("transition_sort", f"""{STATES} SELECT scenario, frm, "to", n,
 row_number() OVER (PARTITION BY scenario ORDER BY frm, "to", n) - 1 AS pos FROM ed""")
 def transition_sort(spark, d):
-    from ..operators.segments import with_positions
-
     e = graphs(spark, d)[1].select("scenario", "frm", "to", "n")
-    # First letter of the state name orders the segments like the names themselves.
-    return with_positions(e, G, ["frm", "to", "n"], F.ascii("frm"), "pos")
+    numbered = ranged_sums(e, G, ["frm", "to", "n"], {"pos": F.lit(1).cast("long")})
+    return numbered.withColumn("pos", F.col("pos") - 1)
 
 
 @query("transition_dedupe", f"""{STATES} SELECT scenario, pnode AS frm, node AS "to", 'l_t1 < ' || (CAST(floor(l_t1 / 30) AS BIGINT) + 1) * 30 AS guard,

@@ -106,14 +106,23 @@ def analyze(spark: SparkSession, sources: DataFrame, out: str, topology: str) ->
     return man
 
 
-def build(spark: SparkSession, sources: DataFrame, out: str, topology: str, max_states: int | None = None,
-          listed: DataFrame | None = None) -> tuple[automaton.Automaton, dict[str, Any]]:
+def build(spark: SparkSession, sources: DataFrame | None, out: str, topology: str, max_states: int | None = None,
+          listed: DataFrame | None = None, local: tuple[DataFrame, DataFrame] | None = None) -> tuple[automaton.Automaton | None, dict[str, Any]]:
     """Program sources to the global automaton, its drawing and its analysis.
 
     ``listed`` (plc, n_listed) are the FSMs each program should have; a program that lacks
-    them makes the run not ok, one without any is skipped.
+    them makes the run not ok, one without any is skipped. ``local`` brings local states and moves in place of
+    programs. Moves whose ends name no state are listed in ``analysis/dangling``, and then nothing is composed.
     """
-    a = automaton.compose(*automaton.extract(sources), max_states)
+    states, moves = automaton.extract(sources) if local is None else local
+    dangling = cut_lineage(automaton.dangling(states, moves))
+    dangling.write.mode("overwrite").json(os.path.join(out, "analysis", "dangling"))
+    if not dangling.isEmpty():
+        man = writers.stage_manifest("gfsm/v1", topology, initial=None, components=[], states=0, transitions=0,
+                                     dangling=dangling.count(), all_ok=False)
+        writers.write_json(os.path.join(out, f"{topology}_gfsm_manifest.json"), man)
+        return None, man
+    a = automaton.compose(states, moves, max_states)
     writers.write_automaton(a.states, a.edges, os.path.join(out, "gfsm"), f"{topology} (composed)")
     found = automaton.analysis(a)
     for name, df in found.items():
@@ -127,7 +136,7 @@ def build(spark: SparkSession, sources: DataFrame, out: str, topology: str, max_
     stats = found["statistics"].first()
     man = writers.stage_manifest(
         "gfsm/v1", topology, initial=a.initial, components=[list(c) for c in a.components],
-        states=stats["total_states"], transitions=stats["total_transitions"],
+        states=stats["total_states"], transitions=stats["total_transitions"], dangling=0,
         all_ok=status.filter("status = 'error'").isEmpty())
     writers.write_json(os.path.join(out, f"{topology}_gfsm_manifest.json"), man)
     return a, man

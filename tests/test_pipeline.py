@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluicewatch.plans import automaton, cli, pipeline
 from sluicewatch.sources import dataset, network_files, telemetry
@@ -239,3 +240,16 @@ def test_stored_artifacts(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"states": {"s": {"rules": [rule]}}}))
     with pytest.raises(Exception, match="2-element"):
         network_files.read_rules(spark, str(tmp_path / "bad.json"))[0].collect()
+
+
+def test_dangling_reference_fails_the_unit(spark, tmp_path):
+    states = spark.createDataFrame([("f", "P", "S", x, i) for i, x in enumerate("01")], "file string, program string, case_var string, node string, ord int")
+    moves = spark.createDataFrame([("f", "P", "S", "0", "1", "x > 1", 1, 1), ("f", "P", "S", "1", "9", "x < 1", 2, 2)],
+                                  "file string, program string, case_var string, frm string, to string, condition string, if_node long, ord long")
+    a, man = pipeline.build(spark, None, str(tmp_path), "net", local=(states, moves))
+    assert a is None and man["all_ok"] is False and man["dangling"] == 1
+    told = spark.read.json(str(tmp_path / "analysis" / "dangling")).collect()
+    assert [(r.program, r.side, r.node) for r in told] == [("P", "to_state", "9")]
+    states = states.withColumn("ord", F.struct(F.lit(0).alias("late"), F.col("ord")))
+    a, man = pipeline.build(spark, None, str(tmp_path), "net", local=(states, moves.filter("to = '1'")))
+    assert man["all_ok"] and man["dangling"] == 0 and man["states"] == 2 and man["transitions"] == 1
