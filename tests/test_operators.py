@@ -54,22 +54,37 @@ def test_fill_forward_then_backward(spark, block):
     assert ordered(got, "x") == [1.0] * 8 + [2.0] * 3
 
 
-@pytest.mark.parametrize("sortable", [1_000_000, 3])
-def test_percentiles_equal_numpy(spark, sortable):
+@pytest.mark.parametrize("cells", [4096, 3])
+def test_percentiles_equal_numpy(spark, cells):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=400), np.full(300, 7.0), rng.exponential(1e6, size=50), [np.nan]])
     df = spark.createDataFrame([("g" if i % 2 else "h", float(v)) for i, v in enumerate(x)], "k string, x double")
     ps = {"p0": 0.0, "p5": 5.0, "p50": 50.0, "p995": 99.5, "p100": 100.0}
-    whole = percentiles(df, [], {"x": F.col("x")}, {n: ("x", p) for n, p in ps.items()}, sortable).first()
+    whole = percentiles(df, [], {"x": F.col("x")}, {n: ("x", p) for n, p in ps.items()}, cells).first()
     clean = x[~np.isnan(x)]
     for n, p in ps.items():
         assert whole[n] == pytest.approx(np.percentile(clean, p), rel=1e-12)
     assert whole["n_x"] == 750
-    for r in percentiles(df, ["k"], {"x": F.col("x")}, {n: ("x", p) for n, p in ps.items()}, sortable).collect():
+    for r in percentiles(df, ["k"], {"x": F.col("x")}, {n: ("x", p) for n, p in ps.items()}, cells).collect():
         part = clean[1::2] if r["k"] == "g" else clean[0::2]
         assert r["p995"] == pytest.approx(np.percentile(part, 99.5), rel=1e-12)
 
 
+def test_percentiles_of_several_frames(spark):
+    """Metrics of two frames, infinite, missing and equal values, in the same passes; what is shuffled is cells."""
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.normal(size=300), [np.inf, -np.inf, 1e308, -1e308]])
+    one = spark.createDataFrame([("g", float(x), None, 4.0) for x in a], "k string, a double, b double, c double")
+    two = spark.createDataFrame([("g", float(x)) for x in range(100)] + [("h", 1.0), ("h", None)], "k string, d double")
+    for keys in ([], ["k"]):
+        out = percentiles(one, keys, {c: F.col(c) for c in "abc"}, {"a9": ("a", 90.0), "a0": ("a", 0.0), "a100": ("a", 100.0), "b5": ("b", 50.0),
+                                                                      "c5": ("c", 5.0), "d5": ("d", 50.0)}, 5, [(two, {"d": F.col("d")})])
+        g = (out.filter("k = 'g'") if keys else out).first()
+        d = np.array([*range(100)] if keys else [*range(100), 1.0])
+        assert g.a9 == pytest.approx(np.percentile(a, 90)) and (g.a0, g.a100) == (-np.inf, np.inf) and g.b5 is None and g.c5 == 4.0
+        assert g.d5 == pytest.approx(np.percentile(d, 50)) and (g.n_a, g.n_b, g.n_c, g.n_d) == (304, 0, 304, len(d))
+
+
 def brute_runs(raw, k):
     out, run = [0] * len(raw), 0
     for i, r in enumerate(raw):
