@@ -205,6 +205,7 @@ def automata(nodes: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]
     states after the labelled ones.
     """
     on = [key, "program", "case_var"]
+    nodes = cut_lineage(nodes.filter("kind = 'label' OR kind = 'assign'"))  # read once, used four times
     labels = nodes.filter("kind = 'label'")
     lab = located(labels).select(*on, F.explode(label_states(F.col("stmt"))).alias("of"), F.col("node").alias("ord"))
     lab = lab.select(*on, F.col("of").alias("node"), F.struct(F.lit(0).alias("late"), "ord").alias("ord"))

@@ -172,6 +172,11 @@ def inp_section_carry(spark, d):
     return network.sections(lines, ["scenario"])
 
 
+def spread(df):
+    """Few bytes a row but much to do for each: one task a core, which AQE would join into one by size."""
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sources(spark, d):
     """One control program per customer, as a source file with comments and nested IFs."""
     k, lo, hi = (F.col(c).cast("string") for c in ("c", "los", "his"))
@@ -186,7 +191,7 @@ def sources(spark, d):
         F.lit(" AND NOT (H"), hi, F.lit(" = 0) THEN PU_State := 0; PU := FALSE; END_IF;\n    ELSIF lvl < 0 THEN\n"
               "      PU_State := 2;\n    END_IF;\n  2, 3..4:\n    IF lvl > hi_limit THEN\n      Alarm := TRUE;\n    ELSE\n"
               "      PU_State := 0;\n    END_IF;\nEND_CASE;\nPU := (PU_State = 1);\nEND_PROGRAM\n"))
-    return limits(spark, d).select(k.alias("file"), text.alias("text"))
+    return spread(limits(spark, d)).select(k.alias("file"), text.alias("text"))
 
 
 def nodes(spark, d):
@@ -227,7 +232,7 @@ def fsm_extract(spark, d):
 
 def shapes(spark, d):
     """One program per customer in six shapes: nested CASE with ELSE, loops, calls, named labels, strings, ELSIF chain."""
-    lim = limits(spark, d)
+    lim = spread(limits(spark, d))
     low = F.concat(F.lit("L"), F.col("los").cast("string"), F.lit(" < "), naming.format_g(F.col("loq")))
     high = F.concat(F.lit("H"), F.col("his").cast("string"), F.lit(" > "), naming.format_g(F.col("hiq")))
     forms = [
