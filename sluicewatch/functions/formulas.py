@@ -14,6 +14,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..profiles import MARGIN, Network
 from .rules import number
 
 
@@ -120,28 +121,25 @@ FAMILIES = {
 MODES = ("status_only", "always_off", "always_on")
 
 
-def units(profile: Any, params: dict[str, Any]) -> Iterator[tuple[str, dict[str, Any]]]:
+def units(profile: Network, params: dict[str, Any]) -> Iterator[tuple[str, dict[str, Any]]]:
     """The calibrated parameters as a flat table: (section, values of one unit)."""
     derived = dict(params)
     derived["mb_window"] = {f"{tank}_{w}": v for tank, by in params["mb_window"].items() for w, v in by.items()}
-    derived["control"] = {f"{status}_{tank}": {"status": status, "tank": tank, "low": low - profile.margin,
-                                               "high": high + profile.margin}
-                          for status, tank, low, high in profile.control_rules}
+    derived["control"] = {f"{c.status}_{c.tank}": {"status": c.status, "tank": c.tank, "low": c.low - MARGIN, "high": c.high + MARGIN}
+                          for c in profile.controls}
     for section in FAMILIES:
         for unit, fitted in derived[section].items():
             values = {"unit": unit, **fitted}
             if section == "tank":
-                bounds = profile.tank_physical.get(unit, {})
-                values |= {"low": bounds.get("min", -1e9), "top": bounds.get("max", 1e9)}
+                values["low"], values["top"] = profile.bounds(unit)
             if section in ("pump", "head"):
-                values["status"] = profile.pump_status_fmt.format(pid=unit)
-                values["flow"] = profile.pump_flow_fmt.format(pid=unit)
+                values["status"], values["flow"] = profile.pump(unit).status, profile.pump(unit).flow
             if section == "pump" and values["mode"] not in MODES:
                 values["mode"] = "varying"
             yield section, values
 
 
-def synthesize(profile: Any, p: dict[str, Any]) -> dict[str, str]:
+def synthesize(profile: Network, p: dict[str, Any]) -> dict[str, str]:
     """Formula text per rule name: every family of a section filled with each of its units."""
     return {f.name.format(**values): f.formula.format(**values)
             for section, values in units(profile, p) for f in FAMILIES[section]

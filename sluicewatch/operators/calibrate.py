@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import number
-from ..profiles import Profile
+from ..profiles import BALANCE_ROWS, LIMITS, MARGIN, Limit, Network
 from .quantiles import percentiles
 from .segments import halo_windows, ranged, with_positions
 from .signals import rolling_sum, step, total
@@ -53,16 +53,16 @@ def off(status: str) -> Column:
     return number(F.col(status)) <= 0.5
 
 
-def tank_bounds(df: DataFrame, tank: str, physical: dict[str, float], margin: float) -> DataFrame:
+def tank_bounds(df: DataFrame, tank: str, low: float, high: float, margin: float = MARGIN) -> DataFrame:
     x = number(F.col(tank))
     return df.agg(
-        F.greatest(F.lit(physical["min"]), F.min(x) - margin).alias("h_min"),
-        F.least(F.lit(physical["max"]), F.max(x) + margin).alias("h_max"))
+        F.greatest(F.lit(low), F.min(x) - margin).alias("h_min"),
+        F.least(F.lit(high), F.max(x) + margin).alias("h_max"))
 
 
-def slew_limit(steps: DataFrame, col: str, pct: float, safety: float, slack: float) -> DataFrame:
-    p = percentiles(steps, [], {"d": F.abs(F.col(f"d{col}"))}, {"p": ("d", pct)})
-    return p.select((F.col("p") * safety + slack).alias("slew_max"))
+def slew_limit(steps: DataFrame, col: str, limit: Limit) -> DataFrame:
+    p = percentiles(steps, [], {"d": F.abs(F.col(f"d{col}"))}, {"p": ("d", limit.percentile)})
+    return p.select(limit.of(F.col("p")).alias("slew_max"))
 
 
 def flow_envelope(df: DataFrame, status: str, flow: str, pct: float) -> DataFrame:
@@ -110,11 +110,11 @@ def pressure_limits(df: DataFrame, junction: str, low: float, high: float) -> Da
     return p.select((F.col("lo") - 1.0).alias("p_min"), (F.col("hi") + 1.0).alias("p_max"))
 
 
-def symmetry_limit(df: DataFrame, c1: str, c2: str, pct: float, safety: float) -> DataFrame:
+def symmetry_limit(df: DataFrame, c1: str, c2: str, limit: Limit = LIMITS["gap"]) -> DataFrame:
     """Limit on the gap between two signals; no row below 100 usable rows."""
     p = percentiles(df, [], {"d": F.abs(number(F.col(c1)) - number(F.col(c2)))},
-                    {"p": ("d", pct)})
-    return p.filter(F.col("n_d") >= 100).select((F.col("p") * safety + 0.05).alias("threshold"))
+                    {"p": ("d", limit.percentile)})
+    return p.filter(F.col("n_d") >= 100).select(limit.of(F.col("p")).alias("threshold"))
 
 
 def mass_balance_fit(steps: DataFrame, tank: str, feeders: Sequence[str],
@@ -160,15 +160,15 @@ def residual_rows(steps: DataFrame, frame: Sequence[str], feeder_map: dict[str,
     return halo_windows(rows, frame, rolls, before=max(windows, default=1))
 
 
-def residual_metrics(tanks: Sequence[str], profile: Profile):
+def residual_metrics(tanks: Sequence[str], profile: Network):
     """(metrics, targets) of the residual percentiles."""
     metrics, targets = {}, {}
     for t in tanks:
         metrics[f"r_{t}"] = F.abs(F.col(f"resid_{t}"))
-        targets[f"p_{t}"] = (f"r_{t}", profile.mb_percentile)
-        for k in profile.mb_windows:
+        targets[f"p_{t}"] = (f"r_{t}", LIMITS["balance"].percentile)
+        for k in BALANCE_ROWS:
             metrics[f"{t}_w{k}"] = F.abs(F.col(f"roll_{t}_w{k}"))
-            targets[f"p_{t}_w{k}"] = (f"{t}_w{k}", profile.mb_window_percentile)
+            targets[f"p_{t}_w{k}"] = (f"{t}_w{k}", LIMITS["balance_window"].percentile)
     return metrics, targets
 
 
@@ -176,26 +176,26 @@ MIN_POOL = 100  # steps a tank needs, and full windows a window length needs
 
 
 def mass_balance_limits(df: DataFrame, frame: Sequence[str], feeder_map: dict[str, Sequence[str]],
-                        profile: Profile) -> DataFrame:
+                        profile: Network) -> DataFrame:
     """One row: alpha, offset, r2, n, eps and eps_w<k> per tank, suffixed with the tank."""
     steps = with_steps(df, frame, list(feeder_map))
     fit = mass_balance_fits(steps, feeder_map)
     rows = residual_rows(steps.crossJoin(F.broadcast(fit)), frame, feeder_map,  # one row
-                         profile.mb_windows)
+                         BALANCE_ROWS)
     both = fit.crossJoin(F.broadcast(percentiles(rows, [], *residual_metrics(list(feeder_map), profile))))
     out = []
     for t in feeder_map:
         enough = F.col(f"n_{t}") >= MIN_POOL
         out += [F.when(enough, F.col(f"{c}_{t}")).alias(f"{c}_{t}") for c in ("alpha", "offset", "r2")]
-        out += [F.col(f"n_{t}"), F.when(enough, F.col(f"p_{t}") * profile.mb_safety + 0.005)
+        out += [F.col(f"n_{t}"), F.when(enough, LIMITS["balance"].of(F.col(f"p_{t}")))
                 .alias(f"eps_{t}")]
         out += [F.when(enough & (F.col(f"n_{t}_w{k}") >= MIN_POOL),
-                       F.col(f"p_{t}_w{k}") * profile.mb_window_safety + 0.01).alias(f"eps_{t}_w{k}")
-                for k in profile.mb_windows]
+                       LIMITS["balance_window"].of(F.col(f"p_{t}_w{k}"))).alias(f"eps_{t}_w{k}")
+                for k in BALANCE_ROWS]
     return both.select(*out)
 
 
-def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
+def calibrate(df: DataFrame, profile: Network, frame: str = "frame",
               frame_segment: Column | None = None,
               unordered: DataFrame | None = None) -> dict[str, Any]:
     """All limits of a profile as a nested dict; only profile-sized rows reach the driver.
@@ -205,7 +205,7 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
     have = set(df.columns)
     out: dict[str, Any] = {k: {} for k in (
         "mb", "mb_window", "tank", "pump", "valve", "head", "pressure", "pslew", "symmetry")}
-    feeders = {t: [f for f in fs if f in have] for t, fs in profile.feeder_map.items() if t in have}
+    feeders = {t: [f for f in fs if f in have] for t, fs in profile.feeders().items() if t in have}
     feeders = {t: fs for t, fs in feeders.items() if fs}
     more, targets, fit = [], {}, None
     if feeders:
@@ -214,29 +214,27 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
         fitted = steps.select("*", *[F.lit(fit[f"{c}_{t}"]).cast("double").alias(f"{c}_{t}")
                                      for t in feeders for c in ("alpha", "offset")])
         metrics, targets = residual_metrics(list(feeders), profile)
-        more.append((residual_rows(fitted, [frame], feeders, profile.mb_windows), metrics))
-    tanks = [t for t in profile.tanks if t in have]
-    joints = [j for j in profile.junctions if j in have]
+        more.append((residual_rows(fitted, [frame], feeders, BALANCE_ROWS), metrics))
+    tanks = [t.level for t in profile.tanks if t.level in have]
+    joints = [j for j in profile.pressures if j in have]
     if tanks or joints:
         steps = chained_steps(df, frame, [*tanks, *joints], frame_segment)
         more.append((steps, {f"d_{c}": F.abs(F.col(f"d{c}")) for c in [*tanks, *joints]}))
-        targets |= {f"step_{t}": (f"d_{t}", profile.slew_percentile) for t in tanks}
-        targets |= {f"step_{j}": (f"d_{j}", profile.pslew_percentile) for j in joints}
+        targets |= {f"step_{t}": (f"d_{t}", LIMITS["level_step"].percentile) for t in tanks}
+        targets |= {f"step_{j}": (f"d_{j}", LIMITS["pressure_step"].percentile) for j in joints}
 
     # Everything that does not depend on row order: one aggregate; all percentiles share passes.
     aggs, values = [], {}
-    pct = profile.pump_percentile
+    pct = LIMITS["flow"].percentile
     for t in tanks:
         aggs += [F.min(number(F.col(t))).alias(f"min_{t}"), F.max(number(F.col(t))).alias(f"max_{t}")]
     flows = {}
-    for pid in profile.pumps:
-        status = profile.pump_status_fmt.format(pid=pid)
-        flow = profile.pump_flow_fmt.format(pid=pid)
-        if status in have:
-            flows[("pump", pid)] = (status, flow if flow in have else None)
-    for vid, v in profile.valves.items():
-        if {v["status"], v["flow"]} <= have:
-            flows[("valve", vid)] = (v["status"], v["flow"])
+    for pump in profile.pumps:
+        if pump.status in have:
+            flows[("pump", pump.unit)] = (pump.status, pump.flow if pump.flow in have else None)
+    for valve in profile.valves:
+        if {valve.status, valve.flow} <= have:
+            flows[("valve", valve.unit)] = (valve.status, valve.flow)
     for (kind, i), (status, flow) in flows.items():
         name = f"{kind}_{i}"
         is_on = F.coalesce(on(status), F.lit(False))
@@ -248,8 +246,8 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
             targets[f"{name}_hi"] = (f"{name}_on", pct)
             targets[f"{name}_off"] = (f"{name}_off", pct)
     heads = {}
-    for pid, (down, up) in profile.pump_pressure_pairs.items():
-        status = profile.pump_status_fmt.format(pid=pid)
+    for pump in profile.pumps:
+        pid, status, (down, up) = pump.unit, pump.status, pump.lift or (None, None)
         if {down, up, status} <= have:
             heads[pid] = status
             aggs.append(F.sum(F.coalesce(on(status), F.lit(False)).cast("long")).alias(f"runs_{pid}"))
@@ -258,12 +256,12 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
             targets[f"head_{pid}_hi"] = (f"head_{pid}", 99.5)
     for j in joints:
         values[f"at_{j}"] = number(F.col(j))
-        targets[f"at_{j}_lo"] = (f"at_{j}", profile.pressure_low_pct)
-        targets[f"at_{j}_hi"] = (f"at_{j}", profile.pressure_high_pct)
-    pairs = [(a, b) for a, b in profile.symmetry_pairs if {a, b} <= have]
+        targets[f"at_{j}_lo"] = (f"at_{j}", LIMITS["pressure_low"].percentile)
+        targets[f"at_{j}_hi"] = (f"at_{j}", LIMITS["pressure_high"].percentile)
+    pairs = [(a, b) for a, b in profile.twins if {a, b} <= have]
     for a, b in pairs:
         values[f"gap_{a}_{b}"] = F.abs(number(F.col(a)) - number(F.col(b)))
-        targets[f"gap_{a}_{b}"] = (f"gap_{a}_{b}", profile.symmetry_percentile)
+        targets[f"gap_{a}_{b}"] = (f"gap_{a}_{b}", LIMITS["gap"].percentile)
     rows = df if unordered is None else unordered
     a = rows.agg(*aggs).first() if aggs else None
     if values:
@@ -273,15 +271,14 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
     for t, fs in feeders.items():
         if fit[f"n_{t}"] >= MIN_POOL:
             out["mb"][t] = {**{c: fit[f"{c}_{t}"] for c in ("alpha", "offset", "r2")},
-                            "eps": p[f"p_{t}"] * profile.mb_safety + 0.005, "feeders": fs}
+                            "eps": LIMITS["balance"].of(p[f"p_{t}"]), "feeders": fs}
             out["mb_window"][t] = {
-                f"w{k}": {"eps": p[f"p_{t}_w{k}"] * profile.mb_window_safety + 0.01}
-                for k in profile.mb_windows if p[f"n_{t}_w{k}"] >= MIN_POOL}
+                f"w{k}": {"eps": LIMITS["balance_window"].of(p[f"p_{t}_w{k}"])}
+                for k in BALANCE_ROWS if p[f"n_{t}_w{k}"] >= MIN_POOL}
     for t in tanks:
-        phys = profile.tank_physical.get(t, {"min": -1e9, "max": 1e9})
-        out["tank"][t] = {"h_min": max(phys["min"], a[f"min_{t}"] - profile.margin),
-                          "h_max": min(phys["max"], a[f"max_{t}"] + profile.margin),
-                          "slew_max": p[f"step_{t}"] * profile.slew_safety + 0.02}
+        low, high = profile.bounds(t)
+        out["tank"][t] = {"h_min": max(low, a[f"min_{t}"] - MARGIN), "h_max": min(high, a[f"max_{t}"] + MARGIN),
+                          "slew_max": LIMITS["level_step"].of(p[f"step_{t}"])}
     for (kind, i), (status, flow) in flows.items():
         name = f"{kind}_{i}"
         frac = a[f"frac_{name}"]
@@ -294,7 +291,7 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
                   "f_off_max": p[f"{name}_off"] + 0.5
                   if n_off > (5 if kind == "pump" else 0) else 0.5}
         if kind == "valve":
-            out["valve"][i] = {**profile.valves[i], **limits}
+            out["valve"][i] = {"status": status, "flow": flow, **limits}
         elif frac < 0.005:
             out["pump"][i] = {"mode": "always_off", "f_off_max": limits["f_off_max"]}
         else:
@@ -304,10 +301,10 @@ def calibrate(df: DataFrame, profile: Profile, frame: str = "frame",
             out["head"][pid] = {"h_min": p[f"head_{pid}_lo"] - 2.0, "h_max": p[f"head_{pid}_hi"] + 2.0}
     for j in joints:
         out["pressure"][j] = {"p_min": p[f"at_{j}_lo"] - 1.0, "p_max": p[f"at_{j}_hi"] + 1.0}
-        out["pslew"][j] = {"slew_max": p[f"step_{j}"] * profile.pslew_safety + 0.5}
+        out["pslew"][j] = {"slew_max": LIMITS["pressure_step"].of(p[f"step_{j}"])}
     for c1, c2 in pairs:
         if p[f"n_gap_{c1}_{c2}"] >= 100:
             out["symmetry"][f"{c1}_{c2}"] = {
                 "col1": c1, "col2": c2,
-                "threshold": p[f"gap_{c1}_{c2}"] * profile.symmetry_safety + 0.05}
+                "threshold": LIMITS["gap"].of(p[f"gap_{c1}_{c2}"])}
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import fire_count
 from ..functions.rules import number
-from ..profiles import Profile
+from ..profiles import CONFIRM, SMOOTH, Network
 from .segments import halo_windows
 
 
@@ -60,17 +60,18 @@ def hysteresis(df: DataFrame, keys: Sequence[str], raw: str, k: int,
     return done.drop(f"_{out}_full")
 
 
-def signal_stages(profile: Profile, params: dict[str, Any], columns: Sequence[str],
+def signal_stages(profile: Network, params: dict[str, Any], columns: Sequence[str],
                   w: WindowSpec) -> list[dict[str, Column]]:
     """Run-time signals of a profile: differences, mass-balance residuals, pump heads."""
     have = set(columns)
     first: dict[str, Column] = {}
-    for c in [*profile.tanks, *profile.junctions]:
+    for c in [*(t.level for t in profile.tanks), *profile.pressures]:
         if c in have:
             first[f"d{c}"] = step0(number(F.col(c)), w)
-    for pid, (down, up) in profile.pump_pressure_pairs.items():
+    for pump in profile.pumps:
+        down, up = pump.lift or (None, None)
         if {down, up} <= have:
-            first[f"HEAD_PU{pid}"] = number(F.col(down)) - number(F.col(up))
+            first[f"HEAD_PU{pump.unit}"] = number(F.col(down)) - number(F.col(up))
     resid, rolls = {}, {}
     for tank, mb in params["mb"].items():
         feeders = [f for f in mb["feeders"] if f in have]
@@ -89,24 +90,24 @@ def signal_reach(params: dict[str, Any]) -> int:
     return max([int(n.lstrip("w")) for ws in params["mb_window"].values() for n in ws] + [1])
 
 
-def build_signals(df: DataFrame, keys: Sequence[str], profile: Profile,
+def build_signals(df: DataFrame, keys: Sequence[str], profile: Network,
                   params: dict[str, Any]) -> DataFrame:
     return halo_windows(df, keys, lambda w: signal_stages(profile, params, df.columns, w),
                         before=signal_reach(params))
 
 
-def stl_flags(df: DataFrame, keys: Sequence[str], profile: Profile, params: dict[str, Any],
+def stl_flags(df: DataFrame, keys: Sequence[str], profile: Network, params: dict[str, Any],
               specs: dict[str, str]) -> DataFrame:
     """Add ``fires`` (violated formulas), ``y_pred_stl`` (confirmed flag) and ``score``.
 
     Signals, formulas, run-length filter and smoothing share one shuffle.
     """
-    k, width = profile.hysteresis, profile.smoothing_window
+    k, width = CONFIRM, SMOOTH
 
     def stages(w: WindowSpec) -> list[dict[str, Column]]:
         signals = signal_stages(profile, params, df.columns, w)
         names = [*df.columns, *[n for s in signals for n in s]]
-        raw = (F.col("fires") >= profile.min_fire_count).cast("int")
+        raw = (F.col("fires") >= profile.fires).cast("int")
         return [*signals, {"fires": fire_count(specs, names)},
                 *run_stages(raw, k, w, out="y_pred_stl"),
                 {"score": centered_max(F.col("fires"), w, width).cast("double")}]

@@ -18,7 +18,7 @@ from ..functions.rules import RULES_TYPE
 from ..operators import detectors, metrics, mining
 from ..operators.calibrate import calibrate
 from ..operators.signals import stl_flags
-from ..profiles import Profile
+from ..profiles import Network
 from ..session import cut_lineage
 
 FP_BUDGET = 0.01
@@ -26,7 +26,7 @@ FP_BUDGET = 0.01
 
 @dataclass
 class Fitted:
-    profile: Profile
+    profile: Network
     params: dict[str, Any]
     specs: dict[str, str]
     known: DataFrame
@@ -50,7 +50,7 @@ def mine(clean: DataFrame, features: Sequence[str], fp_budget: float = FP_BUDGET
     return phi, chosen["k"], chosen["note"]
 
 
-def fit(clean: DataFrame, profile: Profile, features: Sequence[str], frame: str,
+def fit(clean: DataFrame, profile: Network, features: Sequence[str], frame: str,
         keys: Sequence[str], frame_segment: Column | None = None,
         unordered: DataFrame | None = None, automaton: tuple[DataFrame, DataFrame] | None = None,
         fp_budget: float = FP_BUDGET) -> Fitted:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.formulas import synthesize
 from ..operators.calibrate import calibrate
 from ..operators.signals import stl_flags
+from ..profiles import BALANCE_ROWS
 from ..session import cut_lineage
 from . import hybrid
 from .registry import query
@@ -15,16 +16,15 @@ from .trace import KEYS, PROFILE, frame_segment, rows, state, trace
 from .trace_queries import FIT, r6
 
 COLUMNS = ["l_t1", "f_pu1", "p_j1", "s_pu1", "s_pu2", "label"]
-P = PROFILE
 
 _rolled = ", ".join(
     f"(SELECT round(quantile_cont(abs(x), 0.995) * 1.05 + 0.01, 6) FROM (SELECT CASE WHEN count(resid0) OVER f = {k} "
     f"THEN sum(resid0) OVER f END AS x FROM rs WINDOW f AS (PARTITION BY scenario ORDER BY rn "
-    f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) HAVING count(x) >= 100) AS w{k}" for k in P.mb_windows)
+    f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) HAVING count(x) >= 100) AS w{k}" for k in BALANCE_ROWS)
 _rolls = ", ".join(
     f"sum(mb) OVER (PARTITION BY scenario ORDER BY rn ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS m{k}"
-    for k in P.mb_windows)
-_mbw = " + ".join(f"CAST(coalesce(abs(m{k}) > w{k}, false) AS INT)" for k in P.mb_windows)
+    for k in BALANCE_ROWS)
+_mbw = " + ".join(f"CAST(coalesce(abs(m{k}) > w{k}, false) AS INT)" for k in BALANCE_ROWS)
 STL = f"""{FIT},
 par AS (SELECT alpha, o, (SELECT round(quantile_cont(abs(resid), 0.99) * 1.1 + 0.005, 6) FROM rs) AS eps, {_rolled},
   (SELECT round(quantile_cont(abs(dl_t1), 0.995) * 1.2 + 0.02, 4) FROM ch) AS slew,

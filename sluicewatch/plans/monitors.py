@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import is_dataclass
 from typing import Any
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..profiles import Profile
+from .. import profiles
 from . import hybrid
 
 TABLES = ("known", "allowed", "phi")
@@ -21,6 +22,8 @@ TABLES = ("known", "allowed", "phi")
 
 def packed(x: Any) -> Any:
     """A value as JSON that gives the same value back: keys keep their type, pairs stay pairs."""
+    if is_dataclass(x):
+        return {"record": type(x).__name__, "of": packed(vars(x))}
     if isinstance(x, dict):
         return {"dict": [[packed(k), packed(v)] for k, v in x.items()]}
     if isinstance(x, tuple):
@@ -30,6 +33,8 @@ def packed(x: Any) -> Any:
 
 def unpacked(x: Any) -> Any:
     if isinstance(x, dict):
+        if "record" in x:
+            return getattr(profiles, x["record"])(**unpacked(x["of"]))
         if "dict" in x:
             return {unpacked(k): unpacked(v) for k, v in x["dict"]}
         return tuple(unpacked(v) for v in x["tuple"])
@@ -43,7 +48,7 @@ class HybridMonitor(Estimator):
     states and allowed moves; without it those that the clean rows show are taken.
     """
 
-    def __init__(self, profile: Profile, features: Sequence[str], frame: str, keys: Sequence[str], fusion: str = "intersection",
+    def __init__(self, profile: profiles.Network, features: Sequence[str], frame: str, keys: Sequence[str], fusion: str = "intersection",
                  fp_budget: float = hybrid.FP_BUDGET, frame_segment: Column | None = None,
                  automaton: tuple[DataFrame, DataFrame] | None = None):
         super().__init__()
@@ -71,7 +76,7 @@ class HybridMonitorModel(Model):
         m = self.fitted
         for name in TABLES:
             getattr(m, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        told = {"profile": vars(m.profile), "params": m.params, "specs": m.specs, "k": m.k, "note": m.note, "features": m.features,
+        told = {"profile": m.profile, "params": m.params, "specs": m.specs, "k": m.k, "note": m.note, "features": m.features,
                 "keys": self.keys, "fusion": self.fusion}
         line = m.known.sparkSession.createDataFrame([(json.dumps(packed(told)),)], "value string")
         line.coalesce(1).write.mode("overwrite").text(f"{path}/monitor")
@@ -80,6 +85,6 @@ class HybridMonitorModel(Model):
     def load(spark: SparkSession, path: str) -> HybridMonitorModel:
         told = unpacked(json.loads(spark.read.text(f"{path}/monitor").first()["value"]))
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-        fitted = hybrid.Fitted(Profile(**told["profile"]), told["params"], told["specs"], *[tables[t] for t in TABLES],
+        fitted = hybrid.Fitted(told["profile"], told["params"], told["specs"], *[tables[t] for t in TABLES],
                                told["k"], told["note"], told["features"])
         return HybridMonitorModel(fitted, told["keys"], told["fusion"])

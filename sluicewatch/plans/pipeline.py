@@ -15,7 +15,7 @@ from ..operators import mining, network, programs
 from ..operators.calibrate import calibrate
 from ..operators.metrics import detection_metrics
 from ..operators.signals import stl_flags
-from ..profiles import get_profile
+from ..profiles import network_of
 from ..session import cut_lineage
 from ..sinks import writers
 from ..sources import dataset, network_files, telemetry
@@ -183,7 +183,7 @@ def check_fresh(manifest: dict[str, Any], gfsm_manifest: str, dataset_manifest:
 
 def monitor_stl(spark: SparkSession, ds: telemetry.Dataset, out: str) -> dict[str, Any]:
     """Limits and formulas from clean frames, flags and metrics on the evaluation frames."""
-    profile = get_profile(ds.topology)
+    profile = network_of(ds.topology)
     params = calibrate(cut_lineage(ds.calibration), profile)
     specs = synthesize(profile, params)
     os.makedirs(out, exist_ok=True)
@@ -203,7 +203,7 @@ def monitor(spark: SparkSession, ds: telemetry.Dataset, components: list[tuple[s
             known: DataFrame, allowed: DataFrame, out: str, phi: DataFrame | None = None, k: int = 1,
             fusion: str = "intersection") -> dict[str, Any]:
     """Three detectors, fused and scored; rules are mined here unless given."""
-    profile = get_profile(ds.topology)
+    profile = network_of(ds.topology)
     cols = state_columns(components, ds.column_map, ds.evaluation.columns)
     state = composite_state(components, cols)
     features = [c for c in ds.evaluation.columns if c not in ("scenario", "rn", "label", *cols)]

@@ -11,26 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import composite_state
 from ..operators.segments import with_positions
-from ..profiles import Profile
+from ..profiles import Control, Network, Pump, Tank, Valve
 
 CUT = "2024-01-16"
 SEGMENT_SECONDS = 3600
 KEYS = ["scenario", "split"]
 COMPONENTS = [("P", "A"), ("P", "B")]
 
-PROFILE = Profile(
-    name="events",
-    tanks=["l_t1"],
-    pumps=[1, 2],
-    valves={"v1": {"status": "s_pu2", "flow": "l_t1"}},
-    junctions=["p_j1"],
-    tank_physical={"l_t1": {"min": 0.0, "max": 600.0}},
-    feeder_map={"l_t1": ["f_pu1"]},
-    pump_pressure_pairs={1: ("l_t1", "p_j1")},
-    control_rules=[("s_pu1", "l_t1", 5.0, 150.0)],
-    symmetry_pairs=[("l_t1", "f_pu1")],
-    state_vars=["s_pu1", "s_pu2"],
-)
+PROFILE = Network(
+    "events", (Tank("l_t1", 0.0, 600.0, ("f_pu1",)),), (Pump(1, "s_pu1", "f_pu1", ("l_t1", "p_j1")), Pump(2, "s_pu2", "f_pu2")),
+    (Valve("v1", "s_pu2", "l_t1"),), ("p_j1",), (Control("s_pu1", "l_t1", 5.0, 150.0),), (("l_t1", "f_pu1"),), ("s_pu1", "s_pu2"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as cal
 from ..operators import metrics, signals
 from ..operators.segments import carry_values, halo_windows
+from ..profiles import BALANCE_ROWS, LIMITS, Limit
 from .registry import query
 from .trace import KEYS, PROFILE, SQL, frame_segment, rows, state, table, trace
 
@@ -190,7 +191,7 @@ SELECT scenario, count(*) AS n, sum(raw)::BIGINT AS n_raw, sum(confirmed)::BIGIN
 def hysteresis(spark, d):
     """Flag level steps above the clean 90th percentile, confirm runs of two, count per scenario."""
     steps = cal.with_steps(cal_rows(spark, d, "l_t1"), ["scenario"], ["l_t1"])
-    limit = cal.slew_limit(steps, "l_t1", 90.0, 1.0, 0.0)
+    limit = cal.slew_limit(steps, "l_t1", Limit(90.0))
     ev = trace(spark, d, "eval", "l_t1").crossJoin(F.broadcast(limit))  # one row
 
     def stages(w):
@@ -220,14 +221,14 @@ def per_attack_breakdown(spark, d):
 @query("calib_tank_bounds", f"""{W} SELECT round(greatest(0.0, min(l_t1) - 0.05), 6) AS h_min,
   round(least(600.0, max(l_t1) + 0.05), 6) AS h_max FROM ev WHERE split = 'cal'""")
 def calib_tank_bounds(spark, d):
-    b = cal.tank_bounds(rows(spark, d, "cal"), "l_t1", PROFILE.tank_physical["l_t1"], PROFILE.margin)
+    b = cal.tank_bounds(rows(spark, d, "cal"), "l_t1", *PROFILE.bounds("l_t1"))
     return b.select(r6("h_min", "h_min"), r6("h_max", "h_max"))
 
 
 @query("calib_tank_slew", f"""{STEPS} SELECT round(quantile_cont(abs(dl_t1), 0.995) * 1.2 + 0.02, 6) AS slew_max FROM ch""")
 def calib_tank_slew(spark, d):
     steps = cal.chained_steps(cal_rows(spark, d, "l_t1"), "scenario", ["l_t1"], frame_segment())
-    return cal.slew_limit(steps, "l_t1", PROFILE.slew_percentile, PROFILE.slew_safety, 0.02).select(
+    return cal.slew_limit(steps, "l_t1", LIMITS["level_step"]).select(
         r6("slew_max", "slew_max"))
 
 
@@ -237,7 +238,7 @@ SELECT CASE WHEN avg(s_pu1) < 0.005 THEN 'always_off' WHEN avg(s_pu1) > 0.995 TH
   round(quantile_cont(f_pu1, 0.995) FILTER (WHERE s_pu1 > 0.5) + 1, 6) AS f_on_max,
   round(quantile_cont(abs(f_pu1), 0.995) FILTER (WHERE s_pu1 <= 0.5) + 0.5, 6) AS f_off_max FROM c""")
 def calib_pump_mode(spark, d):
-    p = cal.pump_mode(rows(spark, d, "cal"), "s_pu1", "f_pu1", PROFILE.pump_percentile)
+    p = cal.pump_mode(rows(spark, d, "cal"), "s_pu1", "f_pu1", LIMITS["flow"].percentile)
     return p.select("mode", *[r6(c, c) for c in ("f_on_min", "f_on_max", "f_off_max")])
 
 
@@ -246,7 +247,7 @@ SELECT round(quantile_cont(l_t1, 0.005) FILTER (WHERE s_pu2 > 0.5) - 1, 6) AS f_
   round(quantile_cont(l_t1, 0.995) FILTER (WHERE s_pu2 > 0.5) + 1, 6) AS f_on_max,
   round(quantile_cont(abs(l_t1), 0.995) FILTER (WHERE s_pu2 <= 0.5) + 0.5, 6) AS f_off_max FROM c""")
 def calib_valve(spark, d):
-    v = cal.valve_envelope(rows(spark, d, "cal"), "s_pu2", "l_t1", PROFILE.pump_percentile)
+    v = cal.valve_envelope(rows(spark, d, "cal"), "s_pu2", "l_t1", LIMITS["flow"].percentile)
     return v.select(*[r6(c, c) for c in ("f_on_min", "f_on_max", "f_off_max")])
 
 
@@ -262,10 +263,10 @@ def calib_head(spark, d):
   round((SELECT quantile_cont(p_j1, 0.9995) + 1 FROM st), 6) AS p_max,
   round((SELECT quantile_cont(abs(dp_j1), 0.995) * 1.2 + 0.5 FROM ch), 6) AS slew_max""")
 def calib_pressure(spark, d):
-    limits = cal.pressure_limits(rows(spark, d, "cal"), "p_j1", PROFILE.pressure_low_pct,
-                                 PROFILE.pressure_high_pct)
+    limits = cal.pressure_limits(rows(spark, d, "cal"), "p_j1", LIMITS["pressure_low"].percentile,
+                                 LIMITS["pressure_high"].percentile)
     steps = cal.chained_steps(cal_rows(spark, d, "p_j1"), "scenario", ["p_j1"], frame_segment())
-    slew = cal.slew_limit(steps, "p_j1", PROFILE.pslew_percentile, PROFILE.pslew_safety, 0.5)
+    slew = cal.slew_limit(steps, "p_j1", LIMITS["pressure_step"])
     return limits.crossJoin(F.broadcast(slew)).select(  # one row each
         *[r6(c, c) for c in ("p_min", "p_max", "slew_max")])
 
@@ -273,8 +274,7 @@ def calib_pressure(spark, d):
 @query("calib_symmetry", f"""{W} SELECT round(quantile_cont(abs(l_t1 - f_pu1), 0.995) * 1.2 + 0.05, 6) AS threshold
 FROM ev WHERE split = 'cal' HAVING count(*) >= 100""")
 def calib_symmetry(spark, d):
-    return cal.symmetry_limit(rows(spark, d, "cal"), "l_t1", "f_pu1", PROFILE.symmetry_percentile,
-                              PROFILE.symmetry_safety).select(r6("threshold", "threshold"))
+    return cal.symmetry_limit(rows(spark, d, "cal"), "l_t1", "f_pu1").select(r6("threshold", "threshold"))
 
 
 @query("mass_balance_ols", f"""{STEPS} SELECT scenario, round(coalesce(regr_slope(dl_t1, f_pu1), 0), 6) AS alpha,
@@ -295,23 +295,23 @@ def mb_eps(spark, d):
     fit = cal.mass_balance_fits(steps, {"l_t1": ["f_pu1"]})
     resid = cal.residual("l_t1", ["f_pu1"])
     p = cal.percentiles(steps.crossJoin(F.broadcast(fit)), [], {"r": F.abs(resid)},  # one row
-                        {"p": ("r", PROFILE.mb_percentile)})
+                        {"p": ("r", LIMITS["balance"].percentile)})
     return fit.crossJoin(F.broadcast(p)).select(  # one row each
         r6("alpha_l_t1", "alpha"), r6("offset_l_t1", "o"),
-        r6(F.col("p") * PROFILE.mb_safety + 0.005, "eps"))
+        r6(LIMITS["balance"].of(F.col("p")), "eps"))
 
 
 ROLLED = ", ".join(
     f"round((SELECT quantile_cont(abs(x), 0.995) * 1.05 + 0.01 FROM (SELECT CASE WHEN count(resid0) OVER f = {k} "
     f"THEN sum(resid0) OVER f END AS x FROM rs WINDOW f AS (PARTITION BY scenario ORDER BY rn "
     f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) HAVING count(x) >= 100), 6) AS eps_w{k}"
-    for k in PROFILE.mb_windows)
+    for k in BALANCE_ROWS)
 
 
 @query("mb_window_eps", f"""{FIT} SELECT {ROLLED}""")
 def mb_window_eps(spark, d):
     b = cal.mass_balance_limits(cal_rows(spark, d, "l_t1", "f_pu1"), ["scenario"], {"l_t1": ["f_pu1"]}, PROFILE)
-    return b.select(*[r6(f"eps_l_t1_w{k}", f"eps_w{k}") for k in PROFILE.mb_windows])
+    return b.select(*[r6(f"eps_l_t1_w{k}", f"eps_w{k}") for k in BALANCE_ROWS])
 
 
 @query("mb_pooled", f"""{FIT} SELECT round(alpha, 6) AS alpha, round(o, 6) AS o, round(r2, 6) AS r2, n,
@@ -320,4 +320,4 @@ def mb_pooled(spark, d):
     b = cal.mass_balance_limits(cal_rows(spark, d, "l_t1", "f_pu1"), ["scenario"], {"l_t1": ["f_pu1"]}, PROFILE)
     return b.select(r6("alpha_l_t1", "alpha"), r6("offset_l_t1", "o"), r6("r2_l_t1", "r2"),
                     F.col("n_l_t1").alias("n"), r6("eps_l_t1", "eps"),
-                    *[r6(f"eps_l_t1_w{k}", f"eps_w{k}") for k in PROFILE.mb_windows])
+                    *[r6(f"eps_l_t1_w{k}", f"eps_w{k}") for k in BALANCE_ROWS])

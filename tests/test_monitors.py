@@ -26,7 +26,7 @@ def test_fit_save_load_transform(spark, tmp_path):
         model.save(path)
     other = spark.newSession()
     loaded = HybridMonitorModel.load(other, path)
-    assert vars(loaded.fitted.profile) == vars(PROFILE) and loaded.fitted.params == model.fitted.params
+    assert loaded.fitted.profile == PROFILE and loaded.fitted.params == model.fitted.params
     rows = other.createDataFrame(watched.collect(), watched.schema)
     assert sorted(map(tuple, loaded.transform(rows).select(*columns).collect())) == wanted
     assert {r.y_pred for r in loaded.transform(rows).select(F.col("y_pred")).distinct().collect()} <= {0, 1} and len(wanted) > 100

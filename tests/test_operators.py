@@ -11,7 +11,7 @@ from sluicewatch.functions import formulas, guards, naming, rules
 from sluicewatch.operators import calibrate, detectors, graph, metrics, signals
 from sluicewatch.operators.quantiles import percentiles
 from sluicewatch.operators.segments import carry_values, halo_windows, with_positions
-from sluicewatch.profiles import ANYTOWN, CTOWN, get_profile
+from sluicewatch.profiles import NETWORKS, network_of
 
 
 def series(spark, values, key="a"):
@@ -221,7 +221,7 @@ def test_calibrate_families(spark):
     level, status, flow = rng.uniform(1, 5, n), (rng.random(n) < .5).astype(float), rng.uniform(0, 10, n)
     df = spark.createDataFrame(pd.DataFrame({"frame": ["f0"] * 1000 + ["f1"] * 1000, "rn": [*range(1000)] * 2,
                                              "l_t1": level, "s_pu1": status, "f_pu1": flow}))
-    p = calibrate.calibrate(df, CTOWN)
+    p = calibrate.calibrate(df, NETWORKS["ctown"])
     on, off = flow[status > .5], flow[status <= .5]
     assert p["pump"][1]["mode"] == "varying"
     assert p["pump"][1]["f_on_min"] == pytest.approx(np.percentile(on, 0.5) - 1)
@@ -239,11 +239,11 @@ def test_calibrate_families(spark):
         pool.append(pd.Series(r).rolling(6).sum().dropna())
     assert p["mb_window"]["l_t1"]["w6"]["eps"] == pytest.approx(
         np.percentile(np.abs(np.concatenate(pool)), 99.5) * 1.05 + .01)
-    specs = formulas.synthesize(CTOWN, p)
+    specs = formulas.synthesize(NETWORKS["ctown"], p)
     assert specs["RANGE_l_t1"].startswith("l_t1 >= ") and "CTRL_HI_s_v2_l_t2" in specs
-    assert get_profile("anytown") is ANYTOWN
+    assert network_of("anytown") is NETWORKS["anytown"]
     with pytest.raises(ValueError):
-        get_profile("nowhere")
+        network_of("nowhere")
 
 
 def test_metrics_edges(spark):
