@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Variable-name patterns per role, tried in this order at the start of the name.
-SENSING_PATTERNS = (".*sensor.*", ".*_sensor$", ".*input.*", "l_.*", ".*level$", ".*position$",
+SENSING_PATTERNS = (".*sensor.*", ".*_sensor$", ".*input.*", "^l_.*", ".*level$", ".*position$",
                     ".*_actual.*", ".*reading$", ".*detected$")
-ACTUATION_PATTERNS = ("s_.*", ".*actuator.*", ".*_actuator$", ".*command$", ".*_command$",
+ACTUATION_PATTERNS = ("^s_.*", ".*actuator.*", ".*_actuator$", ".*command$", ".*_command$",
                       ".*output$", ".*_start.*", ".*motor$", ".*valve$", ".*pump$")
 CONFIGURATION_PATTERNS = (".*target.*", ".*_target$", ".*level$", ".*threshold$", ".*offset$",
                           ".*_offset$", ".*limit$", ".*setpoint$", ".*tolerance$", ".*tol$")
