@@ -16,8 +16,9 @@ from ..functions.guards import DNF_TYPE, conjoin, guard_text, unsat
 from ..session import cut_lineage
 from .graph import reachable
 
-#: Ways over which the rows of one graph are spread.
+#: Ways over which the rows of one graph are spread at most, and rows for which there is one way more.
 SALTS = 32
+WAY = 4096
 
 
 def choices(states: DataFrame, moves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,6 +65,12 @@ def step(frontier: DataFrame, options: DataFrame, keys: Sequence[str], n: int) -
                                   "tids", "ords")
 
 
+def ways_of(held: DataFrame, graph: Sequence[str]) -> DataFrame:
+    """(graph, _ways): over how many ways a graph's rows are spread, by the number of its joint choices."""
+    sizes = held.groupBy(*graph, "comp").agg(F.count(F.lit(1)).alias("c")).groupBy(*graph).agg(F.product("c").alias("c"))
+    return sizes.select(*graph, F.least(F.lit(SALTS), F.ceil(F.col("c") / WAY)).cast("int").alias("_ways"))
+
+
 def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
             max_states: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Reachable global states (keys, locals) and transitions (keys, locals, nxt, guard, tids).
@@ -90,24 +97,28 @@ def product(initial: DataFrame, options: DataFrame, keys: Sequence[str], n: int,
     later = real.select(*graph, F.col("comp").alias("_comp"), F.col("oid").alias("_oid"), F.col("dnf").alias("_dnf"))
     against = real.join(later, graph).filter((F.col("comp") < F.col("_comp")) & unsat(conjoin(F.col("dnf"), F.col("_dnf"))))
     against = against.groupBy(*graph, F.col("_oid").alias("oid")).agg(F.collect_list("oid").alias("against"))  # other choices of a graph
-    held = cut_lineage(held.join(against, [*graph, "oid"], "left").select(
-        *graph, "comp", "frm", "to", F.when(F.col("tid").isNotNull(), F.col("oid")).alias("oid"), "against"))
+    # a side is repeated for each way, so only a graph with many joint choices has more than one
+    ways = ways_of(held, graph)
+    held = cut_lineage(held.join(against, [*graph, "oid"], "left").join(ways, graph).select(
+        *graph, "comp", "frm", "to", F.when(F.col("tid").isNotNull(), F.col("oid")).alias("oid"), "against", "_ways"))
+    local = cut_lineage(local.join(ways, graph, "left").withColumn("_ways", F.coalesce("_ways", F.lit(1))))
 
     def grown(rows: DataFrame, side: DataFrame) -> DataFrame:
-        """``rows`` joined with all of their graph's ``side``; a graph's rows are dealt over all tasks."""
-        told = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return rows.withColumn("_salt", F.pmod(F.xxhash64("locals"), F.lit(SALTS)).cast("int")).join(told, [*graph, "_salt"]).drop("_salt")
+        """``rows`` joined with all of their graph's ``side``; a large graph's rows are dealt over all tasks."""
+        told = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways")
+        return rows.withColumn("_salt", F.pmod(F.xxhash64("locals"), F.col("_ways")).cast("int")).join(told, [*graph, "_salt"]).drop("_salt")
 
-    states = local.filter("comp = 0").select(*graph, F.array("node").alias("locals"))
-    moves = held.filter("comp = 0").select(*graph, F.array("frm").alias("locals"), F.array("to").alias("nxt"), F.array("oid").alias("oids"))
+    states = local.filter("comp = 0").select(*graph, "_ways", F.array("node").alias("locals"))
+    moves = held.filter("comp = 0").select(*graph, "_ways", F.array("frm").alias("locals"), F.array("to").alias("nxt"), F.array("oid").alias("oids"))
     for i in range(1, n):
-        states = grown(states, local.filter(F.col("comp") == i).select(*graph, "node")).select(
-            *graph, F.concat("locals", F.array("node")).alias("locals"))
-        side = held.filter(F.col("comp") == i).select(*graph, "frm", "to", "oid", "against")
+        states = grown(states, local.filter(F.col("comp") == i).select(*graph, "_ways", "node")).select(
+            *graph, "_ways", F.concat("locals", F.array("node")).alias("locals"))
+        side = held.filter(F.col("comp") == i).select(*graph, "_ways", "frm", "to", "oid", "against")
         moves = grown(moves, side).filter(F.col("against").isNull() | ~F.coalesce(F.arrays_overlap("oids", "against"), F.lit(False))).select(
-            *graph, F.concat("locals", F.array("frm")).alias("locals"), F.concat("nxt", F.array("to")).alias("nxt"),
+            *graph, "_ways", F.concat("locals", F.array("frm")).alias("locals"), F.concat("nxt", F.array("to")).alias("nxt"),
             F.concat("oids", F.array("oid")).alias("oids"))
-    moves = cut_lineage(moves.filter(F.exists("oids", lambda o: o.isNotNull())))
+    states = states.drop("_ways")
+    moves = cut_lineage(moves.drop("_ways").filter(F.exists("oids", lambda o: o.isNotNull())))
     of_choice = options.select(*graph, F.col("oid").alias("at"), "dnf", "tid", "ord")
     sets = cut_lineage(moves.groupBy(*graph, "oids").agg(F.count(F.lit(1)).alias("c")).drop("c"))
     each = sets.select(*graph, "oids", F.posexplode("oids").alias("pos", "at")).join(of_choice, [*graph, "at"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluicewatch.functions import guards
 from sluicewatch.operators import product
+from sluicewatch.session import cut_lineage
 
 MOVES = "g string, comp int, frm string, to string, tid string, guard string, ord long"
 
@@ -91,3 +92,16 @@ def test_false_is_not_true(spark):
     rows = rows.select(*[F.when(F.col(c).isNotNull(), guards.guard_to_dnf(c)).alias(c) for c in ("a", "b")])
     joint = rows.select(guards.conjoin(F.col("a"), F.col("b")).alias("d")).select(guards.guard_text(F.col("d")), guards.unsat(F.col("d")))
     assert [tuple(r) for r in joint.collect()] == [("", True), ("y > 1", False), ("", True)]
+
+
+def test_only_large_graphs_are_spread(spark):
+    """Each way repeats a graph's choices in every join, so a graph of few joint choices has one."""
+    held = spark.createDataFrame([("small", c) for c in range(3) for _ in range(16)] + [("large", c) for c in range(5) for _ in range(16)], "g string, comp int")
+    assert {r.g: r._ways for r in product.ways_of(held, ["g"]).collect()} == {"small": 1, "large": product.SALTS}
+
+
+def test_packed_tables_count_as_large(spark):
+    """A written table of repeated names is small as a file; the planner must not take it for small in memory."""
+    names = spark.range(200_000).select(F.concat(F.lit("scenario/"), F.col("id") % 100, F.lit("/a name that is repeated")).alias("n"))
+    size = int(cut_lineage(names)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size > 1_000_000
