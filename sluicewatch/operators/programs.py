@@ -7,6 +7,7 @@ and only then is it a row a statement. Nothing is shuffled.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 from collections.abc import Iterator, Sequence
@@ -46,7 +47,7 @@ OPENERS = ("program", "var", "case", "label", "if", "elsif", "else", "loop")
 # Ship the fold with the task, so workers need no install of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ENTRY = T.StructType([T.StructField("node", T.LongType()), *[T.StructField(f, T.StringType()) for f in ("kind", "stmt", "cond")]])
-_UP = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.string()), ("stmt", pa.string()), ("cond", pa.string())]))
+FILES = 500  # files whose statements make one batch of rows
 _BRANCHES = ("if", "elsif", "else")
 
 
@@ -69,20 +70,20 @@ def kind_of(stmt: Column) -> Column:
             .when(up.rlike(r"^[^:(]+:"), "declare").otherwise("call"))
 
 
-def folded(kinds: list[str], stmts: list[str]) -> Iterator[tuple[int, int, str | None, list[dict]]]:
-    """(node, depth, cond, up) of every statement that is not an end.
+def folded(kinds: list[str], stmts: list[str]) -> Iterator[tuple[int, str | None, list[int]]]:
+    """(node, cond, up) of every statement that is not an end.
 
     A label ends the one before it, ELSIF and ELSE the branch or label they follow, an END_ all down to what it
     closes. ``cond`` says when a branch of an IF runs: ELSIF and ELSE negate the conditions before them, the ELSE
-    of a CASE has none. ``up`` is the stack, outermost first.
+    of a CASE has none. ``up`` has the nodes of the stack, outermost first.
     """
-    stack: list[dict] = []
+    stack: list[int] = []
     asked: list[list[str]] = []  # of each branch on the stack, the conditions of its IF so far
     for node, (kind, stmt) in enumerate(zip(kinds, stmts, strict=True)):
         if kind.startswith("end_"):
             closes = _BRANCHES if kind == "end_if" else (kind[4:],)
-            at = next((i for i in reversed(range(len(stack))) if stack[i]["kind"] in closes
-                       and not (kind == "end_if" and i and stack[i - 1]["kind"] == "case")), None)
+            at = next((i for i in reversed(range(len(stack))) if kinds[stack[i]] in closes
+                       and not (kind == "end_if" and i and kinds[stack[i - 1]] == "case")), None)
             if at is not None:
                 del stack[at:], asked[at:]
             continue
@@ -91,18 +92,18 @@ def folded(kinds: list[str], stmts: list[str]) -> Iterator[tuple[int, int, str |
             cond = re.search(r"(?is)^(?:IF|ELSIF)\b(.*)\bTHEN$", stmt)
             cond = cond.group(1).strip() if cond else ""
             refused = [cond]
-        if kind in ("elsif", "else") and stack and stack[-1]["kind"] in (*_BRANCHES, "label"):
-            of_case = len(stack) > 1 and stack[-2]["kind"] == "case"
+        if kind in ("elsif", "else") and stack and kinds[stack[-1]] in (*_BRANCHES, "label"):
+            of_case = len(stack) > 1 and kinds[stack[-2]] == "case"
             before = asked.pop()
             stack.pop()
             if not of_case:
                 refused = before + refused
                 cond = " AND ".join([f"({c})" for c in [cond] if kind == "elsif"] + [f"NOT ({c})" for c in before])
-        if kind == "label" and len(stack) > 1 and stack[-2]["kind"] == "case":
+        if kind == "label" and len(stack) > 1 and kinds[stack[-2]] == "case":
             del stack[-1], asked[-1]
-        yield node, len(stack), cond, list(stack)
+        yield node, cond, list(stack)
         if kind in OPENERS:
-            stack.append({"node": node, "kind": kind, "stmt": stmt, "cond": cond})
+            stack.append(node)
             asked.append(refused)
 
 
@@ -123,15 +124,27 @@ def statements(sources: DataFrame, key: str = "file", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(0)
-            for i, (kinds, stmts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                rows = list(folded(kinds, stmts))
-                if rows:
-                    node, depth, cond, up = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([files[i].as_py()] * len(node), files.type), pa.array(node, pa.int64()), pa.array([kinds[n] for n in node]),
-                         pa.array([stmts[n] for n in node]), pa.array(depth, pa.int64()), pa.array(cond, pa.string()), pa.array(up, _UP)],
-                        names=[key, "node", "kind", "stmt", "depth", "cond", "up"])
+            for at in range(0, batch.num_rows, FILES):
+                some = batch.slice(at, FILES)
+                files, nodes, kind_of_row, stmt_of_row, conds, above, ends = [], [], [], [], [], [], [0]
+                for i, (kinds, stmts) in enumerate(zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)):
+                    row_of = {}  # an opener has a row of its own, before the rows it holds
+                    for node, cond, up in folded(kinds, stmts):
+                        row_of[node] = len(nodes)
+                        files.append(i)
+                        nodes.append(node)
+                        kind_of_row.append(kinds[node])
+                        stmt_of_row.append(stmts[node])
+                        conds.append(cond)
+                        above += [row_of[n] for n in up]
+                        ends.append(len(above))
+                entry = [pa.array(nodes, pa.int64()), *[pa.array(x, pa.string()) for x in (kind_of_row, stmt_of_row, conds)]]
+                up = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                    entry, names=["node", "kind", "stmt", "cond"]).take(pa.array(above, pa.int64())))
+                depth = pa.array([b - a for a, b in itertools.pairwise(ends)], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(pa.array(files, pa.int64())), *entry[:3], depth, entry[3], up],
+                    names=[key, "node", "kind", "stmt", "depth", "cond", "up"])
 
     shape = T.StructType([sources.schema[key], T.StructField("node", T.LongType()), T.StructField("kind", T.StringType()),
                           T.StructField("stmt", T.StringType()), T.StructField("depth", T.LongType()), T.StructField("cond", T.StringType()),
@@ -161,13 +174,14 @@ def label_states(stmt: Column) -> Column:
 def located(nodes: DataFrame) -> DataFrame:
     """Add program, case_var and state (innermost CASE and its label) of each statement; a statement
     under a label of several states is one row for each."""
-    up = F.col("up")
+    up, case = F.col("up"), F.col("_case")
     # the label right inside the innermost CASE; its ELSE stands under no state
-    inside = F.try_element_at(F.filter(up, lambda x: x["node"] > _last(up, "case")["node"]), F.lit(1))
-    states = F.coalesce(label_states(F.when(inside["kind"] == "label", inside["stmt"])), F.array(F.lit("")))
-    return nodes.select(
-        "*", _word(F.coalesce(_last(up, "program")["stmt"], F.lit("")), r"(?i)^\w+ (\w+)").alias("program"),
-        _word(_last(up, "case")["stmt"], r"(?i)^CASE (.*) OF$").alias("case_var"), F.explode(states).alias("state"))
+    inside = F.try_element_at(F.filter(up, lambda x: x["node"] > case["node"]), F.lit(1))
+    states = F.coalesce(label_states(F.when(F.col("_inside.kind") == "label", F.col("_inside.stmt"))), F.array(F.lit("")))
+    # each on the one before, so the CASE is not looked for again for every opener
+    return nodes.withColumn("_case", _last(up, "case")).withColumn("_inside", inside).select(
+        *nodes.columns, _word(F.coalesce(_last(up, "program")["stmt"], F.lit("")), r"(?i)^\w+ (\w+)").alias("program"),
+        _word(case["stmt"], r"(?i)^CASE (.*) OF$").alias("case_var"), F.explode(states).alias("state"))
 
 
 def identifiers(text: Column) -> Column:
@@ -215,9 +229,8 @@ def automata(nodes: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]
     is_number = F.col("rhs").rlike(r"^(\d+|TRUE|FALSE)$")
     named = lab.select(*on, F.col("node").alias("rhs")).distinct()
     a = a.filter(is_number).unionByName(a.filter(~is_number).join(named, [*on, "rhs"], "left_semi"))
-    case_at = _last(F.col("up"), "case")["node"]
-    ifs = F.filter("up", lambda x: x["kind"].isin("if", "elsif", "else") & (x["node"] > case_at) & x["cond"].isNotNull())
-    t = a.select(*on, F.col("state").alias("frm"), F.col("rhs").alias("to"),
+    ifs = F.filter("up", lambda x: x["kind"].isin("if", "elsif", "else") & (x["node"] > F.col("case_at")) & x["cond"].isNotNull())
+    t = a.withColumn("case_at", _last(F.col("up"), "case")["node"]).select(*on, F.col("state").alias("frm"), F.col("rhs").alias("to"),
                  F.col("node").alias("at"), F.posexplode(ifs).alias("nest", "i"))
     moves = t.select(*on, "frm", "to", F.coalesce(F.nullif(F.col("i.cond"), F.lit("")),
                                                   F.lit("No Check")).alias("condition"),
@@ -233,8 +246,9 @@ def dependence_nodes(nodes: DataFrame, key: str = "file") -> DataFrame:
     n = located(nodes.filter("kind = 'assign' OR cond IS NOT NULL")).filter("state <> ''")
     lhs, rhs = assigned(F.col("stmt"))
     is_assign = F.col("kind") == "assign"
-    case_at = _last(F.col("up"), "case")["node"]
-    conds = F.filter("up", lambda x: x["cond"].isNotNull() & (x["node"] > case_at))
+    conds = F.col("conds")
+    n = n.withColumn("case_at", _last(F.col("up"), "case")["node"]).withColumn(
+        "conds", F.filter("up", lambda x: x["cond"].isNotNull() & (x["node"] > F.col("case_at"))))
     return n.select(
         key, "program", "case_var", "state", "node", "kind", "stmt",
         F.when(is_assign, F.nullif(F.regexp_extract(lhs, r"^(\w+)", 1), F.lit(""))).alias("writes"),

@@ -287,8 +287,9 @@ def def_use_edges(spark, d):
 
 
 def found_templates(spark, d):
-    n = nodes(spark, d)
-    dep, var = cut_lineage(programs.dependence_nodes(n)), programs.variables(n)
+    # what is asked for below, read from the programs once
+    n = cut_lineage(nodes(spark, d).filter("kind IN ('declare', 'assign') OR cond IS NOT NULL"))
+    dep, var = cut_lineage(programs.dependence_nodes(n)), cut_lineage(programs.variables(n))
     acts = dep.filter("kind = 'assign' AND writes IN ('PU', 'Alarm')")
     return programs.templates(dep, var, programs.influences(dep, acts))
 

@@ -345,3 +345,15 @@ def test_programs_nest_in_the_row(spark):
     conds = {r.stmt: [u.cond for u in r.up if u.cond] for r in nodes.filter("kind = 'assign'").collect()}
     assert conds["S := 3"] == ["NOT (b)"] and conds["S := 2"] == ["b"] and conds["r := 1"] == []
     assert nodes.filter("file IN ('none', 'null')").count() == 0 and nodes.filter("file = 'junk'").count() == 2
+
+
+def test_programs_are_read_once(spark):
+    """Templates, dependences and declarations come from one reading; many files make one batch of rows."""
+    from sluicewatch.operators import programs
+    from sluicewatch.plans import program_queries
+
+    found = program_queries.found_templates(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    texts = spark.range(0, 300, 1, 1).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("PROGRAM P\nx := 1;\nEND_PROGRAM").alias("text"))
+    sizes = programs.statements(texts).mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), programs.statements(texts).schema)
+    assert sizes.count() == 1
