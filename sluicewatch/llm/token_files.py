@@ -21,8 +21,9 @@ from .common import read, running_sums, shared_path
 from .words import LOWER, NOT_ALNUM, mix, pieces, powers
 
 END_ID = 1
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 2_000_000
+#: Chunks of text whose ids a worker remembers, and bytes of text that it encodes at a time.
+REMEMBERED = 1 << 18
+PIECE = 1 << 18
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000",
        "orc.create.index": "true", "compression": "zstd"}
 
@@ -229,7 +230,7 @@ def tokenise(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part, data, ends in pieces(batch):
+            for part, data, ends in pieces(batch, most=PIECE):
                 ids, lengths = own.encode(data, ends)
                 stops = np.cumsum(lengths)
                 ids = np.insert(ids, stops, end_id).astype(np.int32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +60,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE) -> It
         to = min(to, n)
         yield slice(at, to), data[offsets[at]:offsets[to]], offsets[at + 1:to + 1] - offsets[at]
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system: it lives on for the next stages, beside the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # glibc has it
+    if trim:
+        trim(0)
 
 
 def words(data: np.ndarray, ends: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -200,3 +200,9 @@ def test_quality_keeps_what_no_label_rejects(spark):
     assert sorted(r.doc_id for r in quality.good(table, labels).collect()) == list(range(22))
     bad = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
     assert sorted(r.doc_id for r in quality.good(table, bad).collect()) == [20, 21]
+
+
+def test_encoder_starts_small():
+    """Workers live on beside the JVM of their executor, so what one sets aside before any text counts."""
+    own = token_files.Encoder(token_files.default_path())
+    assert sum(x.nbytes for x in vars(own).values() if hasattr(x, "nbytes")) < 16 << 20
