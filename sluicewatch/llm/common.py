@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["components", "cut_lineage", "read", "release", "running_sums", "shared_path"]
+__all__ = ["components", "cut_lineage", "holding", "read", "release", "running_sums", "shared_path", "without"]
+
+#: Size of the filter of keys that is broadcast, the same for tables of any size.
+KEY_BITS = 26
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +117,37 @@ def keyed(docs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     rows = docs.withColumns({"one": F.lit(1), "none": F.col("doc_id").isNull(), "text_hash": F.xxhash64("text")})
     numbered = running_sums(rows, [], ["none", "doc_id", "text_hash"], ["one"], ["text", *also])
     return cut_lineage(numbered.select(F.col("before_one").cast("long").alias("key"), "doc_id", "text", *also))
+
+
+def among(keys: DataFrame) -> Column:
+    """Whether the column ``key`` may be one of ``keys`` (key): true for all of them and for few others.
+
+    One bit for each value of the hashed keys, 2 ** KEY_BITS in all; the more keys there are, the more
+    others pass, so a join has to follow.
+    """
+    def hashed():
+        return F.pmod(F.xxhash64("key"), F.lit(1 << KEY_BITS))
+
+    told = keys.select(hashed().alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("bits")).toArrow()
+    bits = np.zeros((1 << KEY_BITS) + 63 >> 6, np.int64)
+    bits[told.column("at").to_numpy()] = told.column("bits").to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 > 0)
+
+    return marked(hashed())
+
+
+def holding(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys``, found where they are: a join that follows moves them only."""
+    return rows.filter(among(keys))
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among ``keys``, of which only those that may be are moved."""
+    maybe = among(keys)
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(keys.select("key").distinct(), "key", "left_anti"))

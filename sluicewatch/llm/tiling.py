@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, keyed, read
+from .common import cut_lineage, holding, keyed, read, without
 from .words import NOT_ALNUM, mix, pieces, powers, shingles, words
 
 LEAST = 5
@@ -216,7 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float)
 
     if pairs.isEmpty():
         return spark.createDataFrame([], SHAPE)
-    both = pairs.join(docs.select("key", "doc_id", "text"), "key").join(
+    both = pairs.join(holding(docs.select("key", "doc_id", "text"), pairs.select("key")), "key").join(
         items.select(F.col("key").alias("item"), F.col("doc_id").alias("item_id"), F.col("text").alias("item_text")), "item")
     return both.select("key", "doc_id", "item_id", "n_item_words", "text", "item_text").mapInArrow(run, SHAPE)
 
@@ -228,8 +228,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     are runs of letters and digits, ASCII case aside; whole texts are read, of any length. Items with fewer
     than ``least`` words, NULL or without id never match; an empty benchmark, or one of such items only, gives no
     rows. NULL and empty documents hold nothing. Rows with one doc_id are documents of their own, repeated
-    items items of their own. Other columns are passed by. Documents and items are joined as tables; only a filter of
-    2 ** FILTER_BITS bits is broadcast, which the larger the benchmark the more seeds pass.
+    items items of their own. Other columns are passed by. Documents and items are joined as tables; only two filters are
+    broadcast, of 2 ** FILTER_BITS bits for seeds, which the larger the benchmark the more seeds pass, and one for the
+    documents of pairs, so that no other document's text is moved.
     """
     found = matches(keyed(docs), benchmark, least, coverage).drop("key")
     return found.withColumn("coverage", F.col("covered") / F.col("n_item_words"))
@@ -240,7 +241,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cov
     NULLs, empty tables and repeated rows."""
     rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), ["row"])
     found = matches(rows.select("key", "doc_id", "text"), benchmark, least, coverage)
-    return rows.join(cut_lineage(found.select("key").distinct()), "key", "left_anti").select("row.*")
+    return without(rows.select("key", "row"), cut_lineage(found.select("key").distinct())).select("row.*")
 
 
 def op3_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

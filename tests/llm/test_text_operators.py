@@ -9,6 +9,7 @@ import brute
 from pyspark.sql import functions as F
 
 from sluicewatch.llm import jaccard, licences, substrings, tiling
+from sluicewatch.llm import common
 from sluicewatch.llm.common import components, running_sums
 from sluicewatch.llm.words import pieces
 
@@ -189,6 +190,21 @@ def test_leaks_whole_reordered_and_partial(spark, monkeypatch):
     assert tiling.leaks(docs(spark, []), bench).count() == 0 and tiling.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_only_texts_of_pairs_are_moved(spark, monkeypatch):
+    rows = spark.range(3_000).select(F.col("id").alias("key"), F.lit("x").alias("text"))
+    keys = spark.createDataFrame([(k,) for k in (5, 7, 7, 2_999, 4_000)], "key long")
+    for bits in (26, 8):
+        monkeypatch.setattr(common, "KEY_BITS", bits)
+        found = {r.key for r in common.holding(rows, keys).collect()}
+        assert found >= {5, 7, 2_999} and len(found) < (10 if bits == 26 else 200)
+        assert sorted(r.key for r in common.without(rows, keys).collect()) == sorted(set(range(3_000)) - {5, 7, 2_999})
+    assert common.holding(rows, keys.limit(0)).count() == 0 and common.without(rows, keys.limit(0)).count() == 3_000
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = tiling.leaks(docs(spark, [(1, item), (2, "some other text")]), bench)
+    assert "marked(" in found._jdf.queryExecution().toString() and [r.doc_id for r in found.collect()] == [1]
+
+
 def test_components_and_running_sums(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(3, 3), (100, 5), (5, 100)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
