@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, keyed, read, release
+from .common import components, cut_lineage, holding, keyed, read, release
 from .words import mix, pieces, shingles, words
 
 WIDTH = 4
@@ -215,7 +215,8 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())),
                                               batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    texts = texts.select(F.col("key"), "text")
+    # only texts of documents in pairs are moved
+    texts = holding(texts.select("key", "text"), pairs.select(F.explode(F.array("a", "b")).alias("key")))
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")

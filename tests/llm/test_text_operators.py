@@ -203,6 +203,9 @@ def test_only_texts_of_pairs_are_moved(spark, monkeypatch):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     found = tiling.leaks(docs(spark, [(1, item), (2, "some other text")]), bench)
     assert "marked(" in found._jdf.queryExecution().toString() and [r.doc_id for r in found.collect()] == [1]
+    texts = spark.createDataFrame([(1, item), (2, item + " more"), (3, "some other text")], "key long, text string")
+    checked = jaccard.linked(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), texts, 4, 85)
+    assert "marked(" in checked._jdf.queryExecution().toString() and [tuple(r) for r in checked.collect()] == [(1, 2)]
 
 
 def test_components_and_running_sums(spark):
