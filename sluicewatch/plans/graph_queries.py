@@ -206,7 +206,7 @@ def local_automata(spark, d):
     t = whole_trace(spark, d, "l_t1", "s_pu1", "s_pu2", "f_pu1")
     parts = F.array(*[F.struct(F.lit(i).alias("comp"), c.cast("string").alias("node")) for i, c in enumerate((
         F.col("s_pu1"), F.col("s_pu2"), F.floor(F.col("f_pu1") / 25)))])
-    t = cut_lineage(t.withColumn("parts", parts))
+    t = cut_lineage(t.select("scenario", "rn", "l_t1", parts.alias("parts")))
     linked = halo_windows(t, G, lambda w: [{"prev": F.lag("parts").over(w)}], before=1)
     states = t.select("scenario", F.inline("parts")).distinct()
     both = linked.select("scenario", "l_t1", F.inline(F.arrays_zip("parts", "prev")))

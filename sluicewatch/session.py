@@ -45,19 +45,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 #: How many times its file's size a written table counts as: rows of names repeat, so they take 10 to 20 times that in memory.
 PACKED = 16.0
 _FACTOR = "spark.sql.sources.fileCompressionFactor"
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write once under the checkpoint folder and go on from the written table.
+def cut_lineage(df: DataFrame, **how: str) -> DataFrame:
+    """Write once under the checkpoint folder and go on from the written table; ``how`` goes to the writer.
 
     A lost executor re-reads the files instead of replaying a loop. The planner is told how far the
     files are packed (unless the session says so itself), so it broadcasts one side of a join, which
-    passes the driver, only when that side is small in memory too.
+    passes the driver, only when that side is small in memory too. Shuffle files of the write go when
+    it ends: nothing reads them again, and they would stay until the driver collects its garbage.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if float(spark.conf.get(_FACTOR, "1.0")) == 1.0:
         spark.conf.set(_FACTOR, str(PACKED))
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANED, "false")
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.write.options(**how).parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, kept)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,13 +3,15 @@
 import itertools
 import os
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sluicewatch.functions import guards
 from sluicewatch.operators import product
-from sluicewatch.session import cut_lineage
+from sluicewatch.session import cut_lineage, ensure_checkpoint_dir
 
 MOVES = "g string, comp int, frm string, to string, tid string, guard string, ord long"
 
@@ -95,6 +97,46 @@ def test_false_is_not_true(spark):
     assert [tuple(r) for r in joint.collect()] == [("", True), ("y > 1", False), ("", True)]
 
 
+def rows_written(spark, tables):
+    """Rows of the largest table under the checkpoint folder besides ``tables``, and all tables there."""
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    now = {f"{top}/{t}" for t in os.listdir(top)}
+    return max((sum(pq.read_metadata(f).num_rows for f in Path(t).rglob("*.parquet")) for t in now - tables), default=0), now
+
+
+def test_sets_are_written_and_not_their_transitions(spark):
+    """Six components of two states: 4 ** 6 - 2 ** 6 joint moves, of 3 ** 6 - 1 sets of choices that move."""
+    states = [("c", i, x) for i in range(6) for x in "01"]
+    moves = [("c", i, a, b, f"{a}{i}", f"x{i} > {a}", int(a)) for i in range(6) for a, b in ("01", "10")]
+    first = spark.createDataFrame([("c", ["0"] * 6)], "g string, locals array<string>")
+    ensure_checkpoint_dir(spark)
+    before = rows_written(spark, set())[1]
+    seen, steps = product.product(first, options(spark, states, moves), ["g"], 6)
+    assert (seen.count(), steps.count(), steps.select("locals", "nxt").distinct().count()) == (64, 4 ** 6 - 2 ** 6, 4 ** 6 - 2 ** 6)
+    assert rows_written(spark, before)[0] == 3 ** 6 - 1
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    top = Path(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0])
+    before = set(top.rglob("shuffle_*"))
+    written = cut_lineage(spark.range(10_000).repartition(4, "id"))
+    assert not {f for f in set(top.rglob("shuffle_*")) - before if f.suffix == ".data"} and written.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_of_a_graph_meet_in_one_cell(spark):
+    """Each combination of one row of every component has exactly one cell, and a large graph has many."""
+    sizes = {"small": (3, 4, 5), "large": (2, 150, 150)}
+    rows = spark.createDataFrame([(g, c, f"n{k}") for g, s in sizes.items() for c, m in enumerate(s) for k in range(m)], "g string, comp int, node string")
+    dealt = cut_lineage(product.in_cells(rows, ["g"], ["node"]))
+    met = dealt.filter("comp = 0").select("g", "_cell", F.col("node").alias("n0"))
+    for i in (1, 2):
+        met = met.join(dealt.filter(F.col("comp") == i).select("g", "_cell", F.col("node").alias(f"n{i}")), ["g", "_cell"])
+    got = {r.g: (r.n, r.m, r.cells) for r in met.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("n0", "n1", "n2").alias("m"), F.countDistinct("_cell").alias("cells")).collect()}
+    assert got["small"] == (60, 60, 1) and got["large"][:2] == (45_000, 45_000) and got["large"][2] > 4
+
+
 def test_only_large_graphs_are_spread(spark):
     """Each way repeats a graph's choices in every join, so a graph of few joint choices has one."""
     held = spark.createDataFrame([("small", c) for c in range(3) for _ in range(16)] + [("large", c) for c in range(5) for _ in range(16)], "g string, comp int")
